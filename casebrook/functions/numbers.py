@@ -39,6 +39,12 @@ def agreement_band(value: Column) -> Column:
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals; NULL stays NULL."""
+    text = F.format_string(f"%.{digits}f", F.round(value, digits))
+    return F.when(value.isNotNull(), text)
+
+
 def nan_as_null(value: Column) -> Column:
     """Spark sorts NaN above every number; reports want it last."""
     return F.when(~F.isnan(value), value)

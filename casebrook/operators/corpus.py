@@ -40,22 +40,31 @@ def lookup_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     The winner of each key is found on narrow columns, and full texts are then
     fetched by the unique ordinal, so neither join has a repeated key on both
-    sides and no hot key gathers texts in one task.
+    sides and no hot key gathers texts in one task. A short key list is
+    broadcast and pushed below the aggregate by the optimizer.
     """
     wanted = keys.select("reference_number").distinct()
     winners = (
-        docs.select("reference_number", "doc_ord")
-        .join(wanted, "reference_number", "left_semi")
-        .groupBy("reference_number")
+        docs.groupBy("reference_number")
         .agg(F.min("doc_ord").alias("doc_ord"))
+        .join(wanted, "reference_number", "left_semi")
     )
     texts = docs.select("doc_ord", "doc_text")
     return winners.join(texts, "doc_ord").select("reference_number", "doc_ord", "doc_text")
 
 
 def split_known(keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Wanted keys that exist, and those that do not with the reason."""
-    known = docs.select("reference_number")
+    """Wanted keys that exist, and those that do not with the reason.
+
+    The record table is reduced to distinct wanted keys before it meets the
+    list, so a hot key costs one row per input partition.
+    """
+    wanted = keys.select("reference_number").distinct()
+    known = (
+        docs.select("reference_number")
+        .distinct()
+        .join(wanted, "reference_number", "left_semi")
+    )
     found = keys.join(known, "reference_number", "left_semi")
     missing = keys.join(known, "reference_number", "left_anti").withColumn(
         "message",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebrook.functions.numbers import agreement
+from casebrook.functions.numbers import agreement, fixed
 from casebrook.functions.text import clip, fill_template
 from casebrook.functions.verdicts import NEUTRAL_SCORE, NO_REASON, verdict_or_neutral
 from casebrook.operators.corpus import lookup_documents
@@ -161,7 +161,7 @@ def panel(verdicts: DataFrame, by: list[str]) -> DataFrame:
         F.lit("Average of "),
         F.col("num_judges").cast("string"),
         F.lit(" judges. Agreement: "),
-        F.format_string("%.2f", F.round(agreed * 100, 2)),
+        fixed(agreed * 100, 2),
         F.lit("%"),
     )
     return grouped.select(

@@ -64,17 +64,19 @@ def seed_vectors(chunks: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     ``min_by`` keeps one candidate per key and input partition before the
     shuffle, however many chunks a key has. Keys without chunks give no row.
     """
-    rows = chunks.select("reference_number", "chunk_id", "embedding").filter(
-        F.col("embedding").isNotNull()
+    seeds = (
+        chunks.filter(F.col("embedding").isNotNull())
+        .groupBy("reference_number")
+        .agg(
+            F.min("chunk_id").alias("seed_chunk_id"),
+            F.min_by("embedding", "chunk_id").alias("query_vector"),
+        )
     )
     if keys is not None:
-        rows = rows.join(
+        seeds = seeds.join(
             keys.select("reference_number").distinct(), "reference_number", "left_semi"
         )
-    return rows.groupBy("reference_number").agg(
-        F.min("chunk_id").alias("seed_chunk_id"),
-        F.min_by("embedding", "chunk_id").alias("query_vector"),
-    ).select(
+    return seeds.select(
         F.col("reference_number").alias("query_id"),
         F.col("reference_number").alias("own_key"),
         "seed_chunk_id",
@@ -540,6 +542,8 @@ def similar_chunks(
 
     text = F.col("chunk_text")
     if docs is not None:
+        # used for the lookup and for the join: the corpus is searched once
+        hits = materialise(hits, "hits")
         full = lookup_documents(docs, hits)
         hits = hits.join(
             full.select("reference_number", "doc_text"), "reference_number", "left"
@@ -556,5 +560,6 @@ def similar_chunks(
     )
 
 
-def reference_overfetch(exclude_duplicates: bool = True) -> int:
+def usual_overfetch(exclude_duplicates: bool = True) -> int:
+    """The factor a remote index is usually asked for."""
     return OVERFETCH_WITH_EXCLUSION if exclude_duplicates else OVERFETCH_PLAIN

@@ -15,6 +15,7 @@ from casebrook.functions.numbers import (
     HIGH_AGREEMENT,
     SCORE_SCALE,
     agreement_band,
+    fixed,
     nan_as_null,
     round_half_even,
 )
@@ -93,7 +94,7 @@ def overall_bars(compared: DataFrame) -> DataFrame:
         param("llm_name").alias("model"),
         metric("avg_overall_score").alias("score"),
         metric("std_overall_score").alias("std_dev"),
-        F.format_string("%.2f", F.round(metric("avg_overall_score"), 2)).alias("label"),
+        fixed(metric("avg_overall_score"), 2).alias("label"),
     )
 
 
@@ -201,7 +202,7 @@ def agreement_report(compared: DataFrame) -> DataFrame:
         param("llm_name").alias("llm_name"),
         metric("avg_overall_score").alias("avg_overall_score"),
         agreed.alias("avg_judge_agreement"),
-        F.concat(F.format_string("%.1f", F.round(agreed * 100, 1)), F.lit("%")).alias("label"),
+        F.concat(fixed(agreed * 100, 1), F.lit("%")).alias("label"),
         agreement_band(agreed).alias("band"),
         (agreed >= HIGH_AGREEMENT).alias("high"),
     )

@@ -8,7 +8,7 @@ reading one run's rows prunes to its partition.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,8 @@ AVERAGE_KEYS = (
 ITEM_KEYS = (*METRICS, "accuracy_std", "overall_score_std", "judge_agreement")
 # ----------------------------------------------------------------------------
 
+STEADY_DIGITS = 9
+
 TABLES: dict[str, T.StructType] = {
     "runs": schemas.RUNS,
     "run_params": schemas.RUN_PARAMS,
@@ -142,17 +144,25 @@ def average_metrics(
 ) -> DataFrame:
     """Per-run means and deviations over its judged records, one row per run.
 
-    Both inputs are reduced to one row per run before they meet.
+    Both inputs are reduced to one row per run before they meet. Values are
+    rounded far below any meaningful digit, so that the order in which
+    partitions are summed cannot change a ranking.
     """
+
+    def steady(value: Column) -> Column:
+        return F.round(value, STEADY_DIGITS)
+
     scores = evaluations.groupBy(by).agg(
-        *[F.avg(name).alias(f"avg_{name}") for name in METRICS],
-        F.avg("judge_agreement").alias("avg_judge_agreement"),
-        F.stddev_pop("accuracy").alias("std_accuracy"),
-        F.stddev_pop("overall_score").alias("std_overall_score"),
-        F.avg("accuracy_std").alias("avg_accuracy_std"),
-        F.avg("overall_score_std").alias("avg_overall_score_std"),
+        *[steady(F.avg(name)).alias(f"avg_{name}") for name in METRICS],
+        steady(F.avg("judge_agreement")).alias("avg_judge_agreement"),
+        steady(F.stddev_pop("accuracy")).alias("std_accuracy"),
+        steady(F.stddev_pop("overall_score")).alias("std_overall_score"),
+        steady(F.avg("accuracy_std")).alias("avg_accuracy_std"),
+        steady(F.avg("overall_score_std")).alias("avg_overall_score_std"),
+    )
+    lengths = summaries.groupBy(by).agg(
+        steady(F.avg("summary_length")).alias("avg_summary_length")
     )
-    lengths = summaries.groupBy(by).agg(F.avg("summary_length").alias("avg_summary_length"))
     return scores.join(lengths, by, "left").select(by, *AVERAGE_KEYS)
 
 
