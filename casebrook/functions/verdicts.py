@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casebrook.functions.text import let, strip_code_fence
+from casebrook.functions.text import strip_code_fence
 from casebrook.schemas import METRICS, REASONINGS, VERDICT
 
 # --- fixed values -----------------------------------------------------------
@@ -23,82 +23,66 @@ _OPTIONS = {
 }
 
 
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def is_one_object(text: Column) -> Column:
-    """True when the text is a single JSON object with nothing around it.
+    """True when the text, which parses from its start, is a single JSON object
+    with nothing around it.
 
-    ``from_json`` stops after the first value. Here quoted strings are blanked
-    and innermost braces folded away; one object folds to one mark, two in a
-    row or an object followed by prose do not.
+    ``from_json`` stops after the first value. One opening brace at the start
+    and one closing brace at the end settle the usual flat answer. Otherwise
+    quoted strings are blanked and innermost braces folded away; one object
+    folds to one mark, two in a row or an object followed by prose do not.
     """
+    framed = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+    flat = (_count(text, "{") == 1) & (_count(text, "}") == 1)
     folded = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "0")
     for _ in range(_NESTING):
         folded = F.regexp_replace(folded, r"\{[^{}]*+\}", "0")
-    return F.startswith(text, F.lit("{")) & (folded == "0")
+    return F.when(~framed, False).when(flat, True).otherwise(folded == "0")
 
 
-def read_verdict(response: Column) -> Column:
-    """``struct(parsed, keys, ok)`` of a raw answer.
+def read_verdicts(answers: DataFrame, response_col: str = "response") -> DataFrame:
+    """Add ``_parsed`` (the verdict struct) and ``_ok`` to raw answers.
 
-    ``ok`` is false when the text is not one valid object, when a score is not
+    ``_ok`` is false when the text is not one valid object, when a score is not
     a number, or when a score is given as null. A score or text that is simply
-    absent is fine. ``keys`` are the names present.
+    absent is fine. The steps are columns of their own, so each text is
+    cleaned and parsed once.
     """
-
-    def parse(text: Column) -> Column:
-        parsed = F.from_json(text, _PARSED, _OPTIONS)
-        keys = F.map_keys(F.from_json(text, "map<string,string>", _OPTIONS))
-
-        def judge(both: Column) -> Column:
-            null_score = F.lit(False)
-            for name in METRICS:
-                null_score = null_score | (
-                    both["parsed"][name].isNull() & F.array_contains(both["keys"], name)
-                )
-            ok = (
-                is_one_object(text)
-                & both["parsed"].isNotNull()
-                & both["parsed"][_BAD].isNull()
-                & both["keys"].isNotNull()
-                & ~null_score
-            )
-            return F.struct(
-                both["parsed"].alias("parsed"),
-                both["keys"].alias("keys"),
-                F.coalesce(ok, F.lit(False)).alias("ok"),
-            )
-
-        return let(F.struct(parsed.alias("parsed"), keys.alias("keys")), judge)
-
-    return let(strip_code_fence(response), parse)
-
-
-def verdict_or_neutral(response: Column, failure: Column) -> Column:
-    """A ``VERDICT`` struct: the parsed answer, or neutral scores and the
-    ``failure`` text as assessment. Reasons given are kept, absent ones read
-    ``N/A``; an absent assessment stays NULL."""
-
-    def build(read: Column) -> Column:
-        fields = [
-            F.when(read["ok"], read["parsed"][name])
-            .otherwise(F.lit(NEUTRAL_SCORE))
-            .alias(name)
-            for name in METRICS
-        ]
-        fields += [
-            F.when(
-                read["ok"] & F.array_contains(read["keys"], name), read["parsed"][name]
-            )
-            .otherwise(F.lit(NO_REASON))
-            .alias(name)
-            for name in REASONINGS
-        ]
-        fields.append(
-            F.when(read["ok"], read["parsed"]["overall_assessment"])
-            .otherwise(failure)
-            .alias("overall_assessment")
+    text, parsed = F.col("_text"), F.col("_parsed")
+    staged = answers.withColumn(
+        "_text", strip_code_fence(F.col(response_col))
+    ).withColumn("_parsed", F.from_json(text, _PARSED, _OPTIONS))
+    complete = F.lit(True)
+    null_score = F.lit(False)
+    names = F.map_keys(F.from_json(text, "map<string,string>", _OPTIONS))
+    for name in METRICS:
+        complete = complete & parsed[name].isNotNull()
+        null_score = null_score | (
+            parsed[name].isNull() & F.array_contains(names, name)
         )
-        return F.struct(F.struct(*fields).alias("verdict"), read["ok"].alias("ok"))
-
-    return let(read_verdict(response), build)
-
-
+    sound = is_one_object(text) & parsed.isNotNull() & parsed[_BAD].isNull()
+    ok = sound & F.when(complete, True).otherwise(~null_score)
+    return staged.withColumn("_ok", F.coalesce(ok, F.lit(False))).drop("_text")
+
+
+def verdict_fields(failure: Column) -> list[Column]:
+    """The verdict's columns after ``read_verdicts``: as parsed, or neutral
+    scores with ``failure`` as assessment. Absent reasons read ``N/A``; an
+    absent assessment stays NULL."""
+    ok, parsed = F.col("_ok"), F.col("_parsed")
+    fields = [
+        F.when(ok, parsed[name]).otherwise(F.lit(NEUTRAL_SCORE)).alias(name)
+        for name in METRICS
+    ]
+    fields += [
+        F.coalesce(F.when(ok, parsed[name]), F.lit(NO_REASON)).alias(name)
+        for name in REASONINGS
+    ]
+    fields.append(
+        F.when(ok, parsed["overall_assessment"]).otherwise(failure).alias("overall_assessment")
+    )
+    return fields

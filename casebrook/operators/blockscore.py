@@ -50,11 +50,11 @@ def keep_best(
 
 
 def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest value of each column; -inf when there are fewer rows."""
-    n = scores.shape[0]
+    """The k-th largest value of each row; -inf when there are fewer columns."""
+    n = scores.shape[1]
     if n < k:
-        return np.full(scores.shape[1], -np.inf)
-    return np.partition(scores, n - k, axis=0)[n - k]
+        return np.full(scores.shape[0], -np.inf)
+    return np.partition(scores, n - k, axis=1)[:, n - k]
 
 
 class BlockTopK:
@@ -79,18 +79,34 @@ class BlockTopK:
         # k-th best score met so far: later batches only need to beat it
         self.bar = np.full(len(query_matrix), -np.inf)
 
+    def _own_pairs(self, code: np.ndarray, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """``(query, row)`` of the batch rows that belong to a query's record."""
+        order = np.argsort(code, kind="stable")
+        edges = np.searchsorted(code[order], np.arange(len(keys) + 1))
+        queries, rows = [], []
+        for i, key in enumerate(keys):
+            mine = order[edges[i] : edges[i + 1]]
+            for at in self.by_own_key.get(key, ()):
+                queries.append(np.full(len(mine), at))
+                rows.append(mine)
+        if not rows:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        queries, rows = np.concatenate(queries), np.concatenate(rows)
+        by_query = np.argsort(queries, kind="stable")
+        return queries[by_query], rows[by_query]
+
     def candidates(
         self, vectors: np.ndarray, chunk: np.ndarray, code: np.ndarray, keys: list
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, query, score)`` of every pair that can still be among the
-        best ``k`` of its query."""
+        best ``k`` of its query.
+
+        A query whose running bar already leaves few rows needs no selection;
+        the others take the k-th best of this batch (over distinct keys when a
+        key counts once) as their bar.
+        """
         n = len(vectors)
-        own = [
-            (at, np.flatnonzero(code == i))
-            for i, key in enumerate(keys)
-            if key in self.by_own_key
-            for at in self.by_own_key[key]
-        ] if self.by_own_key else []
+        own_query, own_row = self._own_pairs(code, keys)
         repeated = self.one_per_key and len(keys) < n
         by_key = np.argsort(code, kind="stable") if repeated else None
         if repeated:
@@ -100,16 +116,26 @@ class BlockTopK:
         width = max(1, _CELLS // max(n, 1))
         for left in range(0, len(self.queries), width):
             right = min(left + width, len(self.queries))
-            scores = vectors @ self.queries[left:right].T
-            for at, rows in own:
-                if left <= at < right:
-                    scores[rows, at - left] = -np.inf
-            distinct = (
-                np.maximum.reduceat(scores[by_key], starts, axis=0) if repeated else scores
-            )
-            bar = np.maximum(_kth_best(distinct, self.k), self.bar[left:right])
-            rows, cols = np.nonzero((scores >= bar - slack) & (scores > -np.inf))
-            out.append((rows, cols + left, np.round(scores[rows, cols], self.digits) + 0.0))
+            scores = self.queries[left:right] @ vectors.T
+            lo, hi = np.searchsorted(own_query, (left, right))
+            scores[own_query[lo:hi] - left, own_row[lo:hi]] = -np.inf
+            bar = self.bar[left:right] - slack
+            hit = scores >= bar[:, None]
+            crowded = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * self.k)
+            if len(crowded):
+                some = scores[crowded]
+                distinct = (
+                    np.maximum.reduceat(some[:, by_key], starts, axis=1)
+                    if repeated
+                    else some
+                )
+                local = np.maximum(_kth_best(distinct, self.k) - slack, bar[crowded])
+                hit[crowded] = some >= local[:, None]
+            query, row = np.nonzero(hit)
+            score = scores[query, row]
+            real = score > -np.inf
+            query, row, score = query[real], row[real], score[real]
+            out.append((row, query + left, np.round(score, self.digits) + 0.0))
         return tuple(np.concatenate(part) for part in zip(*out))
 
     def raise_bar(self, query: np.ndarray, score: np.ndarray) -> None:

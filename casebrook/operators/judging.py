@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from casebrook.functions.numbers import agreement, fixed
 from casebrook.functions.text import clip, fill_template
-from casebrook.functions.verdicts import NEUTRAL_SCORE, NO_REASON, verdict_or_neutral
+from casebrook.functions.verdicts import (
+    NEUTRAL_SCORE,
+    NO_REASON,
+    read_verdicts,
+    verdict_fields,
+)
 from casebrook.operators.corpus import lookup_documents
 from casebrook.schemas import METRICS, REASONINGS
 
@@ -85,30 +90,22 @@ def parse_verdicts(answers: DataFrame) -> DataFrame:
         F.col("error").isNotNull(),
         F.concat(F.lit("Error with "), judge, F.lit(": "), F.col("error")),
     ).otherwise(F.concat(F.lit("Failed to parse "), judge, F.lit(" evaluation")))
-    answer = F.when(F.col("error").isNull(), F.col("response"))
-    return (
-        answers.withColumn("read", verdict_or_neutral(answer, failure))
-        .drop("response", "error")
-        .select("*", "read.verdict.*", (~F.col("read.ok")).alias("failed"))
-        .drop("read")
+    given = answers.withColumn("response", F.when(F.col("error").isNull(), F.col("response")))
+    return read_verdicts(given).select(
+        *[c for c in answers.columns if c not in ("response", "error")],
+        *verdict_fields(failure),
+        (~F.col("_ok")).alias("failed"),
     )
 
 
 def single_verdicts(answers: DataFrame) -> DataFrame:
     """Verdicts of one judge: unreadable answers turn neutral and keep the raw
     text; rows whose call failed are dropped, as the caller never sees them."""
-    return parse_single(answers.filter(F.col("error").isNull()))
-
-
-def parse_single(answers: DataFrame) -> DataFrame:
-    read = verdict_or_neutral(F.col("response"), F.lit("Failed to parse evaluation"))
-    return (
-        answers.withColumn("read", read)
-        .select(
-            *[c for c in answers.columns if c not in ("response", "error")],
-            "read.verdict.*",
-            F.when(~F.col("read.ok"), F.col("response")).alias("raw_response"),
-        )
+    made = answers.filter(F.col("error").isNull())
+    return read_verdicts(made).select(
+        *[c for c in answers.columns if c not in ("response", "error")],
+        *verdict_fields(F.lit("Failed to parse evaluation")),
+        F.when(~F.col("_ok"), F.col("response")).alias("raw_response"),
     )
 
 

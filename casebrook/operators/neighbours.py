@@ -46,10 +46,12 @@ OVERFETCH_WITH_EXCLUSION = 5
 OVERFETCH_PLAIN = 2
 # ----------------------------------------------------------------------------
 SCORE_DIGITS = 6
-MAX_BROADCAST_QUERIES = 4096
+MAX_BROADCAST_QUERIES = 16384
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_KEPT_ROWS = 200_000  # rows a scan task may hold: queries * k
 MERGE_SALTS = 32
-PIVOTS = 256
+MAX_PIVOTS = 256
+CELL_CHUNKS = 8192
 TILE_CHUNKS = 65536
 TILE_QUERIES = 4096
 PAYLOAD = ("section", "chunk_index", "chunk_text")
@@ -327,11 +329,13 @@ def _routed(
     k: int,
     one_per_key: bool,
     digits: int,
-    n_pivots: int,
+    n_pivots: int | None,
     tile_chunks: int,
     tile_queries: int,
 ) -> DataFrame:
     spark = chunks.sparkSession
+    if n_pivots is None:
+        n_pivots = max(1, min(MAX_PIVOTS, math.ceil(chunks.count() / CELL_CHUNKS)))
     pivots = _pick_pivots(chunks, dim, n_pivots)
     assigned = materialise(_assign_cells(chunks, pivots[0], dim), "cells")
     # at most n_pivots + 1 rows each
@@ -413,7 +417,7 @@ def search(
     exclude_own: bool = True,
     score_digits: int = SCORE_DIGITS,
     route: str = "auto",
-    n_pivots: int = PIVOTS,
+    n_pivots: int | None = None,
     tile_chunks: int = TILE_CHUNKS,
     tile_queries: int = TILE_QUERIES,
 ) -> DataFrame:
@@ -439,7 +443,11 @@ def search(
         # bounded: one row more than may be broadcast
         head = wanted.limit(MAX_BROADCAST_QUERIES + 1).collect()
         size = sum(4 * len(q["query_vector"]) for q in head)
-        fits = len(head) <= MAX_BROADCAST_QUERIES and size <= MAX_BROADCAST_BYTES
+        fits = (
+            len(head) <= MAX_BROADCAST_QUERIES
+            and size <= MAX_BROADCAST_BYTES
+            and len(head) * k <= MAX_KEPT_ROWS
+        )
         if route == "scan" and not fits:
             raise ValueError("too many queries to broadcast; use route='routed'")
     if fits:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casebrook.operators.chunking import chunk_documents
 from casebrook.plans.stand_ins import letter_counts
 from casebrook.schemas import CRITERIA, METRICS
-from casebrook.sources.corpus import documents
+from casebrook.sources.corpus import documents, spread
 from casebrook.sources.inference import embed_texts
 from casebrook.sources.storage import materialise
 
@@ -90,9 +90,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record table: one flattened text per record."""
-    return table(spark, sf_dir, "documents").select(
+    return document_table(spark, sf_dir).select(
         F.col("doc_id").alias("doc_ord"), F.expr(COMPLAINT_TEXT).alias("all_columns")
     )
 
@@ -153,7 +157,7 @@ def judged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     return (
-        table(spark, sf_dir, "documents")
+        document_table(spark, sf_dir)
         .withColumn("run", F.explode(runs))
         .select("doc_id", "text", "lang", "source", "n_chars", "run.*")
         .withColumn("complaint_id", F.expr(f"concat('DOC-', {PADDED_ID})"))

@@ -414,7 +414,7 @@ LEFT JOIN keys k USING (reference_number)""",
     "chunks_literal": CHUNKS_LITERAL,
     "normalise": query(
         [
-            "v AS (SELECT vec_id, [CAST(x * label AS DOUBLE) FOR x IN embedding] AS v FROM embeddings)",
+            "v AS (SELECT vec_id, [CAST(CAST(x * label AS FLOAT) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings)",
             "n AS (SELECT *, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS norm FROM v)",
         ],
         """SELECT vec_id, unnest(range(len(v))) AS pos,

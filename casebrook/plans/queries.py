@@ -83,7 +83,7 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plain_documents(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    return fx.table(spark, sf, "documents").select(
+    return fx.document_table(spark, sf).select(
         F.col("doc_id").alias("doc_ord"),
         F.col("source").alias("reference_number"),
         F.expr(text).alias("doc_text"),
@@ -116,11 +116,17 @@ def chunks_literal(spark: SparkSession, sf: str) -> DataFrame:
 def normalise(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of many lengths (zero among them) brought to unit length."""
     scaled = fx.table(spark, sf, "embeddings").select(
-        "vec_id", F.transform("embedding", lambda x: x * F.col("label")).alias("v")
+        "vec_id",
+        F.transform("embedding", lambda x: (x * F.col("label")).cast("float")).alias("v"),
     )
-    return scaled.select(
+    unit = scaled.select(
         "vec_id", F.posexplode(l2_normalise(F.col("v"))).alias("pos", "value")
-    ).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 5).alias("value"))
+    )
+    return unit.select(
+        "vec_id",
+        F.col("pos").cast("long").alias("pos"),
+        F.round(F.col("value").cast("double"), 5).alias("value"),
+    )
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:

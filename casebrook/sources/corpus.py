@@ -23,6 +23,19 @@ def read_records(spark: SparkSession, source: str, fmt: str | None = None) -> Da
     return spark.read.format(fmt).load(source) if fmt else spark.table(source)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that arrives in a handful of splits over all cores.
+
+    Small tables often sit in one file with one row group, which one task
+    reads; hashing their rows on a unique key is cheap and stable under
+    retries. A large table has many splits and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 4 * cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def number_rows(df: DataFrame, ord_col: str = "doc_ord") -> DataFrame:
     """Give rows a stable ordinal when the table has no ordering column.
 

@@ -89,10 +89,11 @@ def complete(
     batch_size: int = 1,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """Add ``response`` and ``error`` to rows that carry ``prompt``,
+    """Replace ``prompt`` by ``response`` and ``error`` in rows that also carry
     ``endpoint``, ``temperature`` and ``max_tokens``.
 
-    ``complete_fn`` gets a list of dicts with these four entries.
+    ``complete_fn`` gets a list of dicts with these four entries. The prompt,
+    by far the widest column, is not sent back.
     """
     rows = df.repartition(parallelism) if parallelism else df
     request = ["prompt", "endpoint", "temperature", "max_tokens"]
@@ -102,10 +103,10 @@ def complete(
             answers, errors = _call_in_batches(
                 frame[request].to_dict("records"), complete_fn, batch_size, COMPLETE_FAILED
             )
-            yield frame.assign(response=answers, error=errors)
+            yield frame.drop(columns="prompt").assign(response=answers, error=errors)
 
     schema = _append(
-        df,
+        df.drop("prompt"),
         [
             T.StructField("response", T.StringType()),
             T.StructField("error", T.StringType()),
