@@ -84,7 +84,7 @@ def _span_ends(blocks: Column, total: Column, rule: SpanRule) -> Column:
     """
     none = F.expr("cast(array() as array<int>)")
 
-    def run(ends: Column) -> Column:
+    def run(ends: Column, steps: Column) -> Column:
         def step(new: Column, _: Column) -> Column:
             last = F.coalesce(
                 F.try_element_at(new, F.lit(-1)), F.try_element_at(ends, F.lit(-1))
@@ -97,13 +97,15 @@ def _span_ends(blocks: Column, total: Column, rule: SpanRule) -> Column:
                 ).otherwise(new),
             )
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(_RUN)), none, step)
+        return F.aggregate(F.sequence(F.lit(1), F.least(steps, F.lit(_RUN))), none, step)
 
-    most = F.ceil(total / rule.stride / _RUN).cast("int") + 1
-    return F.aggregate(
-        F.sequence(F.lit(1), most),
-        none,
-        lambda ends, _: F.concat(ends, run(ends)),
+    return let(
+        F.ceil(total / rule.stride).cast("int") + 1,
+        lambda steps: F.aggregate(
+            F.sequence(F.lit(1), F.ceil(steps / _RUN).cast("int")),
+            none,
+            lambda ends, _: F.concat(ends, run(ends, steps)),
+        ),
     )
 
 

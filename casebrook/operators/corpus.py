@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebrook.functions.text import fill_template
+
+NOT_FOUND = "Complaint {key} not found."  # fixed value
+
 
 def distinct_keys(docs: DataFrame) -> DataFrame:
     """Each key once, with the ordinal at which it first appears.
@@ -67,8 +71,7 @@ def split_known(keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     )
     found = keys.join(known, "reference_number", "left_semi")
     missing = keys.join(known, "reference_number", "left_anti").withColumn(
-        "message",
-        F.concat(F.lit("Complaint "), F.col("reference_number"), F.lit(" not found.")),
+        "message", fill_template(NOT_FOUND, key=F.col("reference_number"))
     )
     return found, missing
 

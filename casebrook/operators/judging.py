@@ -20,6 +20,10 @@ from casebrook.schemas import METRICS, REASONINGS
 CONTEXT_CHARS = 20000
 JUDGE_TEMPERATURE = 0.1
 JUDGE_TOKENS = 2000
+CALL_FAILED = "Error with {judge}: {error}"
+UNREADABLE = "Failed to parse {judge} evaluation"
+UNREADABLE_SINGLE = "Failed to parse evaluation"
+PANEL_TEXT = "Average of {count} judges. Agreement: {percent}%"
 # ----------------------------------------------------------------------------
 
 JUDGE_TEMPLATE = """Grade a summary of a customer case against the case itself.
@@ -85,11 +89,10 @@ def parse_verdicts(answers: DataFrame) -> DataFrame:
     A call that failed and an answer that cannot be read both count as neutral
     marks, flagged in ``failed``.
     """
-    judge = F.col("judge")
+    judge, error = F.col("judge"), F.col("error")
     failure = F.when(
-        F.col("error").isNotNull(),
-        F.concat(F.lit("Error with "), judge, F.lit(": "), F.col("error")),
-    ).otherwise(F.concat(F.lit("Failed to parse "), judge, F.lit(" evaluation")))
+        error.isNotNull(), fill_template(CALL_FAILED, judge=judge, error=error)
+    ).otherwise(fill_template(UNREADABLE, judge=judge))
     given = answers.withColumn("response", F.when(F.col("error").isNull(), F.col("response")))
     return read_verdicts(given).select(
         *[c for c in answers.columns if c not in ("response", "error")],
@@ -104,7 +107,7 @@ def single_verdicts(answers: DataFrame) -> DataFrame:
     made = answers.filter(F.col("error").isNull())
     return read_verdicts(made).select(
         *[c for c in answers.columns if c not in ("response", "error")],
-        *verdict_fields(F.lit("Failed to parse evaluation")),
+        *verdict_fields(F.lit(UNREADABLE_SINGLE)),
         F.when(~F.col("_ok"), F.col("response")).alias("raw_response"),
     )
 
@@ -154,12 +157,10 @@ def panel(verdicts: DataFrame, by: list[str]) -> DataFrame:
         *[part for name in REASONINGS for part in (F.lit(name), by_judge(name))]
     )
     agreed = agreement(F.col("std_overall_score"))
-    text = F.concat(
-        F.lit("Average of "),
-        F.col("num_judges").cast("string"),
-        F.lit(" judges. Agreement: "),
-        fixed(agreed * 100, 2),
-        F.lit("%"),
+    text = fill_template(
+        PANEL_TEXT,
+        count=F.col("num_judges").cast("string"),
+        percent=fixed(agreed * 100, 2),
     )
     return grouped.select(
         *by,

@@ -47,13 +47,12 @@ OVERFETCH_PLAIN = 2
 # ----------------------------------------------------------------------------
 SCORE_DIGITS = 6
 MAX_BROADCAST_QUERIES = 16384
-MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_BYTES = 32 << 20
 MAX_KEPT_ROWS = 200_000  # rows a scan task may hold: queries * k
 MERGE_SALTS = 32
 MAX_PIVOTS = 256
 CELL_CHUNKS = 8192
-TILE_CHUNKS = 65536
-TILE_QUERIES = 4096
+TILE_BYTES = 64 << 20  # vectors of one tile
 PAYLOAD = ("section", "chunk_index", "chunk_text")
 
 
@@ -99,6 +98,12 @@ def text_queries(queries: DataFrame, embed_fn, batch_size: int = EMBED_BATCH) ->
     )
 
 
+def attach_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks with vectors kept in a table of their own, joined on the unique
+    chunk id. Chunks without a vector stay, with NULL, and are never found."""
+    return chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+
+
 # ------------------------------------------------------------- final ranking
 
 
@@ -330,10 +335,12 @@ def _routed(
     one_per_key: bool,
     digits: int,
     n_pivots: int | None,
-    tile_chunks: int,
-    tile_queries: int,
+    tile_chunks: int | None,
+    tile_queries: int | None,
 ) -> DataFrame:
     spark = chunks.sparkSession
+    tile_chunks = tile_chunks or max(1024, TILE_BYTES // (4 * dim))
+    tile_queries = tile_queries or max(256, TILE_BYTES // (32 * dim))
     if n_pivots is None:
         n_pivots = max(1, min(MAX_PIVOTS, math.ceil(chunks.count() / CELL_CHUNKS)))
     pivots = _pick_pivots(chunks, dim, n_pivots)
@@ -418,8 +425,8 @@ def search(
     score_digits: int = SCORE_DIGITS,
     route: str = "auto",
     n_pivots: int | None = None,
-    tile_chunks: int = TILE_CHUNKS,
-    tile_queries: int = TILE_QUERIES,
+    tile_chunks: int | None = None,
+    tile_queries: int | None = None,
 ) -> DataFrame:
     """Exact best ``k`` chunks of each query.
 
@@ -496,6 +503,7 @@ def similar_chunks(
     docs: DataFrame | None = None,
     duplicates: DataFrame | None = None,
     overfetch: int | None = None,
+    key_col: str = "reference_number",
     **search_options,
 ) -> DataFrame:
     """Neighbours of each query outside its own record.
@@ -508,7 +516,12 @@ def similar_chunks(
                     back whenever they exist. A factor ``n``: rank ``n * k``
                     chunks first and exclude afterwards, as a remote index
                     does; fewer than ``k`` may remain.
+    ``key_col``     the name of the record key in ``chunks`` and ``docs``, and
+                    so in the result.
     """
+    chunks = chunks.withColumnRenamed(key_col, "reference_number")
+    if docs is not None:
+        docs = docs.withColumnRenamed(key_col, "reference_number")
     if "chunk_index" not in chunks.columns:
         chunks = chunks.withColumn("chunk_index", F.lit(None).cast("int"))
     if "section" not in chunks.columns:
@@ -560,10 +573,12 @@ def similar_chunks(
     return hits.select(
         "query_id",
         "rank",
-        "reference_number",
+        F.col("reference_number").alias(key_col),
         "score",
         text.alias("text"),
-        F.struct("reference_number", "section", "chunk_index").alias("meta"),
+        F.struct(
+            F.col("reference_number").alias(key_col), "section", "chunk_index"
+        ).alias("meta"),
         "chunk_id",
     )
 

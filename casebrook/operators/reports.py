@@ -43,7 +43,6 @@ RECOMMENDED = (
     ("conciseness", "avg_conciseness"),
     ("overall balance", "avg_overall_score"),
 )
-RESULTS_TABLE = "rag_experiment_results"
 # ----------------------------------------------------------------------------
 
 
@@ -285,12 +284,19 @@ def strip_prefixes(compared: DataFrame) -> DataFrame:
     return compared.withColumnsRenamed(renamed)
 
 
-def export_comparison(compared: DataFrame, table: str = RESULTS_TABLE) -> None:
-    """Replace the result table by the comparison, without a driver hop."""
-    strip_prefixes(compared).write.mode("overwrite").saveAsTable(table)
+def export_comparison(compared: DataFrame, table: str, path: str | None = None) -> None:
+    """Replace the result table by the comparison, without a driver hop.
 
+    ``path`` places the table's files; without it they go to the warehouse.
+    """
+    writer = strip_prefixes(compared).write.mode("overwrite")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
 
-def exported_results(spark: SparkSession, table: str = RESULTS_TABLE) -> DataFrame:
+
+def exported_results(spark: SparkSession, table: str) -> DataFrame:
+    """The exported comparison, best overall score first."""
     return spark.sql(
         "SELECT * FROM IDENTIFIER(:table) ORDER BY avg_overall_score DESC NULLS LAST",
         args={"table": table},

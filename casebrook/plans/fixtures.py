@@ -14,6 +14,7 @@ from casebrook.plans.stand_ins import letter_counts
 from casebrook.schemas import CRITERIA, METRICS
 from casebrook.sources.corpus import documents, spread
 from casebrook.sources.inference import embed_texts
+from casebrook.sources.runs import run_name
 from casebrook.sources.storage import materialise
 
 PADDED_ID = "lpad(CAST(doc_id AS STRING), 8, '0')"
@@ -34,6 +35,13 @@ SECTION_TEXT = (
 )
 LITERAL_TEXT = "concat(text, chr(10), '## $', chr(10), text)"
 
+_NUMBERS = "array_join(transform(embedding, x -> CAST(x AS STRING)), ', ')"
+EMBEDDING_RESPONSE = f"""CASE label % 3
+  WHEN 0 THEN concat('{{"embeddings": [[', {_NUMBERS}, ']]}}')
+  WHEN 1 THEN concat('{{"data": [{{"index": 0, "embedding": [', {_NUMBERS}, ']}}]}}')
+  ELSE concat('{{"data": {{"embeddings": [[', {_NUMBERS}, ']]}}}}')
+END"""
+
 RUNS = (
     # run_id, llm_name, temperature, start_time, judged
     ("r1", "model-a-warm", "0.6", "2024-03-01 08:00:00", True),
@@ -125,12 +133,12 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        [(r, EXPERIMENT, f"{m}_run", t, "FINISHED" if j else "FAILED") for r, m, _, t, j in RUNS],
-        "run_id string, experiment string, run_name string, start string, status string",
+        [(r, EXPERIMENT, m, t, "FINISHED" if j else "FAILED") for r, m, _, t, j in RUNS],
+        "run_id string, experiment string, llm_name string, start string, status string",
     ).select(
         "run_id",
         "experiment",
-        "run_name",
+        run_name(F.col("llm_name"), F.to_timestamp("start")).alias("run_name"),
         F.to_timestamp("start").alias("start_time"),
         "status",
     )

@@ -318,7 +318,8 @@ RUNS = [
     f"""summaries AS (SELECT run_id, complaint_id, summary, length(summary) AS summary_length
   FROM (SELECT *, {fx.SUMMARY_TEXT} AS summary FROM judged))""",
     f"averages AS {averages('evals', 'summaries', 'run_id')}",
-    f"""wide AS (SELECT run_id, llm_name || '_run' AS run_name, start_time,
+    f"""wide AS (SELECT run_id, llm_name || '_'
+    || strftime(CAST(start_time AS TIMESTAMP), '%Y%m%d_%H%M%S') AS run_name, start_time,
   CASE judged WHEN 1 THEN 'FINISHED' ELSE 'FAILED' END AS status, llm_name, temperature,
   {", ".join(AVERAGE_KEYS)}
   FROM run_list LEFT JOIN averages USING (run_id))""",
@@ -422,6 +423,21 @@ LEFT JOIN keys k USING (reference_number)""",
     ),
     "seeds": """SELECT 'L' || label AS query_id, min(vec_id) AS seed_chunk_id
 FROM embeddings GROUP BY 1""",
+    "attached_vectors": query(
+        [
+            "whole AS (SELECT doc_id AS sid, text AS t FROM documents)",
+            *spans("whole"),
+        ],
+        """SELECT sid * 8388608 + i AS chunk_id, len(embedding) AS dimension,
+  round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5)
+    AS norm
+FROM pieces LEFT JOIN embeddings ON vec_id = sid AND i = 0""",
+        recursive=True,
+    ),
+    "embedding_responses": """SELECT vec_id, unnest(range(len(embedding))) AS pos,
+  unnest([round(CAST(x AS DOUBLE), 5) + 0.0 FOR x IN embedding]) AS value FROM embeddings""",
+    "completion_responses": """SELECT conv_id, turn, text AS content,
+  'LLM call failed: ' || left(text, 500) AS failure FROM conversations""",
     "topk_chunks": query(
         [*VECTORS, VECTOR_PAIRS, *ranked("pairs", 10, False)],
         """SELECT query_id, rank, reference_number, chunk_id, score, chunk_text AS text, chunk_index
@@ -528,6 +544,7 @@ ORDER BY start_time DESC, run_id LIMIT 5""",
 row_number() OVER (PARTITION BY llm_name ORDER BY start_time DESC, run_id) = 1""",
     ),
     "comparison": query(RUNS, COMPARISON),
+    "exported_results": query(RUNS, COMPARISON),
     "overall_bars": query(
         RUNS,
         """SELECT run_id, llm_name AS model, round(avg_overall_score, 6) AS score,

@@ -6,18 +6,26 @@ across engines; nothing else is done to the operators' output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebrook.functions.vectors import l2_normalise
+from casebrook.functions.vectors import dimension, l2_norm, l2_normalise
 from casebrook.operators import corpus, judging, neighbours, prompts, reports
-from casebrook.operators.chunking import chunk_documents
+from casebrook.operators.chunking import chunk_documents, chunk_id
 from casebrook.operators.experiment import run_experiment
 from casebrook.plans import fixtures as fx
 from casebrook.plans.stand_ins import answer, letter_counts
 from casebrook.schemas import METRICS
+from casebrook.sources.inference import (
+    COMPLETE_FAILED,
+    content_of_response,
+    embeddings_of_response,
+    failure_text,
+)
 from casebrook.sources.runs import (
     AVERAGE_KEYS,
     RunStore,
@@ -135,6 +143,53 @@ def seeds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def attached_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks joined with a vector table that covers the first chunk of some
+    documents."""
+    chunks = chunk_documents(_plain_documents(spark, sf, "text"))
+    vectors = fx.table(spark, sf, "embeddings").select(
+        chunk_id(F.col("vec_id"), F.lit(0)).alias("chunk_id"), "embedding"
+    )
+    joined = neighbours.attach_vectors(chunks, vectors)
+    return joined.select(
+        "chunk_id",
+        F.when(F.col("embedding").isNotNull(), dimension(F.col("embedding")))
+        .cast("long")
+        .alias("dimension"),
+        F.round(l2_norm(F.col("embedding")), 5).alias("norm"),
+    )
+
+
+def embedding_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """The given vectors as service answers of three shapes, read back."""
+    rows = fx.table(spark, sf, "embeddings").select(
+        "vec_id", F.expr(fx.EMBEDDING_RESPONSE).alias("response")
+    )
+    vectors = rows.select(
+        "vec_id", embeddings_of_response(F.col("response"))[0].alias("v")
+    )
+    return vectors.select(
+        "vec_id", F.posexplode("v").alias("pos", "value")
+    ).select(
+        "vec_id",
+        F.col("pos").cast("long").alias("pos"),
+        F.round(F.col("value").cast("double"), 5).alias("value"),
+    )
+
+
+def completion_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation turn as a chat answer, and as an error body."""
+    rows = fx.table(spark, sf, "conversations")
+    message = F.struct(F.struct("role", F.col("text").alias("content")).alias("message"))
+    answers = rows.withColumn("response", F.to_json(F.struct(F.array(message).alias("choices"))))
+    return answers.select(
+        "conv_id",
+        "turn",
+        content_of_response(F.col("response")).alias("content"),
+        failure_text(COMPLETE_FAILED, F.col("text")).alias("failure"),
+    )
+
+
 def _hit_columns(hits: DataFrame) -> DataFrame:
     return hits.select(
         "query_id",
@@ -451,6 +506,15 @@ def judge_strictness(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(reports.judge_strictness(_breakdown(spark, sf)))
 
 
+def exported_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The comparison saved as a table and queried by name."""
+    name = f"results_{uuid.uuid4().hex}"
+    reports.export_comparison(
+        reports.comparison(_runs(spark, sf)), name, f"{shared_dir(spark)}/casebrook/{name}"
+    )
+    return _shown(reports.exported_results(spark, name))
+
+
 def sample_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(
         reports.sample_summaries(
@@ -463,9 +527,6 @@ def sample_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _experiment(spark: SparkSession, sf: str) -> tuple[RunStore, DataFrame]:
-    import uuid
-    from datetime import datetime
-
     docs = materialise(fx.complaint_documents(spark, sf), "documents")
     chunks = fx.complaint_chunks(spark, sf)
     keys = corpus.distinct_keys(docs).select(
@@ -527,6 +588,9 @@ QUERIES: dict[str, Query] = {
         chunks_literal,
         normalise,
         seeds,
+        attached_vectors,
+        embedding_responses,
+        completion_responses,
         topk_chunks,
         topk_documents,
         topk_overfetch,
@@ -557,6 +621,7 @@ QUERIES: dict[str, Query] = {
         judge_means,
         judge_bars,
         judge_strictness,
+        exported_results,
         sample_summaries,
         experiment,
         experiment_tables,

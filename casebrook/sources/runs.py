@@ -40,6 +40,7 @@ AVERAGE_KEYS = (
     "avg_accuracy_std",
     "avg_overall_score_std",
 )
+RUN_SUFFIX = "yyyyMMdd_HHmmss"
 ITEM_KEYS = (*METRICS, "accuracy_std", "overall_score_std", "judge_agreement")
 # ----------------------------------------------------------------------------
 
@@ -104,6 +105,11 @@ class RunStore:
         )
 
 
+def run_name(llm_name: Column, started: Column) -> Column:
+    """``<model>_<start>`` with the start as ``yyyyMMdd_HHmmss``."""
+    return F.concat_ws("_", llm_name, F.date_format(started, RUN_SUFFIX))
+
+
 def flatten_nested(rows: DataFrame) -> DataFrame:
     return rows.select(
         *[

@@ -205,3 +205,24 @@ def test_corpus_is_not_shuffled_by_the_scan(spark):
     above = plan[: plan.index("MapInArrow")]
     assert "CartesianProduct" not in plan and "Join" not in plan
     assert above.count("RepartitionByExpression") == 1
+
+
+def test_other_key_name(spark):
+    vectors, keys = corpus(60)
+    chunks = frame(spark, vectors, keys).withColumnRenamed("reference_number", "complaint_id")
+    hits = nb.similar_chunks(
+        queries_of(spark, vectors, {0: keys[0]}), chunks, 3, key_col="complaint_id"
+    )
+    row = hits.first()
+    assert row["complaint_id"] == row["meta"]["complaint_id"]
+    assert result(hits) == brute(vectors, keys, {0: keys[0]}, 3, False)
+
+
+def test_chunks_without_vector_are_never_found(spark):
+    vectors, keys = corpus(60)
+    whole = frame(spark, vectors, keys)
+    kept = whole.select("chunk_id", "embedding").filter("chunk_id >= 90")
+    chunks = nb.attach_vectors(whole.drop("embedding"), kept)
+    assert chunks.count() == 60
+    got = result(nb.search(queries_of(spark, vectors, {40: "none"}), chunks, 4))
+    assert got == brute(vectors, keys, {40: "none"}, 4, False, {i * 3 for i in range(30)})
