@@ -106,11 +106,12 @@ class BlockTopK:
         key counts once) as their bar.
         """
         n = len(vectors)
-        own_query, own_row = self._own_pairs(code, keys)
         repeated = self.one_per_key and len(keys) < n
-        by_key = np.argsort(code, kind="stable") if repeated else None
+        by_key = np.argsort(code, kind="stable") if repeated else np.arange(n)
         if repeated:
-            starts = np.flatnonzero(np.diff(code[by_key], prepend=-2))
+            vectors, code = vectors[by_key], code[by_key]
+            starts = np.flatnonzero(np.diff(code, prepend=-2))
+        own_query, own_row = self._own_pairs(code, keys)
         slack = 10.0**-self.digits
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         width = max(1, _CELLS // max(n, 1))
@@ -123,19 +124,15 @@ class BlockTopK:
             hit = scores >= bar[:, None]
             crowded = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * self.k)
             if len(crowded):
-                some = scores[crowded]
-                distinct = (
-                    np.maximum.reduceat(some[:, by_key], starts, axis=1)
-                    if repeated
-                    else some
-                )
+                some = scores if len(crowded) == len(scores) else scores[crowded]
+                distinct = np.maximum.reduceat(some, starts, axis=1) if repeated else some
                 local = np.maximum(_kth_best(distinct, self.k) - slack, bar[crowded])
                 hit[crowded] = some >= local[:, None]
-            query, row = np.nonzero(hit)
+            query, row = np.divmod(np.flatnonzero(hit), n)
             score = scores[query, row]
             real = score > -np.inf
             query, row, score = query[real], row[real], score[real]
-            out.append((row, query + left, np.round(score, self.digits) + 0.0))
+            out.append((by_key[row], query + left, np.round(score, self.digits) + 0.0))
         return tuple(np.concatenate(part) for part in zip(*out))
 
     def raise_bar(self, query: np.ndarray, score: np.ndarray) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebrook.functions.text import fill_template
+from casebrook.operators.sizing import fits_broadcast
 
 NOT_FOUND = "Complaint {key} not found."  # fixed value
 
@@ -39,22 +40,30 @@ def keys_in_order(spark, keys: list[str]) -> DataFrame:
     )
 
 
+def _wanted(keys: DataFrame) -> DataFrame:
+    return keys.select("reference_number").distinct()
+
+
 def lookup_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The document of each wanted key: the first record that carries it.
 
     The winner of each key is found on narrow columns, and full texts are then
-    fetched by the unique ordinal, so neither join has a repeated key on both
-    sides and no hot key gathers texts in one task. A short key list is
-    broadcast and pushed below the aggregate by the optimizer.
+    fetched by the unique ordinal, so no hot key gathers texts in one task. A
+    key list of checked size is broadcast: texts are then read where they lie.
+    A longer one meets the records after they are reduced to one row per key.
     """
-    wanted = keys.select("reference_number").distinct()
-    winners = (
-        docs.groupBy("reference_number")
-        .agg(F.min("doc_ord").alias("doc_ord"))
-        .join(wanted, "reference_number", "left_semi")
-    )
+    wanted = _wanted(keys)
+    narrow = docs.select("reference_number", "doc_ord")
+    first = F.min("doc_ord").alias("doc_ord")
+    if fits_broadcast(wanted):
+        kept = narrow.join(F.broadcast(wanted), "reference_number", "left_semi")
+        # one row per wanted key: within the same bound
+        winners = F.broadcast(kept.groupBy("reference_number").agg(first))
+    else:
+        reduced = narrow.groupBy("reference_number").agg(first)
+        winners = reduced.join(wanted, "reference_number", "left_semi")
     texts = docs.select("doc_ord", "doc_text")
-    return winners.join(texts, "doc_ord").select("reference_number", "doc_ord", "doc_text")
+    return texts.join(winners, "doc_ord").select("reference_number", "doc_ord", "doc_text")
 
 
 def split_known(keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,12 +72,14 @@ def split_known(keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     The record table is reduced to distinct wanted keys before it meets the
     list, so a hot key costs one row per input partition.
     """
-    wanted = keys.select("reference_number").distinct()
-    known = (
-        docs.select("reference_number")
-        .distinct()
-        .join(wanted, "reference_number", "left_semi")
-    )
+    wanted = _wanted(keys)
+    names = docs.select("reference_number")
+    if fits_broadcast(wanted):
+        known = F.broadcast(
+            names.join(F.broadcast(wanted), "reference_number", "left_semi").distinct()
+        )
+    else:
+        known = names.distinct().join(wanted, "reference_number", "left_semi")
     found = keys.join(known, "reference_number", "left_semi")
     missing = keys.join(known, "reference_number", "left_anti").withColumn(
         "message", fill_template(NOT_FOUND, key=F.col("reference_number"))

@@ -52,8 +52,9 @@ def judge_prompts(
 ) -> DataFrame:
     """Add ``prompt`` to rows with ``reference_number`` and ``summary``; rows
     whose key has no document are left out."""
-    context = lookup_documents(docs, summaries).select(
-        "reference_number", clip(F.col("doc_text"), CONTEXT_CHARS).alias("context")
+    budgeted = docs.withColumn("doc_text", clip(F.col("doc_text"), CONTEXT_CHARS))
+    context = lookup_documents(budgeted, summaries).select(
+        "reference_number", F.col("doc_text").alias("context")
     )
     prompt = fill_template(
         template, original_context=F.col("context"), summary=F.col("summary")

@@ -37,6 +37,7 @@ from casebrook.operators.blockscore import (
     merge_best,
 )
 from casebrook.operators.corpus import lookup_documents
+from casebrook.operators.sizing import fits_broadcast
 from casebrook.sources.inference import EMBED_BATCH, embed_texts
 from casebrook.sources.storage import materialise
 
@@ -62,21 +63,33 @@ PAYLOAD = ("section", "chunk_index", "chunk_text")
 def seed_vectors(chunks: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """One query per key: the vector of the key's first chunk.
 
+    For a key list of checked size the first chunk ids are found on narrow
+    columns and their vectors picked out by a broadcast join. Otherwise
     ``min_by`` keeps one candidate per key and input partition before the
     shuffle, however many chunks a key has. Keys without chunks give no row.
     """
-    seeds = (
-        chunks.filter(F.col("embedding").isNotNull())
-        .groupBy("reference_number")
-        .agg(
-            F.min("chunk_id").alias("seed_chunk_id"),
-            F.min_by("embedding", "chunk_id").alias("query_vector"),
-        )
+    rows = chunks.filter(F.col("embedding").isNotNull()).select(
+        "reference_number", "chunk_id", "embedding"
     )
-    if keys is not None:
-        seeds = seeds.join(
-            keys.select("reference_number").distinct(), "reference_number", "left_semi"
+    wanted = None if keys is None else keys.select("reference_number").distinct()
+    first = F.min("chunk_id").alias("seed_chunk_id")
+    if wanted is not None and fits_broadcast(wanted):
+        kept = rows.select("reference_number", "chunk_id").join(
+            F.broadcast(wanted), "reference_number", "left_semi"
+        )
+        # one row per wanted key: within the same bound
+        winners = F.broadcast(
+            kept.groupBy("reference_number").agg(first).select("seed_chunk_id")
+        )
+        seeds = rows.join(winners, F.col("chunk_id") == F.col("seed_chunk_id")).select(
+            "reference_number", "seed_chunk_id", F.col("embedding").alias("query_vector")
+        )
+    else:
+        seeds = rows.groupBy("reference_number").agg(
+            first, F.min_by("embedding", "chunk_id").alias("query_vector")
         )
+        if wanted is not None:
+            seeds = seeds.join(wanted, "reference_number", "left_semi")
     return seeds.select(
         F.col("reference_number").alias("query_id"),
         F.col("reference_number").alias("own_key"),
@@ -533,6 +546,8 @@ def similar_chunks(
         barred = duplicates.select(
             F.col("chunk_id").try_cast("long").alias("chunk_id")
         ).filter(F.col("chunk_id").isNotNull())
+        if fits_broadcast(barred):
+            barred = F.broadcast(barred)
     one_per_key = docs is not None
 
     if overfetch is None:

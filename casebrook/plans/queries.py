@@ -311,13 +311,13 @@ def topk_free_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.complaint_documents(spark, sf)
+    docs = materialise(fx.complaint_documents(spark, sf), "documents")
     chunks = fx.complaint_chunks(spark, sf)
     return prompts.retrieval_prompts(docs, docs, chunks, neighbours.seed_vectors(chunks))
 
 
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.complaint_documents(spark, sf)
+    docs = materialise(fx.complaint_documents(spark, sf), "documents")
     chunks = fx.complaint_chunks(spark, sf)
     wanted = fx.table(spark, sf, "labels").select(
         F.expr(f"concat('DOC-', {fx.PADDED_ID})").alias("reference_number")
@@ -400,8 +400,12 @@ def judge_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------- runs
 
 
-def _metric_rows(spark: SparkSession, sf: str) -> DataFrame:
-    averages = average_metrics(_evaluations(spark, sf), fx.run_summaries(spark, sf))
+def _metric_rows(
+    spark: SparkSession, sf: str, evaluations: DataFrame | None = None
+) -> DataFrame:
+    if evaluations is None:
+        evaluations = _evaluations(spark, sf)
+    averages = average_metrics(evaluations, fx.run_summaries(spark, sf))
     return to_metric_rows(averages, AVERAGE_KEYS)
 
 
@@ -419,8 +423,11 @@ def item_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("value", F.round("value", 6))
 
 
-def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    return wide_runs(fx.run_list(spark), fx.run_params(spark), _metric_rows(spark, sf))
+def _runs(
+    spark: SparkSession, sf: str, evaluations: DataFrame | None = None
+) -> DataFrame:
+    metrics = _metric_rows(spark, sf, evaluations)
+    return wide_runs(fx.run_list(spark), fx.run_params(spark), metrics)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -493,8 +500,11 @@ def agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judge_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Judges of the best run; the evaluations serve both sides of the lookup."""
+    evaluations = materialise(_evaluations(spark, sf), "evaluations")
+    breakdown = judging.judge_breakdown(evaluations, ["run_id", "complaint_id"])
     return reports.judge_means(
-        reports.breakdown_of(_runs(spark, sf), _breakdown(spark, sf), "best")
+        reports.breakdown_of(_runs(spark, sf, evaluations), breakdown, "best")
     )
 
 

@@ -226,3 +226,33 @@ def test_chunks_without_vector_are_never_found(spark):
     assert chunks.count() == 60
     got = result(nb.search(queries_of(spark, vectors, {40: "none"}), chunks, 4))
     assert got == brute(vectors, keys, {40: "none"}, 4, False, {i * 3 for i in range(30)})
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_lookups_on_both_sides_of_the_size_bound(spark, monkeypatch, bound):
+    from casebrook.operators import corpus as records
+    from casebrook.operators import sizing
+
+    monkeypatch.setattr(sizing, "MAX_ROWS", bound)
+    vectors, keys = corpus(200)
+    chunks = frame(spark, vectors, keys)
+    wanted = spark.createDataFrame([("hot",), ("absent",), ("hot",)], "reference_number string")
+    seeds = nb.seed_vectors(chunks, wanted).collect()
+    assert [(r["query_id"], r["seed_chunk_id"]) for r in seeds] == [("hot", keys.index("hot") * 3)]
+    docs = chunks.select(
+        F.col("chunk_id").alias("doc_ord"), "reference_number", F.col("chunk_text").alias("doc_text")
+    )
+    found = records.lookup_documents(docs, wanted).collect()
+    assert [tuple(r) for r in found] == [
+        ("hot", keys.index("hot") * 3, f"text {keys.index('hot')}")
+    ]
+    known, missing = records.split_known(wanted, docs)
+    assert [r[0] for r in known.collect()] == ["hot", "hot"]
+    assert [tuple(r) for r in missing.collect()] == [("absent", "Complaint absent not found.")]
+    barred = chunks.filter("chunk_id % 2 = 0").select("chunk_id")
+    got = result(nb.similar_chunks(
+        queries_of(spark, vectors, {1: keys[1]}), chunks, 5, duplicates=barred
+    ))
+    assert got == brute(
+        vectors, keys, {1: keys[1]}, 5, False, {i * 3 for i in range(200) if i * 3 % 2 == 0}
+    )
