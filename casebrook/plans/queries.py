@@ -63,7 +63,8 @@ def distinct_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.first_keys(fx.complaint_documents(spark, sf))
+    keys = corpus.first_keys(fx.complaint_documents(spark, sf))
+    return keys.withColumn("position", F.col("position").cast("long"))
 
 
 def known_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +101,12 @@ def _plain_documents(spark: SparkSession, sf: str, text: str) -> DataFrame:
 
 def _chunk_columns(chunks: DataFrame) -> DataFrame:
     return chunks.select(
-        "doc_ord", "chunk_ord", "section", "chunk_index", "total_chunks", "chunk_text"
+        "doc_ord",
+        F.col("chunk_ord").cast("long").alias("chunk_ord"),
+        "section",
+        "chunk_index",
+        "total_chunks",
+        "chunk_text",
     )
 
 
@@ -198,7 +204,7 @@ def _hit_columns(hits: DataFrame) -> DataFrame:
         "chunk_id",
         "score",
         "text",
-        F.col("meta.chunk_index").cast("long").alias("chunk_index"),
+        "meta.chunk_index",
     )
 
 
