@@ -38,8 +38,7 @@ def model(requests):
     return out
 
 
-@pytest.fixture
-def world(spark, tmp_path):
+def inputs(spark):
     docs = spark.createDataFrame(
         [(i, k, f"text {k}") for i, k in enumerate("ABC")],
         "doc_ord long, reference_number string, doc_text string",
@@ -48,7 +47,19 @@ def world(spark, tmp_path):
         [(1, "A", [1.0, 0.0], "a"), (2, "B", [0.6, 0.8], "b"), (3, "C", [0.0, 1.0], "c")],
         "chunk_id long, reference_number string, embedding array<float>, chunk_text string",
     )
-    return RunStore(spark, str(tmp_path / "store")), docs, chunks
+    return docs, chunks
+
+
+@pytest.fixture
+def world(spark, tmp_path):
+    return RunStore(spark, str(tmp_path / "store")), *inputs(spark)
+
+
+@pytest.fixture(scope="module")
+def done(spark, tmp_path_factory):
+    """A store with one finished experiment, and its ranked result."""
+    world = RunStore(spark, str(tmp_path_factory.mktemp("done"))), *inputs(spark)
+    return world, run(world).collect()
 
 
 def run(world, judges=PANEL, name="exp", keys=("B", "A", "nowhere", "A")):
@@ -59,9 +70,8 @@ def run(world, judges=PANEL, name="exp", keys=("B", "A", "nowhere", "A")):
     )
 
 
-def test_experiment(world):
-    store = world[0]
-    ranked = run(world).collect()
+def test_experiment(done):
+    (store, *_), ranked = done
     assert [r["llm_name"] for r in ranked] == ["good", "poor"]
     good, poor = ranked
     assert (good["avg_overall_score"], good["avg_judge_agreement"]) == (5.0, 1.0)
@@ -92,17 +102,27 @@ def test_experiment(world):
     assert row["n_failed_judges"] == 1 and row["individual_judge_scores"]["j1"]["clarity"] == 2.0
 
 
-def test_writing_twice_changes_nothing(world):
+def test_writing_twice_changes_nothing(done):
+    world, _ = done
     store = world[0]
-    run(world)
     before = {t: store.read(t).count() for t in ("runs", "run_metrics", "summaries", "evaluations")}
     run(world)
     assert before == {t: store.read(t).count() for t in before}
-    run(world, name="other")
-    assert store.read("runs").count() == 2 * before["runs"]
     assert store.wide_runs("exp").count() == 3 and store.wide_runs("absent").count() == 0
 
 
+def test_runs_are_added_beside_each_other(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "s"))
+    for name in ("a", "b"):
+        rows = [(name, "k", 1.0 if name == "a" else 2.0), (name, "l", 0.0)]
+        store.write("run_metrics", spark.createDataFrame(rows, "run_id string, key string, value double"))
+    assert store.read("run_metrics").count() == 4
+    one = spark.createDataFrame([("a", "k", 9.0)], "run_id string, key string, value double")
+    store.write("run_metrics", one)
+    got = {(r["run_id"], r["key"]): r["value"] for r in store.read("run_metrics").collect()}
+    assert got == {("a", "k"): 9.0, ("b", "k"): 2.0, ("b", "l"): 0.0}
+
+
 def test_single_judge_experiment(world):
     store = world[0]
     ranked = run(world, judges="judge-1")
@@ -139,9 +159,8 @@ def test_empty_store(spark, tmp_path):
     assert reports.recent_runs(wide).count() == 0
 
 
-def test_csv_export(world, spark, tmp_path):
-    run(world)
-    store, good = world[0], run_id_of("exp", "good", START)
+def test_csv_export(done, spark, tmp_path):
+    store, good = done[0][0], run_id_of("exp", "good", START)
     store.export_csv("evaluations", good, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.count() == 3
@@ -149,15 +168,13 @@ def test_csv_export(world, spark, tmp_path):
     assert nested["j1"]["accuracy"] == 5.0
 
 
-def test_reading_one_run_prunes(world):
-    run(world)
-    plan = world[0].read_run("summaries", "abc")._jdf.queryExecution().executedPlan().toString()
+def test_reading_one_run_prunes(done):
+    plan = done[0][0].read_run("summaries", "abc")._jdf.queryExecution().executedPlan().toString()
     assert "run_id" in plan[plan.index("PartitionFilters") :].split("]")[0]
 
 
-def test_export_table(world, spark):
-    run(world)
-    compared = reports.comparison(reports.experiment_runs(world[0], "exp"))
+def test_export_table(done, spark):
+    compared = reports.comparison(reports.experiment_runs(done[0][0], "exp"))
     reports.export_comparison(compared, "results_for_test")
     reports.export_comparison(compared, "results_for_test")
     back = reports.exported_results(spark, "results_for_test").collect()
