@@ -53,7 +53,7 @@ MAX_KEPT_ROWS = 200_000  # rows a scan task may hold: queries * k
 MERGE_SALTS = 32
 MAX_PIVOTS = 256
 CELL_CHUNKS = 8192
-TILE_BYTES = 64 << 20  # vectors of one tile
+TILE_BYTES = 64 << 20  # vectors of either side of a tile; equal sides copy least
 PAYLOAD = ("section", "chunk_index", "chunk_text")
 
 
@@ -353,7 +353,7 @@ def _routed(
 ) -> DataFrame:
     spark = chunks.sparkSession
     tile_chunks = tile_chunks or max(1024, TILE_BYTES // (4 * dim))
-    tile_queries = tile_queries or max(256, TILE_BYTES // (32 * dim))
+    tile_queries = tile_queries or max(1024, TILE_BYTES // (4 * dim))
     if n_pivots is None:
         n_pivots = max(1, min(MAX_PIVOTS, math.ceil(chunks.count() / CELL_CHUNKS)))
     pivots = _pick_pivots(chunks, dim, n_pivots)
