@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casebrook.llm import (
     fingerprints,
     host_rules,
+    lm,
     packing,
     secrets,
     token_files,
@@ -23,6 +24,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score_held_out(documents(spark, sf))
+
+
 def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf))
 
@@ -47,6 +52,7 @@ def op8_host_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_fingerprints": op2_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
