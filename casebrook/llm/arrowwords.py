@@ -104,6 +104,16 @@ def _cut(raw: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
+def words_of(text: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of one text (UTF-8)."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    parts = []
+    for low, high in _cut(raw, 0, len(raw)):
+        starts, ends = spans(raw[low:high])
+        parts.append((hashes(raw[low:high], starts, ends, fold), starts + low, ends + low))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def documents(texts: pa.Array, fold: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
     """``(first row, word hashes of each row)`` for runs of rows.
 

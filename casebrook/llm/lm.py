@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebrook.llm import arrowwords, bloom
+from casebrook.llm.blobs import cut_by_shard, joined, shards_for
 from casebrook.sources.storage import materialise
 
 MIN_PAIRS = 2
@@ -80,16 +81,8 @@ def _batch_tokens(texts: pa.Array) -> Iterator[np.ndarray]:
             yield tokens_of(words)
 
 
-def _cut_by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard begins and ends in ascending keys; shards: a power of two."""
-    if shards == 1:
-        return np.array([0, len(keys)])
-    bounds = np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - (shards.bit_length() - 1))
-    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
-
-
 def _blob_rows(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    cuts = _cut_by_shard(keys, shards)
+    cuts = cut_by_shard(keys, shards)
     full = np.flatnonzero(np.diff(cuts))
     return pa.RecordBatch.from_arrays(
         [
@@ -102,11 +95,6 @@ def _blob_rows(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) ->
     )
 
 
-def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in column]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
-
-
 def count_ngrams(texts: DataFrame, shards: int, min_pairs: int) -> DataFrame:
     """Exact counts of words and of pairs seen ``min_pairs`` times, in shards.
 
@@ -137,7 +125,7 @@ def count_ngrams(texts: DataFrame, shards: int, min_pairs: int) -> DataFrame:
 
     def merge(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        keys, times = _joined(table.column("keys"), np.uint64), _joined(table.column("counts"), np.uint32)
+        keys, times = joined(table.column("keys"), np.uint64), joined(table.column("counts"), np.uint32)
         order = np.argsort(keys, kind="stable")
         keys, times = keys[order], times[order].astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -245,7 +233,7 @@ def train(
     spark = docs.sparkSession
     texts = docs.select(_text_column(docs, text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 << max(4, min(16, int(size >> 24).bit_length()))
+    shards = shards_for(int(size))
     counts = materialise(count_ngrams(texts, shards, min_pairs), "ngrams")
     stats = {
         r["kind"]: r
@@ -362,7 +350,7 @@ def _hot_words(model: Model) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, times = _joined(batch.column(0), np.uint64), _joined(batch.column(1), np.int64)
+            keys, times = joined(batch.column(0), np.uint64), joined(batch.column(1), np.int64)
             hot = times >= least
             yield pa.RecordBatch.from_arrays(
                 [pa.array([keys[hot].tobytes()]), pa.array([times[hot].tobytes()])],
@@ -442,7 +430,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 starts = np.flatnonzero(new)
                 often = np.diff(np.append(starts, len(words))).astype(np.uint32)
                 words, own = words[starts], own[starts].astype(np.uint32)
-                cuts = _cut_by_shard(words, shards)
+                cuts = cut_by_shard(words, shards)
                 full = np.flatnonzero(np.diff(cuts))
                 part = lambda x: [x[cuts[s] : cuts[s + 1]].tobytes() for s in full]
                 nulls = [None] * len(full)
@@ -474,8 +462,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def look_up(found: pa.Table, counted: pa.Table) -> pa.Table:
         """What rare words add to each row, from the exact counts of one shard."""
-        keys = _joined(counted.column("keys"), np.uint64)
-        times = _joined(counted.column("counts"), np.int64)
+        keys = joined(counted.column("keys"), np.uint64)
+        times = joined(counted.column("counts"), np.int64)
         firsts = found.column("row").to_pylist()
         out_rows, out_base, out_known = [], [], []
         for first, words, own, often in zip(firsts, *(found.column(c) for c in ("keys", "docs", "times"))):

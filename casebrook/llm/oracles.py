@@ -82,6 +82,26 @@ def host_rules_sql(docs: str = "documents") -> str:
 )"""
 
 
+SUBSTRINGS = r"""WITH words_ AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w
+  FROM documents
+), starts_ AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words_ WHERE len(w) >= 13
+), windows_ AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY list_slice(w, i, i + 12)) AS first FROM starts_
+), gone_ AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows_ WHERE first < doc_id
+), each_ AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words_
+), kept_ AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+  FROM each_ ANTI JOIN gone_ USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words_ LEFT JOIN kept_ k USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op9_substrings": SUBSTRINGS,
     "op8_host_rules": f"WITH {host_rules_sql()} SELECT * EXCLUDE (r) FROM judged",
 }

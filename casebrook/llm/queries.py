@@ -13,6 +13,7 @@ from casebrook.llm import (
     lm,
     packing,
     secrets,
+    substrings,
     token_files,
 )
 from casebrook.sources.storage import materialise
@@ -51,6 +52,10 @@ def op8_host_rules(spark: SparkSession, sf: str) -> DataFrame:
     return host_rules.judged_documents(documents(spark, sf), F.col("source"))
 
 
+def op9_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(documents(spark, sf)).drop("kept_text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_fingerprints": op2_fingerprints,
@@ -58,4 +63,5 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_host_rules": op8_host_rules,
+    "op9_substrings": op9_substrings,
 }
