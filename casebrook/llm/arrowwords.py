@@ -11,6 +11,7 @@ white space, so memory follows the slice and the words, not the bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -104,21 +105,24 @@ def _cut(raw: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def words_of(text: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of one text (UTF-8)."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    parts = []
-    for low, high in _cut(raw, 0, len(raw)):
-        starts, ends = spans(raw[low:high])
-        parts.append((hashes(raw[low:high], starts, ends, fold), starts + low, ends + low))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+@dataclass(frozen=True)
+class Slice:
+    """The words of a run of rows: hashes, their bytes, and where each row's begin."""
 
+    first: int
+    data: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+
+    def rows(self) -> np.ndarray:
+        """The row (from the slice's first) of each word."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
-def documents(texts: pa.Array, fold: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """``(first row, word hashes of each row)`` for runs of rows.
 
-    Null texts have no words. A run holds about ``SLICE_BYTES`` of text.
-    """
+def slices(texts: pa.Array, fold: bool) -> Iterator[Slice]:
+    """Runs of rows of about ``SLICE_BYTES`` of text. Null texts have no words."""
     raw, at = _buffers(texts)
     row, rows = 0, len(texts)
     while row < rows:
@@ -126,10 +130,13 @@ def documents(texts: pa.Array, fold: bool) -> Iterator[tuple[int, list[np.ndarra
         last = min(max(last, row + 1), rows)
         low, high = int(at[row]), int(at[last])
         if last == row + 1 and high - low > SLICE_BYTES:
-            parts = [
-                hashes(raw[a:b], *spans(raw[a:b]), fold) for a, b in _cut(raw, low, high)
-            ]
-            yield row, [np.concatenate(parts)]
+            data = raw[low:high]
+            parts = []
+            for a, b in _cut(data, 0, len(data)):
+                starts, ends = spans(data[a:b])
+                parts.append((hashes(data[a:b], starts, ends, fold), starts + a, ends + a))
+            words, starts, ends = (np.concatenate(x) for x in zip(*parts))
+            yield Slice(row, data, words, starts, ends, np.array([0, len(words)]))
         else:
             # a document's last word must not run into the next document's first
             gap = at[row : last + 1] - low + np.arange(last + 1 - row)
@@ -139,10 +146,16 @@ def documents(texts: pa.Array, fold: bool) -> Iterator[tuple[int, list[np.ndarra
             data[keep] = raw[low:high]
             starts, ends = spans(data)
             found = hashes(data, starts, ends, fold)
-            yield row, np.split(found, np.searchsorted(starts, gap[1:-1]))
+            yield Slice(row, data, found, starts, ends, np.searchsorted(starts, gap))
         row = last
 
 
+def documents(texts: pa.Array, fold: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """``(first row, word hashes of each row)`` for runs of rows."""
+    for part in slices(texts, fold):
+        yield part.first, np.split(part.words, part.bounds[1:-1])
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """The hash of every run of ``size`` consecutive words."""
     n = len(words) - size + 1

@@ -4,6 +4,7 @@ A window of ``WINDOW`` words is removed if it also starts in a document with a
 smaller id. Every window has an anchor, the least hash among its ``ANCHOR``-word
 runs; equal windows have equal anchors. The work is:
 
+0. A document whose whole text has a smaller id goes whole and takes no part.
 1. Anchors of all documents are counted. Those of one document cannot repeat.
 2. Runs of windows with one repeated anchor (segments of text) go to the shard
    of their anchor. The repeated anchors are known to tasks as a Bloom filter of
@@ -33,7 +34,7 @@ from casebrook.llm import arrowwords, bloom
 from casebrook.llm.blobs import cut_by_shard, joined, shards_for
 from casebrook.llm.fmindex import FMIndex
 from casebrook.llm.scratch import discard, written
-from casebrook.operators.sizing import fits_broadcast
+from casebrook.operators.sizing import MAX_BYTES, MAX_ROWS, fits_broadcast
 
 WINDOW = 13
 ANCHOR = 4
@@ -46,7 +47,7 @@ _HELD = 1 << 20
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
-    """The anchor of every window of a document."""
+    """The anchor of every window of consecutive words."""
     least = arrowwords.windows(words, ANCHOR)
     wide, width = WINDOW - ANCHOR + 1, 1
     if len(least) < wide:
@@ -58,16 +59,27 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def segments(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of runs with one anchor, ``WINDOW`` at most."""
-    if not len(found):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-    lengths = np.diff(np.append(first, len(found)))
+def segments(part: arrowwords.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor in one row, ``WINDOW`` windows at most.
+
+    Returned are the row, the anchor, the first window (a place in the slice's
+    words) and the number of windows of each.
+    """
+    rows = part.rows()
+    found = anchors(part.words)
+    inside = np.flatnonzero(rows[: len(found)] == rows[WINDOW - 1 :][: len(found)])
+    if not len(inside):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none
+    own = found[inside]
+    fresh = np.concatenate(([True], (np.diff(inside) != 1) | (own[1:] != own[:-1])))
+    first = np.flatnonzero(fresh)
+    lengths = np.diff(np.append(first, len(inside)))
     pieces = -(-lengths // WINDOW)
     within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = np.repeat(first, pieces) + within * WINDOW
-    return starts, np.minimum(np.repeat(first + lengths, pieces) - starts, WINDOW)
+    starts = np.repeat(inside[first], pieces) + within * WINDOW
+    counts = np.minimum(np.repeat(inside[first] + lengths, pieces) - starts, WINDOW)
+    return rows[starts], found[starts], starts, counts
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -81,6 +93,25 @@ def _prepared(docs: DataFrame) -> DataFrame:
     )
 
 
+def with_copies(rows: DataFrame) -> DataFrame:
+    """Add ``is_copy``: the same text has a smaller id. All its windows then go."""
+    marks = rows.select("key", "print", F.xxhash64("text", F.lit(1)).alias("second"))
+    texts = marks.groupBy("print", "second").agg(F.min("key").alias("a"), F.max("key").alias("z"))
+    first = texts.where("a < z").select("print", "second", "a")
+    first, _ = written(first, "copied-texts")
+    first = F.broadcast(first) if fits_broadcast(first) else first
+    joined_rows = rows.withColumn("second", F.xxhash64("text", F.lit(1))).join(
+        first, ["print", "second"], "left"
+    )
+    copy = F.coalesce(F.col("key") > F.col("a"), F.lit(False))
+    return joined_rows.withColumn("is_copy", copy).drop("second", "a")
+
+
+def _fits(spans: DataFrame) -> bool:
+    size = spans.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("spans")).first()
+    return size["n"] <= MAX_ROWS and 32 * size["n"] + 8 * (size["spans"] or 0) <= MAX_BYTES
+
+
 def repeated_anchors(texts: DataFrame, shards: int) -> DataFrame:
     """Anchors (signed 64-bit) that occur in two rows or more."""
 
@@ -103,10 +134,15 @@ def repeated_anchors(texts: DataFrame, shards: int) -> DataFrame:
             )
 
         for batch in batches:
-            for _, found in arrowwords.documents(batch.column(0), False):
-                for words in found:
-                    held.append(np.unique(anchors(words)))
-                    size += len(held[-1])
+            for part in arrowwords.slices(batch.column(0), False):
+                rows, own, _, _ = segments(part)
+                order = np.lexsort((rows, own))
+                rows, own = rows[order], own[order]
+                # once for each row
+                new = np.ones(len(own), dtype=bool)
+                new[1:] = (own[1:] != own[:-1]) | (rows[1:] != rows[:-1])
+                held.append(own[new])
+                size += len(held[-1])
                 if size >= _HELD:
                     yield emit()
                     held, size = [], 0
@@ -135,85 +171,74 @@ def candidate_segments(rows: DataFrame, found: bloom.Bloom) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = bloom.Bloom(np.frombuffer(bits.value, dtype=np.uint8))
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
-
-            def emit() -> pa.RecordBatch:
-                columns = [np.concatenate([h[i] for h in held]) for i in range(6)]
-                texts = [t for h in held for t in h[6]]
-                types = [pa.int64()] * 5 + [pa.int32()]
-                arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
-                return pa.RecordBatch.from_arrays(
-                    [*arrays, pa.array(texts, type=pa.binary())],
-                    names=[f.split()[0] for f in SEGMENT.split(", ")],
-                )
-
-            for key, mark, text in zip(*(batch.column(i) for i in range(3))):
-                raw = text.as_py().encode()
-                words, begins, ends = arrowwords.words_of(raw, False)
-                own = anchors(words)
-                starts, counts = segments(own)
-                hit = probe.contains(own[starts])
-                starts, counts = starts[hit], counts[hit]
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            prints = batch.column(1).to_numpy(zero_copy_only=False)
+            for part in arrowwords.slices(batch.column(2), False):
+                rows, own, starts, counts = segments(part)
+                hit = probe.contains(own)
+                rows, own, starts, counts = rows[hit], own[hit], starts[hit], counts[hit]
                 if not len(starts):
                     continue
-                hashed = arrowwords.windows(words, WINDOW)
+                hashed = arrowwords.windows(part.words, WINDOW)
                 with np.errstate(over="ignore"):
+                    # sums of the windows' hashes, in two ways
                     one = np.concatenate(([np.uint64(0)], np.cumsum(hashed)))
                     two = np.concatenate(([np.uint64(0)], np.cumsum(arrowwords.mix(hashed))))
-                    n = counts.astype(np.uint64)
-                    # windows of a segment follow from the first and their number
-                    one = arrowwords.mix(one[starts + counts] - one[starts] + n)
-                    two = arrowwords.mix((two[starts + counts] - two[starts]) ^ hashed[starts])
-                held.append(
-                    (
-                        own[starts].view(np.int64),
-                        one.view(np.int64),
-                        two.view(np.int64),
-                        np.full(len(starts), key.as_py()),
-                        np.full(len(starts), mark.as_py()),
-                        starts,
-                        [raw[a:b] for a, b in zip(begins[starts].tolist(),
-                                                  ends[starts + counts + WINDOW - 2].tolist())],
-                    )
-                )
-                size += len(starts)
-                if size >= 50_000:
-                    yield emit()
-                    held, size = [], 0
-            if held:
-                yield emit()
+                    one = one[starts + counts] - one[starts] + counts.astype(np.uint64)
+                    two = (two[starts + counts] - two[starts]) ^ hashed[starts]
+                raw = part.data.tobytes()
+                lows = part.starts[starts].tolist()
+                highs = part.ends[starts + counts + WINDOW - 2].tolist()
+                at = rows + part.first
+                numbers = [own.view(np.int64), arrowwords.mix(one).view(np.int64)]
+                numbers += [arrowwords.mix(two).view(np.int64), keys[at], prints[at]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(c, type=pa.int64()) for c in numbers),
+                        pa.array(starts - part.bounds[rows], type=pa.int32()),
+                        pa.array([raw[a:b] for a, b in zip(lows, highs)], type=pa.binary()),
+                    ],
+                    names=[f.split()[0] for f in SEGMENT.split(", ")],
+                )
 
     return rows.select("key", "print", "text").mapInArrow(run, SEGMENT)
 
 
+def _texts(column: pa.Array | pa.ChunkedArray) -> list[arrowwords.Slice]:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return [part for c in chunks for part in arrowwords.slices(c.cast(pa.string()), False)]
+
+
 def _single_windows(big: DataFrame) -> DataFrame:
     """Segments as single windows, dealt by the window itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for one, two, first, last, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                found, begins, ends = arrowwords.words_of(words, False)
-                routes = arrowwords.windows(found, WINDOW).view(np.int64)
-                out += [
-                    (int(r), one, two, k, first, last, words[begins[k] : ends[k + WINDOW - 1]])
-                    for k, r in enumerate(routes)
-                ]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("route", "one", "two", "skip", "first", "last", "words"), x)) for x in out],
-                schema=_ROUTED_ARROW,
-            )
+            for part in _texts(batch.column(4)):
+                rows = part.rows()
+                routes = arrowwords.windows(part.words, WINDOW)
+                inside = np.flatnonzero(rows[: len(routes)] == rows[WINDOW - 1 :][: len(routes)])
+                raw, own = part.data.tobytes(), rows[inside]
+                lows = part.starts[inside].tolist()
+                highs = part.ends[inside + WINDOW - 1].tolist()
+                at = pa.array(own + part.first)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(routes[inside].view(np.int64)),
+                        batch.column(0).take(at),
+                        batch.column(1).take(at),
+                        pa.array(inside - part.bounds[own], type=pa.int32()),
+                        batch.column(2).take(at),
+                        batch.column(3).take(at),
+                        pa.array([raw[a:b] for a, b in zip(lows, highs)], type=pa.binary()),
+                    ],
+                    names=[f.split()[0] for f in _ROUTED.split(", ")],
+                )
 
     return big.select("one", "two", "first", "last", "words").mapInArrow(run, _ROUTED)
 
 
 _ROUTED = "route long, one long, two long, skip int, first long, last long, words binary"
-_ROUTED_ARROW = pa.schema(
-    [("route", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("skip", pa.int32()),
-     ("first", pa.int64()), ("last", pa.int64()), ("words", pa.binary())]
-)
-
 
 def first_documents(routed: DataFrame, shards: int) -> DataFrame:
     """For each segment the smallest id that holds each of its windows.
@@ -223,9 +248,10 @@ def first_documents(routed: DataFrame, shards: int) -> DataFrame:
     """
 
     def search(table: pa.Table) -> pa.Table:
-        parts = [arrowwords.words_of(w.as_py(), False)[0] for w in table.column("words")]
-        lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        index = FMIndex(np.concatenate(parts), lengths)
+        parts = _texts(table.column("words"))
+        words = np.concatenate([p.words for p in parts])
+        lengths = np.concatenate([np.diff(p.bounds) for p in parts])
+        index = FMIndex(words, lengths)
         owner = table.column("first").to_numpy()
         # the id behind each suffix; what starts at a separator is behind none
         place = np.searchsorted(index.starts, index.suffixes, side="right") - 1
@@ -235,7 +261,8 @@ def first_documents(routed: DataFrame, shards: int) -> DataFrame:
         within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         ends = index.starts[segment] + within + WINDOW
         # equal windows need one search
-        routes = np.concatenate([arrowwords.windows(p, WINDOW) for p in parts])
+        begins = np.cumsum(lengths) - lengths
+        routes = arrowwords.windows(words, WINDOW)[begins[segment] + within]
         _, pick, back = np.unique(routes, return_index=True, return_inverse=True)
         reach = np.full(len(pick), WINDOW, dtype=np.int64)
         statistics, low, high = index.match(index.text, ends[pick], reach)
@@ -293,7 +320,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         .withColumn("gone", gone)
         .where(F.size("gone") > 0)
         .groupBy("key", "print")
-        .agg(F.collect_set(F.struct(low.alias("low"), high.alias("high"))).alias("spans"))
+        .agg(F.collect_set(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))).alias("spans"))
     )
     spans, _ = written(spans, "repeated-spans")
     for path in (at_held, at_distinct, at_firsts):
@@ -313,8 +340,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     other columns are not read. ``kept_text`` is the kept words with one space
     between them.
     """
-    rows = _prepared(docs)
-    spans = repeated_spans(rows)
+    rows = with_copies(_prepared(docs))
+    spans = repeated_spans(rows.where("not is_copy").drop("is_copy"))
+    if _fits(spans):
+        spans = F.broadcast(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,12 +357,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     names=[f.split()[0] for f in RESULT.split(", ")],
                 )
 
-            for doc_id, text, ranges in zip(*(batch.column(i) for i in range(3))):
+            for doc_id, text, ranges, copy in zip(*(batch.column(i) for i in range(4))):
                 words = text.as_py().encode().split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for r in ranges.as_py() or ():
                     gone[r["low"]] += 1
                     gone[r["high"]] -= 1
+                if copy.as_py() and len(words) >= WINDOW:
+                    gone[0] += 1
                 kept = np.cumsum(gone)[: len(words)] == 0
                 if kept.all():
                     left = b" ".join(words)
@@ -349,5 +380,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             if out:
                 yield emit()
 
-    joined_rows = rows.join(spans, ["key", "print"], "left").select("doc_id", "text", "spans")
+    joined_rows = rows.join(spans, ["key", "print"], "left")
+    joined_rows = joined_rows.select("doc_id", "text", "spans", "is_copy")
     return joined_rows.mapInArrow(run, RESULT)
