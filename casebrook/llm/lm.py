@@ -41,6 +41,7 @@ HOT = 200_000
 GRID = (0.0, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 WORDS, PAIRS = 0, 1
 _TOKENS_HELD = 2 << 20
+_TOKENS_READ = 1 << 19
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _BEGIN = np.uint64(0x5BE0CD19137E2179)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -203,11 +204,13 @@ def _build_filter(counts: DataFrame, least_pair: int, blocks: int) -> bloom.Bloo
                 else:
                     stored = levels >= level_of(np.array([least_pair]))[0]
                     own, levels = own[stored], levels[stored]
-                number = 1
+                every, number = [], 1
                 while len(own):
-                    yield bloom.dealt(_numbered(own, number), blocks)
+                    every.append(_numbered(own, number))
                     number += 1
                     own, levels = own[levels >= number], levels[levels >= number]
+                if every:
+                    yield bloom.dealt(np.concatenate(every), blocks)
 
     return bloom.of_blocks(counts.select("kind", "keys", "counts").mapInArrow(run, bloom.KEYS), blocks)
 
@@ -307,10 +310,15 @@ def _fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
             history = np.concatenate([histories(t) for t in held])
             level, c_history, c_word, c_pair = read(history, tokens)
             left = c_pair - 1
-            left[left < least] = 0
-            two = left / np.maximum(c_history - 1, 1)
+            seen = left >= least
             one = np.maximum(c_word, 1) / whole
-            for k, g in enumerate(grid):
+            # an unseen pair's fit is that of its word and of 1 - g
+            unseen = level[~seen]
+            sums[:, :] += np.bincount(unseen, np.log(one[~seen]), _LEVELS)[:, None]
+            sums[:, :] += np.bincount(unseen, minlength=_LEVELS)[:, None] * np.log1p(-grid)
+            level, one = level[seen], one[seen].astype(np.float32)
+            two = (left[seen] / np.maximum(c_history[seen] - 1, 1)).astype(np.float32)
+            for k, g in enumerate(grid.astype(np.float32)):
                 sums[:, k] += np.bincount(level, np.log(g * two + (1 - g) * one), _LEVELS)
 
         held: list[np.ndarray] = []
@@ -319,7 +327,7 @@ def _fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
             for tokens in _batch_tokens(batch.column(0)):
                 held.append(tokens)
                 size += len(tokens)
-                if size >= _TOKENS_HELD // 2:
+                if size >= _TOKENS_READ:
                     add(held)
                     held, size = [], 0
         if held:
@@ -448,7 +456,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 held.append(tokens)
                 ids.append(key)
                 size += len(tokens)
-                if size >= _TOKENS_HELD // 2:
+                if size >= _TOKENS_READ:
                     yield from finish(held, ids)
                     held, ids, size = [], [], 0
         if held:

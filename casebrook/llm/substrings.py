@@ -56,7 +56,8 @@ def anchors(words: np.ndarray) -> np.ndarray:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     rest = wide - width
-    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    return arrowwords.mix(least)  # least values are low, shards and filters want them spread
 
 
 def segments(part: arrowwords.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
