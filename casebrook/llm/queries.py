@@ -11,6 +11,7 @@ from casebrook.llm import (
     fingerprints,
     host_rules,
     lm,
+    near_duplicates,
     packing,
     secrets,
     substrings,
@@ -33,6 +34,10 @@ def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf))
 
 
+def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf))
+
+
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document, counted in flat files that know no documents."""
     blocks = materialise(token_files.write_blocks(documents(spark, sf)), "token-blocks")
@@ -59,6 +64,7 @@ def op9_substrings(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_fingerprints": op2_fingerprints,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
