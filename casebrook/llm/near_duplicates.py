@@ -44,7 +44,7 @@ ROWS, BANDS = 6, 56
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
 SIGMAS = 6.0
-TILE = 128
+TILE = 512
 BITS_PER_ID = 16
 MAX_FILTER_BYTES = 64 << 20
 _PROBES = 64
