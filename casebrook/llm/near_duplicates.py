@@ -368,3 +368,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         back(component).alias("component_id"),
         (F.col("id") == component).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows of ``docs`` that stay: the least id of each component.
+
+    Rows without an id stay. Rows that repeat both id and text are one. All
+    columns are as they were; texts are joined only with ids to drop, broadcast
+    if their measured size is small.
+    """
+    judged = near_duplicates(docs, shingle)
+    drop, _ = written(judged.where("not kept").select("doc_id").distinct(), "dropped")
+    rows = docs.join(F.broadcast(drop) if fits_broadcast(drop) else drop, "doc_id", "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again, _ = written(again.select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return rows.select(docs.columns)
+    again = F.broadcast(again) if fits_broadcast(again) else again
+    repeated = rows.join(again, "doc_id", "left_semi").select(docs.columns)
+    return (
+        rows.join(again, "doc_id", "left_anti")
+        .select(docs.columns)
+        .unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from casebrook.llm import lines
 from casebrook.llm.host_rules import HOST_LIMIT, MIN_PRIOR, MIN_WORDS, REPEAT_PERCENT
 
 _RULES = {
@@ -101,7 +102,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
   sha256(coalesce(k.text, '')) AS kept_sha256
 FROM words_ LEFT JOIN kept_ k USING (doc_id)"""
 
+LINES = f"""WITH rows_ AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+), lines_ AS (
+  SELECT r, source, unnest(string_split(text, chr(10))) AS line,
+    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM rows_
+), wide_ AS (
+  SELECT line FROM lines_ WHERE length(line) >= {lines.MIN_CHARS}
+  GROUP BY line HAVING count(DISTINCT source) >= {lines.MIN_SITES}
+), hits_ AS (
+  SELECT r, i, sum(length(line)) OVER (PARTITION BY r) AS chars
+  FROM lines_ SEMI JOIN wide_ USING (line)
+), gone_ AS (
+  SELECT r, i FROM hits_ JOIN rows_ USING (r) WHERE 2 * chars <= length(text)
+), kept_ AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+  FROM lines_ ANTI JOIN gone_ USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
+  CAST(len(string_split(d.text, chr(10))) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM rows_ d LEFT JOIN kept_ k USING (r)"""
+
 ORACLES: dict[str, str] = {
+    "op5_line_spread": LINES,
     "op9_substrings": SUBSTRINGS,
     "op8_host_rules": f"WITH {host_rules_sql()} SELECT * EXCLUDE (r) FROM judged",
 }

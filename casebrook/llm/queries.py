@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from casebrook.llm import (
     fingerprints,
     host_rules,
+    lines,
     lm,
     near_duplicates,
     packing,
     secrets,
+    segmentation,
     substrings,
     token_files,
 )
@@ -45,6 +47,12 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select(F.col("label").alias("doc_id"), "file", "doc_no", "start", "n_tokens")
 
 
+def op5_line_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document without those that many sources share."""
+    report = lines.line_report(documents(spark, sf), F.col("source"))
+    return report.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf))
 
@@ -61,13 +69,19 @@ def op9_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.without_repeats(documents(spark, sf)).drop("kept_text")
 
 
+def op10_segmentation(spark: SparkSession, sf: str) -> DataFrame:
+    return segmentation.segment_documents(documents(spark, sf)).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_fingerprints": op2_fingerprints,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_counts": op4_token_counts,
+    "op5_line_spread": op5_line_spread,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_host_rules": op8_host_rules,
     "op9_substrings": op9_substrings,
+    "op10_segmentation": op10_segmentation,
 }

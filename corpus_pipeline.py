@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebrook.llm import host_rules, packing, secrets
+from casebrook.llm import host_rules, lines, near_duplicates, packing, secrets
 from casebrook.sources.storage import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+NEAR_SHINGLE = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject; ``source`` is the host."""
     return host_rules.accepted_documents(docs, F.col("source"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take lines that many sources share out of texts; every document stays."""
+    return lines.without_boilerplate(docs, F.col("source"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near-duplicates."""
+    return near_duplicates.one_of_each(docs, NEAR_SHINGLE)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets; every document stays."""
     return secrets.redact_documents(docs)
@@ -30,6 +42,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-duplicates", near_dedup),
     ("secret scan", secret_scan),
     ("packing", pack),
 ]
