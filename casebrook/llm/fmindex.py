@@ -79,13 +79,14 @@ class FMIndex:
         return np.where(self.alphabet[at] == words, at + 1, -1)
 
     def match(
-        self, codes: np.ndarray, ends: np.ndarray, reach: np.ndarray
+        self, codes: np.ndarray, ends: np.ndarray, reach: np.ndarray, least: int = 1
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics at places of a streamed sequence of symbols.
 
         For the words that end before ``ends``, read backwards for up to
-        ``reach`` words: the length of the longest run that the index holds, and
-        the interval of its suffixes. Symbols below 1 match nothing.
+        ``reach`` words: the length of the longest run that the index holds at
+        ``least`` times, and the interval of its suffixes. Symbols below 1 match
+        nothing.
         """
         if len(reach) and reach.max() > MAX_PATTERN:
             raise ValueError(f"patterns of more than {MAX_PATTERN} words")
@@ -98,7 +99,7 @@ class FMIndex:
             symbols = codes[ends[live] - 1 - length[live]]
             live, symbols = live[symbols > 0], symbols[symbols > 0]
             new_low, new_high = self.step(symbols, low[live]), self.step(symbols, high[live])
-            found = new_high > new_low
+            found = new_high - new_low >= least
             live = live[found]
             low[live], high[live] = new_low[found], new_high[found]
             length[live] += 1

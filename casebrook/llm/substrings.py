@@ -266,10 +266,12 @@ def first_documents(routed: DataFrame, shards: int) -> DataFrame:
         routes = arrowwords.windows(words, WINDOW)[begins[segment] + within]
         _, pick, back = np.unique(routes, return_index=True, return_inverse=True)
         reach = np.full(len(pick), WINDOW, dtype=np.int64)
-        statistics, low, high = index.match(index.text, ends[pick], reach)
+        # the index holds each of its windows once at least; other documents have
+        # only those that it holds twice, so a search ends where one place is left
+        statistics, low, high = index.match(index.text, ends[pick], reach, least=2)
         bounds = np.stack([low, high], axis=1).reshape(-1)
         least = np.minimum.reduceat(np.append(ids, np.iinfo(np.int64).max), bounds)[::2]
-        least = np.where(statistics >= WINDOW, least, np.iinfo(np.int64).max)[back]
+        least = np.where(statistics >= WINDOW, least, owner[segment[pick]])[back]
         starts = np.cumsum(windows) - windows
         useful = np.flatnonzero(np.minimum.reduceat(least, starts) < table.column("last").to_numpy())
         lists = [least[starts[s] : starts[s] + windows[s]].tolist() for s in useful]
