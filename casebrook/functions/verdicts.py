@@ -14,7 +14,6 @@ NEUTRAL_SCORE = 3.0
 NO_REASON = "N/A"
 # ----------------------------------------------------------------------------
 _BAD = "_bad"
-_NESTING = 4
 _PARSED = T.StructType([*VERDICT.fields, T.StructField(_BAD, T.StringType())])
 _OPTIONS = {
     "mode": "PERMISSIVE",
@@ -33,15 +32,24 @@ def is_one_object(text: Column) -> Column:
 
     ``from_json`` stops after the first value. One opening brace at the start
     and one closing brace at the end settle the usual flat answer. Otherwise
-    quoted strings are blanked and innermost braces folded away; one object
-    folds to one mark, two in a row or an object followed by prose do not.
+    quoted strings are blanked and the braces counted: one object closes its
+    first brace once, at the end, however deep it is; two in a row do not.
     """
     framed = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
     flat = (_count(text, "{") == 1) & (_count(text, "}") == 1)
     folded = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "0")
-    for _ in range(_NESTING):
-        folded = F.regexp_replace(folded, r"\{[^{}]*+\}", "0")
-    return F.when(~framed, False).when(flat, True).otherwise(folded == "0")
+    braces = F.split(F.regexp_replace(folded, r"[^{}]++", ""), "")
+    step = lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+    closed = F.aggregate(
+        braces,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends")),
+        lambda a, c: F.struct(
+            (a["depth"] + step(c)).alias("depth"),
+            (a["ends"] + F.when((c == "}") & (a["depth"] == 1), 1).otherwise(0)).alias("ends"),
+        ),
+        lambda a: (a["depth"] == 0) & (a["ends"] == 1),
+    )
+    return F.when(~framed, False).when(flat, True).otherwise(closed)
 
 
 def read_verdicts(answers: DataFrame, response_col: str = "response") -> DataFrame:

@@ -13,8 +13,14 @@ CHUNK_BITS = 23
 
 
 def chunk_id(doc_ord: Column, chunk_ord: Column) -> Column:
-    """A unique id that sorts like (document, chunk within document)."""
-    return F.shiftleft(doc_ord, CHUNK_BITS) + chunk_ord
+    """A unique id that sorts like (document, chunk within document).
+
+    An ordinal that leaves no room for the chunk's number is an error.
+    """
+    fits = (doc_ord >= 0) & (doc_ord < 1 << (63 - CHUNK_BITS))
+    number = F.shiftleft(doc_ord, CHUNK_BITS) + chunk_ord
+    refused = F.raise_error(F.concat(F.lit("document ordinal out of range: "), doc_ord.cast("string")))
+    return F.when(fits | doc_ord.isNull(), number).otherwise(refused.cast("long"))
 
 
 def chunk_documents(

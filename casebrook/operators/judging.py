@@ -26,24 +26,17 @@ UNREADABLE_SINGLE = "Failed to parse evaluation"
 PANEL_TEXT = "Average of {count} judges. Agreement: {percent}%"
 # ----------------------------------------------------------------------------
 
-JUDGE_TEMPLATE = """Grade a summary of a customer case against the case itself.
+# One JSON key per metric and per reason, as the reader of verdicts expects them.
+_KEYS = ", ".join(f'"{name}"' for name in (*METRICS, *REASONINGS, "overall_assessment"))
+JUDGE_TEMPLATE = f"""How well does the second text sum up the first? Give marks of 1 to 5.
 
-Give a mark from 1 (poor) to 5 (excellent) for each of: accuracy (nothing \
-invented), completeness (no key event or outcome left out), chronology (events \
-in order), clarity (reads well), conciseness (no longer than needed).
+First text:
+{{original_context}}
 
-THE CASE
-{original_context}
+Second text:
+{{summary}}
 
-THE SUMMARY
-{summary}
-
-Answer with one JSON object and nothing else:
-{{"accuracy": 0, "accuracy_reasoning": "", "completeness": 0, \
-"completeness_reasoning": "", "chronology": 0, "chronology_reasoning": "", \
-"clarity": 0, "clarity_reasoning": "", "conciseness": 0, \
-"conciseness_reasoning": "", "overall_score": 0, "overall_assessment": ""}}
-where overall_score is the mean of the five marks.
+Reply with a JSON object that has these keys: {_KEYS}
 """
 
 

@@ -51,6 +51,9 @@ MAX_BROADCAST_QUERIES = 16384
 MAX_BROADCAST_BYTES = 32 << 20
 MAX_KEPT_ROWS = 200_000  # rows a scan task may hold: queries * k
 MERGE_SALTS = 32
+# Norms this close to 1 keep the angle bounds within their slack; rows with other
+# norms are compared with everything.
+UNIT = 4e-7
 MAX_PIVOTS = 256
 CELL_CHUNKS = 8192
 TILE_BYTES = 64 << 20  # vectors of either side of a tile; equal sides copy least
@@ -216,9 +219,9 @@ def _pick_pivots(chunks: DataFrame, dim: int, count: int) -> tuple[np.ndarray, l
     )
     vectors = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(-1, dim)
     norms = np.linalg.norm(vectors, axis=1)
-    rows = [r for r, n in zip(rows, norms) if abs(n - 1) < 1e-3]
+    rows = [r for r, n in zip(rows, norms) if abs(n - 1) < UNIT]
     return (
-        vectors[np.abs(norms - 1) < 1e-3],
+        vectors[np.abs(norms - 1) < UNIT],
         [r["reference_number"] for r in rows],
         np.array([r["chunk_id"] for r in rows], dtype=np.int64),
     )
@@ -244,7 +247,7 @@ def _assign_cells(chunks: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
             vectors = matrix(batch.column("embedding"), dim)
             cell = np.full(len(vectors), -1, dtype=np.int32)
             close = np.zeros(len(vectors))
-            unit = np.abs(np.linalg.norm(vectors, axis=1) - 1) < 1e-3
+            unit = np.abs(np.linalg.norm(vectors, axis=1) - 1) < UNIT
             if len(centres) and unit.any():
                 cosines = vectors[unit] @ centres.T
                 cell[unit] = cosines.argmax(axis=1)
@@ -298,7 +301,7 @@ def _route(
                 rows, query, score = scorer.candidates(centres, ids, codes, names)
                 keep = keep_best(query, score, ids[rows], codes[rows], k, one_per_key)
                 scorer.raise_bar(query[keep], score[keep])
-                unit = np.abs(np.linalg.norm(vectors, axis=1) - 1) < 1e-3
+                unit = np.abs(np.linalg.norm(vectors, axis=1) - 1) < UNIT
                 cosines = np.clip(vectors @ centres[numbers].T, -1, 1)
                 reach = np.cos(np.maximum(np.arccos(cosines) - spread, 0))
                 alive = (reach >= scorer.bar[:, None] - slack) | ~unit[:, None]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casebrook.operators.chunking import chunk_documents
 from casebrook.plans.stand_ins import letter_counts
 from casebrook.schemas import CRITERIA, METRICS
-from casebrook.sources.corpus import documents, spread
+from casebrook.sources.corpus import documents
 from casebrook.sources.inference import embed_texts
 from casebrook.sources.runs import run_name
 from casebrook.sources.storage import materialise
@@ -99,7 +99,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:

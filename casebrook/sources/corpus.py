@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casebrook.functions.text import or_no_content, reference_key
@@ -23,26 +24,28 @@ def read_records(spark: SparkSession, source: str, fmt: str | None = None) -> Da
     return spark.read.format(fmt).load(source) if fmt else spark.table(source)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that arrives in a handful of splits over all cores.
-
-    Small tables often sit in one file with one row group, which one task
-    reads; hashing their rows on a unique key is cheap and stable under
-    retries. A large table has many splits and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 4 * cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def number_rows(df: DataFrame, ord_col: str = "doc_ord") -> DataFrame:
-    """Give rows a stable ordinal when the table has no ordering column.
+    """Give rows a stable, dense ordinal when the table has no ordering column.
 
-    The ids depend on how the scan was split, so they are written with the
-    rows and read back from there.
+    The numbers depend on how the scan was split, so rows are written with their
+    split and place and read back; one count per split then makes them dense.
     """
-    return materialise(df.withColumn(ord_col, F.monotonically_increasing_id()), "rows")
+    part, place = f"_part_{ord_col}", f"_place_{ord_col}"
+    low = (1 << 33) - 1
+    rows = materialise(
+        df.withColumns(
+            {
+                part: F.spark_partition_id(),
+                place: F.monotonically_increasing_id().bitwiseAND(F.lit(low)),
+            }
+        ),
+        "rows",
+    )
+    counts = rows.groupBy(part).agg(F.count("*").alias("n"))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    numbered = rows.join(F.broadcast(offsets), part)  # one row per split of the scan
+    return numbered.withColumn(ord_col, F.col("_offset") + F.col(place)).drop(part, place, "_offset")
 
 
 def documents(
