@@ -73,8 +73,11 @@ class Pieces:
         order = np.argsort(keys)
         self.keys = keys[order]
         self.key_scores = np.array(list(self.scores.values()))[order]
+        self.key_ids = np.array(list(self.ids.values()))[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.maybe = np.zeros(1 << 22, dtype=bool)  # high bits of the keys
+        self.maybe[self.keys >> np.uint64(42)] = True
 
     @staticmethod
     def hashes(pieces: list[np.ndarray]) -> np.ndarray:
@@ -89,6 +92,18 @@ class Pieces:
     def grown(hashed: np.ndarray, character: np.ndarray) -> np.ndarray:
         return (hashed ^ (character + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
 
+    def found(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the piece of each hash; ``_NONE`` and -1 without one."""
+        score = np.full(hashed.shape, _NONE)
+        ids = np.full(hashed.shape, -1, dtype=np.int32)
+        live = np.nonzero(self.maybe[hashed >> np.uint64(42)])
+        wanted = hashed[live]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        same = self.keys[at] == wanted
+        live = tuple(x[same] for x in live)
+        score[live], ids[live] = self.key_scores[at[same]], self.key_ids[at[same]]
+        return score, ids
+
     def edge(self, text: str) -> tuple[float, tuple[int, ...]] | None:
         """Score and ids of one edge of the lattice, if there is one."""
         if text in self.ids:
@@ -146,7 +161,7 @@ def n_best(pieces: Pieces, chunk: str, count: int) -> list[Path]:
     return out
 
 
-def _passes(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]:
+def _passes(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Best score, best ids and loss of the second best, of chunks of bounded length."""
     n, width = len(chunks), max(map(len, chunks))
     lengths = np.array([len(c) for c in chunks])
@@ -155,17 +170,18 @@ def _passes(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, list[tuple[i
     row = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     text[row, np.repeat(np.arange(n), lengths)] = joined
     edges: list[np.ndarray] = []  # edges[l - 1][start]: score of the piece of l characters
+    names: list[np.ndarray] = []  # and its id
     hashed = np.zeros((width, n), dtype=np.uint64)
     for size in range(1, min(pieces.longest, width) + 1):
         rows = width - size + 1
         with np.errstate(over="ignore"):
             hashed = Pieces.grown(hashed[:rows], text[size - 1 :])
-        at = np.minimum(np.searchsorted(pieces.keys, hashed), len(pieces.keys) - 1)
-        score = np.where(pieces.keys[at] == hashed, pieces.key_scores[at], _NONE)
+        score, name = pieces.found(hashed)
         if size == 1:
-            score = np.where(score == _NONE, pieces.unknown, score)
-        outside = np.arange(rows)[:, None] + size > lengths
-        edges.append(np.where(outside, _NONE, score))
+            score[score == _NONE] = pieces.unknown
+        score[np.arange(rows)[:, None] + size > lengths] = _NONE
+        edges.append(score)
+        names.append(name)
     alpha = np.full((width + 1, n), _NONE)
     alpha[0] = 0
     came = np.zeros((width + 1, n), dtype=np.int64)
@@ -184,26 +200,33 @@ def _passes(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, list[tuple[i
     # edges on the best path are marked; the best path over any other edge is the second best
     used = [np.zeros(e.shape, dtype=bool) for e in edges]
     at, live = lengths.copy(), np.arange(n)
-    cuts: list[list[int]] = [[] for _ in range(n)]
+    walked: list[tuple[np.ndarray, np.ndarray]] = []
+    spelled = np.zeros(n, dtype=bool)  # chunks with a character written as bytes
     while len(live):
         size = came[at[live], live]
         start = at[live] - size
+        name = np.zeros(len(live), dtype=np.int32)
         for s in np.unique(size):
             own = size == s
             used[s - 1][start[own], live[own]] = True
-        for k, s in zip(live.tolist(), start.tolist()):
-            cuts[k].append(s)
+            name[own] = names[s - 1][start[own], live[own]]
+        walked.append((live, name))
+        spelled[live[name < 0]] = True
         at[live] = start
         live = live[start > 0]
     second = np.full(n, _NONE)
     for size, (edge, mark) in enumerate(zip(edges, used), 1):
         through = alpha[: len(edge)] + edge + beta[size : size + len(edge)]
         second = np.maximum(second, np.where(mark, _NONE, through).max(axis=0))
-    ids = []
-    for chunk, own in zip(chunks, cuts):
-        bounds = own[::-1] + [len(chunk)]
-        parts = (pieces.edge(chunk[a:b])[1] for a, b in zip(bounds, bounds[1:]))
-        ids.append(tuple(i for part in parts for i in part))
+    # steps from the end; within a chunk the last step is its first piece
+    owner = np.concatenate([w[0] for w in walked])
+    step = np.repeat(np.arange(len(walked)), [len(w[0]) for w in walked])
+    order = np.lexsort((-step, owner))
+    raw = np.concatenate([w[1] for w in walked])[order].astype("<u4").tobytes()
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))) * 4
+    ids = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    for k in np.flatnonzero(spelled).tolist():
+        ids[k] = np.array(n_best(pieces, chunks[k], 1)[0][1], dtype="<u4").tobytes()
     return total, ids, total - second
 
 
@@ -221,11 +244,11 @@ class Segmenter:
         self.ids: list[bytes] = []
         self.lists: dict[str, list[Path]] = {}
 
-    def _add(self, chunk: str, score: float, loss: float, ids: tuple[int, ...]) -> None:
+    def _add(self, chunk: str, score: float, loss: float, ids: bytes) -> None:
         self.known[chunk] = len(self.scores)
         self.scores.append(score)
         self.losses.append(loss)
-        self.ids.append(np.array(ids, dtype="<u4").tobytes())
+        self.ids.append(ids)
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > _CACHED:
@@ -239,7 +262,7 @@ class Segmenter:
         for chunk in fresh[len(short) :]:
             found = n_best(self.pieces, chunk, 2)
             loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-            self._add(chunk, found[0][0], loss, found[0][1])
+            self._add(chunk, found[0][0], loss, np.array(found[0][1], dtype="<u4").tobytes())
 
     def segment(self, chunks: list[str]) -> list[tuple[float, bytes]]:
         """Score and ids (little-endian, 32 bits) of the best segmentations."""
@@ -254,7 +277,11 @@ class Segmenter:
         lists = []
         for k in weak:
             if chunks[k] not in self.lists:
-                self.lists[chunks[k]] = n_best(self.pieces, chunks[k], self.best)
+                found = n_best(self.pieces, chunks[k], self.best)
+                if any(" " + chunks[k][1:].replace(BLANK, " ") != " " + self.pieces.decode(list(p[1]))
+                       for p in found if chunks[k][0] == BLANK):
+                    raise ValueError(f"a path does not spell {chunks[k]!r}")
+                self.lists[chunks[k]] = found
             lists.append(self.lists[chunks[k]])
         # choices of one path per weak chunk, least loss first
         first = (0,) * len(weak)
@@ -308,9 +335,10 @@ def segment_documents(docs: DataFrame, path: str | None = None, best: int = BEST
                 rows: list[tuple] = []
                 for key, text, chunks in zip(part.column(0).to_pylist(), texts, cut):
                     for rank, (score, ids) in enumerate(segmenter.segment(chunks), 1):
-                        own = np.frombuffer(ids, dtype="<u4").tolist()
-                        same = segmenter.pieces.decode(own) == text
-                        rows.append((key, rank, score, len(own), zlib.crc32(ids), same, ids))
+                        # the other ranks differ in chunks whose paths spell the chunk
+                        if rank == 1:
+                            same = segmenter.pieces.decode(np.frombuffer(ids, dtype="<u4").tolist()) == text
+                        rows.append((key, rank, score, len(ids) // 4, zlib.crc32(ids), same, ids))
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
                 arrays = [pa.array(c, type=t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
