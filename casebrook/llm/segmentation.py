@@ -1,8 +1,8 @@
 """N-best segmentation of whole texts into the pieces of a SentencePiece model.
 
 Blanks become U+2581, one is put in front, and a text is cut into chunks before
-each run of blanks; no piece of the vocabulary reaches over such a cut, so the
-best segmentations of a text are made of good segmentations of its chunks. The
+each run of blanks and around line ends; no piece of the vocabulary reaches over
+such a cut, so the best segmentations of a text are made of good segmentations of its chunks. The
 score of a segmentation is the sum of its pieces' stored scores. A character
 that no piece spells has an edge of its own, ``UNKNOWN`` below the least score,
 and is written as its bytes.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 BEST = 4
 UNKNOWN = 10.0
 BLANK = "▁"
-CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+CHUNK = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 _LONG = 48  # characters beyond which a chunk is worked on alone
 _CACHED = 400_000
 _TOGETHER = 1 << 15
@@ -64,6 +64,8 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 if re.search(f"[^{BLANK}]{BLANK}", piece):
                     raise ValueError(f"piece {piece!r} reaches over a blank")
+                if "\n" in piece:
+                    raise ValueError(f"piece {piece!r} reaches over a line end")
                 self.ids[piece] = i
                 self.scores[piece] = model.get_score(i)
                 self.spelled[i] = piece.replace(BLANK, " ").encode()
