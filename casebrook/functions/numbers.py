@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casebrook.functions.text import let
+
 # --- fixed values -----------------------------------------------------------
 SCORE_SCALE = 5.0
 HIGH_AGREEMENT = 0.8
@@ -14,6 +16,8 @@ AGREEMENT_BANDS = (
     ("moderate", 0.7),
     ("low", None),
 )
+HALVES = 2.0**27 + 1  # cuts the 53 digits of a double into two halves
+WIDEST = 9e12  # with three decimals more, the digits of a double are used up
 # ----------------------------------------------------------------------------
 
 
@@ -39,9 +43,30 @@ def agreement_band(value: Column) -> Column:
     )
 
 
+def _nearest(size: Column, digits: int) -> Column:
+    """``size`` (not negative) to ``digits`` decimals, by its exact binary value;
+    ties go to the even digit.
+
+    A double's high half times a short power of ten is exact, and so is its low
+    half's product: both together tell on which side of a tie the value lies.
+    """
+    factor = F.lit(float(10**digits))
+
+    def build(x: Column) -> Column:
+        shifted = x * F.lit(HALVES)
+        high = shifted - (shifted - x)
+        whole = F.floor(x * factor)
+        over = (high * factor - whole - F.lit(0.5)) + (x - high) * factor
+        up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+        return (whole + up.cast("int")) / factor
+
+    return F.when(size < WIDEST, let(size, build)).otherwise(size)
+
+
 def fixed(value: Column, digits: int) -> Column:
-    """Text with ``digits`` decimals; NULL stays NULL."""
-    text = F.format_string(f"%.{digits}f", F.round(value, digits))
+    """Text with ``digits`` decimals, correctly rounded; NULL stays NULL."""
+    near = _nearest(F.abs(value.cast("double")), digits)
+    text = F.format_string(f"%.{digits}f", F.when(value < 0, -near).otherwise(near))
     return F.when(value.isNotNull(), text)
 
 

@@ -22,8 +22,11 @@ def _units(text: Column, header: str) -> Column:
     return F.split(text, rf"(?md)(?=^{header})")
 
 
-def _title(line: Column) -> Column:
-    marked = F.regexp_replace(strip(line), r"\A##[ \t]+", HEADER_MARK)
+def _title(line: Column, literal: bool) -> Column:
+    """What follows the mark; read literally, the mark ends at its first blank."""
+    marked = strip(line)
+    if not literal:
+        marked = F.regexp_replace(marked, r"\A##[ \t]+", HEADER_MARK)
     return F.replace(marked, F.lit(HEADER_MARK), F.lit(""))
 
 
@@ -38,7 +41,7 @@ def _section(unit: Column, header: str, literal: bool) -> Column:
     def build(head: Column) -> Column:
         body = F.substring(unit, F.length(head) + 1, F.length(unit))
         named = F.struct(
-            F.when(head == "", F.lit(LEAD_SECTION)).otherwise(_title(head)).alias("section"),
+            F.when(head == "", F.lit(LEAD_SECTION)).otherwise(_title(head, literal)).alias("section"),
             F.concat(
                 F.when(head == "", F.lit("")).otherwise(F.concat(head, F.lit("\n"))),
                 F.when(is_blank(body), F.lit("")).otherwise(body),

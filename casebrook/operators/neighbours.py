@@ -66,52 +66,56 @@ PAYLOAD = ("section", "chunk_index", "chunk_text")
 def seed_vectors(chunks: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """One query per key: the vector of the key's first chunk.
 
-    For a key list of checked size the first chunk ids are found on narrow
-    columns and their vectors picked out by a broadcast join. Otherwise
-    ``min_by`` keeps one candidate per key and input partition before the
-    shuffle, however many chunks a key has. Keys without chunks give no row.
+    First chunk ids are found on narrow columns and their vectors picked out by
+    id: vectors are neither sorted nor aggregated, and stay where they are when
+    the ids fit a broadcast. Keys without chunks give no row. A key whose first
+    chunk has no vector keeps its row with a NULL ``query_vector``: no other
+    chunk stands in for it, and no search finds anything for it.
     """
-    rows = chunks.filter(F.col("embedding").isNotNull()).select(
-        "reference_number", "chunk_id", "embedding"
-    )
-    wanted = None if keys is None else keys.select("reference_number").distinct()
-    first = F.min("chunk_id").alias("seed_chunk_id")
-    if wanted is not None and fits_broadcast(wanted):
-        kept = rows.select("reference_number", "chunk_id").join(
-            F.broadcast(wanted), "reference_number", "left_semi"
-        )
-        # one row per wanted key: within the same bound
-        winners = F.broadcast(
-            kept.groupBy("reference_number").agg(first).select("seed_chunk_id")
-        )
-        seeds = rows.join(winners, F.col("chunk_id") == F.col("seed_chunk_id")).select(
-            "reference_number", "seed_chunk_id", F.col("embedding").alias("query_vector")
-        )
-    else:
-        seeds = rows.groupBy("reference_number").agg(
-            first, F.min_by("embedding", "chunk_id").alias("query_vector")
+    rows = chunks.select("reference_number", "chunk_id", "embedding")
+    narrow = rows.select("reference_number", "chunk_id")
+    small = False
+    if keys is not None:
+        wanted = keys.select("reference_number").distinct()
+        small = fits_broadcast(wanted)
+        narrow = narrow.join(
+            F.broadcast(wanted) if small else wanted, "reference_number", "left_semi"
         )
-        if wanted is not None:
-            seeds = seeds.join(wanted, "reference_number", "left_semi")
-    return seeds.select(
+    winners = narrow.groupBy("reference_number").agg(F.min("chunk_id").alias("seed_chunk_id"))
+    winners = winners.select("seed_chunk_id")
+    # one row per wanted key: within the same bound
+    winners = F.broadcast(winners) if small else winners.hint("shuffle_hash")
+    return rows.join(winners, F.col("chunk_id") == F.col("seed_chunk_id")).select(
         F.col("reference_number").alias("query_id"),
         F.col("reference_number").alias("own_key"),
         "seed_chunk_id",
-        "query_vector",
+        F.col("embedding").alias("query_vector"),
     )
 
 
-def text_queries(queries: DataFrame, embed_fn, batch_size: int = EMBED_BATCH) -> DataFrame:
-    """Queries ``(query_id, own_key, query_text)`` embedded by ``embed_fn``."""
+def text_queries(
+    queries: DataFrame, embed_fn, batch_size: int = EMBED_BATCH, on_error: str = "raise"
+) -> DataFrame:
+    """Queries ``(query_id, own_key, query_text)`` embedded by ``embed_fn``.
+
+    A failed call raises. With ``on_error="keep"`` its queries stay, with NULL
+    for a vector and the message in ``embed_error``; a search skips them.
+    """
     embedded = embed_texts(
         queries.select("query_id", "own_key", "query_text"), embed_fn, "query_text", batch_size
     )
-    return materialise(
-        embedded.filter(F.col("embed_error").isNull()).select(
-            "query_id", "own_key", F.col("embedding").alias("query_vector")
+    rows = materialise(
+        embedded.select(
+            "query_id", "own_key", F.col("embedding").alias("query_vector"), "embed_error"
         ),
         "query-vectors",
     )
+    if on_error == "keep":
+        return rows
+    failed = rows.filter(F.col("embed_error").isNotNull()).first()
+    if failed is not None:
+        raise RuntimeError(f"query {failed['query_id']}: {failed['embed_error']}")
+    return rows.drop("embed_error")
 
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -127,11 +131,13 @@ def _rank_salted(hits: DataFrame, k: int, one_per_key: bool) -> DataFrame:
     """Best ``k`` hits of each query from rows that tasks already thinned.
 
     A query's hits are first ranked in ``MERGE_SALTS`` independent groups, so
-    the one final group of a query holds at most ``salts * k`` rows. A key
-    always falls into one salt: the repeats of a key meet before the cut.
+    the one final group of a query holds at most ``salts * k`` rows. With one
+    hit per key the key chooses the salt, so that its repeats meet before the
+    cut; otherwise the chunk does, and no key's chunks gather in one group.
     """
+    by = "reference_number" if one_per_key else "chunk_id"
     salted = hits.withColumn(
-        "salt", F.pmod(F.xxhash64("reference_number"), F.lit(MERGE_SALTS)).cast("int")
+        "salt", F.pmod(F.xxhash64(by), F.lit(MERGE_SALTS)).cast("int")
     ).repartition("query_id", "salt")
     best_first = [F.desc("score"), F.asc("chunk_id")]
     if one_per_key:
@@ -449,7 +455,8 @@ def search(
     ``queries``: ``(query_id, own_key, query_vector)``; ``chunks``:
     ``(chunk_id, reference_number, embedding)`` and any of ``PAYLOAD``.
     Returns ``query_id, chunk_id, reference_number, [payload], score, rank``
-    with ranks from 0.
+    with ranks from 0. A scan carries the payload along; ``similar_chunks``
+    gives it narrow chunks and fetches texts for the winners only.
     """
     own = F.col("own_key") if exclude_own else F.lit(None).cast("string")
     wanted = queries.filter(F.col("query_vector").isNotNull()).select(
@@ -457,50 +464,57 @@ def search(
         own.alias("own_key"),
         F.col("query_vector").cast("array<float>").alias("query_vector"),
     )
-    chunks = chunks.filter(F.col("embedding").isNotNull())
     payload = [name for name in PAYLOAD if name in chunks.columns]
+    found = chunks.filter(F.col("embedding").isNotNull())
 
-    head: list = []
-    fits = False
-    if route != "routed":
-        # bounded: one row more than may be broadcast
-        head = wanted.limit(MAX_BROADCAST_QUERIES + 1).collect()
-        size = sum(4 * len(q["query_vector"]) for q in head)
-        fits = (
-            len(head) <= MAX_BROADCAST_QUERIES
-            and size <= MAX_BROADCAST_BYTES
-            and len(head) * k <= MAX_KEPT_ROWS
-        )
-        if route == "scan" and not fits:
-            raise ValueError("too many queries to broadcast; use route='routed'")
-    if fits:
-        if not head:
-            return _empty_hits(chunks, payload)
-        return _rank_salted(_scan(head, chunks, k, one_per_key, score_digits), k, one_per_key)
-
+    # measured, collected and routed: made once
     wanted = materialise(wanted, "queries")
-    first = wanted.select(F.size("query_vector").alias("n")).first()
-    if first is None:
+    size = wanted.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(8 * F.size("query_vector")), F.lit(0)).alias("bytes"),
+        F.max(F.size("query_vector")).alias("dim"),
+    ).first()
+    if not size["rows"]:
         return _empty_hits(chunks, payload)
-    hits = _routed(
-        wanted,
-        first["n"],
-        chunks,
-        k,
-        one_per_key,
-        score_digits,
-        n_pivots,
-        tile_chunks,
-        tile_queries,
+    fits = (
+        size["rows"] <= MAX_BROADCAST_QUERIES
+        and size["bytes"] <= MAX_BROADCAST_BYTES
+        and size["rows"] * k <= MAX_KEPT_ROWS
     )
+    if route == "scan" and not fits:
+        raise ValueError("too many queries to broadcast; use route='routed'")
+    scan = fits and route != "routed"
+    if scan:
+        hits = _scan(wanted.collect(), found, k, one_per_key, score_digits)
+    else:
+        hits = _routed(
+            wanted,
+            size["dim"],
+            found,
+            k,
+            one_per_key,
+            score_digits,
+            n_pivots,
+            tile_chunks,
+            tile_queries,
+        )
     ranked = _rank_salted(hits, k, one_per_key)
-    if not payload:
+    if scan or not payload:
         return ranked
-    return ranked.join(chunks.select("chunk_id", *payload), "chunk_id").select(
+    return _with_payload(ranked, chunks, payload, fits).select(
         "query_id", "chunk_id", "reference_number", *payload, "score", "rank"
     )
 
 
+def _with_payload(
+    ranked: DataFrame, chunks: DataFrame, payload: list[str], small: bool
+) -> DataFrame:
+    """Texts of the winners only; they are read where they lie when the winners
+    are few."""
+    ranked = F.broadcast(ranked) if small else ranked
+    return ranked.join(chunks.select("chunk_id", *payload), "chunk_id")
+
+
 def _empty_hits(chunks: DataFrame, payload: list[str]) -> DataFrame:
     return chunks.select(
         F.lit("").alias("query_id"),
@@ -549,17 +563,19 @@ def similar_chunks(
         barred = duplicates.select(
             F.col("chunk_id").try_cast("long").alias("chunk_id")
         ).filter(F.col("chunk_id").isNotNull())
+        barred = materialise(barred, "barred")  # measured and joined: made once
         if fits_broadcast(barred):
             barred = F.broadcast(barred)
     one_per_key = docs is not None
+    narrow = chunks.select("chunk_id", "reference_number", "embedding")
 
     if overfetch is None:
         eligible = (
-            chunks if barred is None else chunks.join(barred, "chunk_id", "left_anti")
+            narrow if barred is None else narrow.join(barred, "chunk_id", "left_anti")
         )
         hits = search(queries, eligible, k, one_per_key, True, **search_options)
     else:
-        hits = search(queries, chunks, overfetch * k, False, False, **search_options)
+        hits = search(queries, narrow, overfetch * k, False, False, **search_options)
         own = queries.select(
             F.col("query_id").cast("string").alias("query_id"), "own_key"
         )
@@ -580,10 +596,11 @@ def similar_chunks(
         hits = _rank(hits, k)
 
     text = F.col("chunk_text")
+    # measured, joined and looked up: the corpus is searched once
+    found = materialise(hits, "hits")
+    hits = _with_payload(found, chunks, list(PAYLOAD), fits_broadcast(found))
     if docs is not None:
-        # used for the lookup and for the join: the corpus is searched once
-        hits = materialise(hits, "hits")
-        full = lookup_documents(docs, hits)
+        full = lookup_documents(docs, found)
         hits = hits.join(
             full.select("reference_number", "doc_text"), "reference_number", "left"
         )

@@ -20,6 +20,7 @@ from casebrook.functions.numbers import (
     round_half_even,
 )
 from casebrook.schemas import CRITERIA, METRICS
+from casebrook.operators.sizing import fits_broadcast
 from casebrook.sources.runs import RunStore
 
 # --- fixed values -----------------------------------------------------------
@@ -254,7 +255,8 @@ def sample_summaries(
     runs: DataFrame, summaries: DataFrame, complaint_id: str | None = None,
     latest_only: bool = False,
 ) -> DataFrame:
-    """Side by side: each run's own summary of one record (or of all)."""
+    """Side by side: each run's own summary of one record, best run first, or of
+    all records in no order. Runs are broadcast, texts stay where they are."""
     shown = latest_per_model(runs) if latest_only else runs
     wanted = (
         summaries
@@ -266,14 +268,14 @@ def sample_summaries(
         param("llm_name").alias("llm_name"),
         metric("avg_overall_score").alias("avg_overall_score"),
     )
-    return (
-        wanted.join(scored, "run_id")
-        .select("complaint_id", "run_id", "llm_name", "avg_overall_score", "summary")
-        .orderBy(
-            "complaint_id",
-            nan_as_null(F.col("avg_overall_score")).desc_nulls_last(),
-            "run_id",
-        )
+    scored = F.broadcast(scored) if fits_broadcast(scored) else scored
+    rows = wanted.join(scored, "run_id").select(
+        "complaint_id", "run_id", "llm_name", "avg_overall_score", "summary"
+    )
+    if complaint_id is None:
+        return rows
+    return rows.orderBy(
+        nan_as_null(F.col("avg_overall_score")).desc_nulls_last(), "run_id"
     )
 
 

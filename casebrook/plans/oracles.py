@@ -191,7 +191,7 @@ PROMPTS = [
     *ranked("pairs", 4, True),
     """context AS (SELECT query_id AS reference_number, left(string_agg(
     '# Similar ' || rank || ' (' || hits.reference_number || ') (score: '
-    || printf('%.3f', round(score, 3)) || ')' || chr(10) || left(doc_text, 6000),
+    || printf('%.3f', score) || ')' || chr(10) || left(doc_text, 6000),
     chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), 12000) AS neighbours
   FROM hits JOIN by_key USING (reference_number) GROUP BY 1)""",
     f"""prompts AS (SELECT reference_number, {template(
@@ -281,7 +281,7 @@ PANEL_SQL = query(
         f"round({m}, 6) AS {m}, round({m}_std, 6) AS {m}_std, {m}_min, {m}_max" for m in METRICS)},
   num_judges, n_failed_judges, round(judge_agreement, 6) AS judge_agreement,
   'Average of ' || num_judges || ' judges. Agreement: '
-    || printf('%.2f', round(judge_agreement * 100, 2)) || '%' AS overall_assessment
+    || printf('%.2f', judge_agreement * 100) || '%' AS overall_assessment
 FROM evals""",
 )
 PANEL_TEXTS = query(
@@ -549,7 +549,7 @@ row_number() OVER (PARTITION BY llm_name ORDER BY start_time DESC, run_id) = 1""
         RUNS,
         """SELECT run_id, llm_name AS model, round(avg_overall_score, 6) AS score,
   round(std_overall_score, 6) AS std_dev,
-  printf('%.2f', round(avg_overall_score, 2)) AS label FROM wide""",
+  printf('%.2f', avg_overall_score) AS label FROM wide""",
     ),
     "radar": query(
         RUNS,
@@ -589,7 +589,7 @@ FROM ordered ORDER BY {m} DESC NULLS LAST, place LIMIT 1)"""
     "agreement": query(
         RUNS,
         f"""SELECT run_id, llm_name, {r6("avg_overall_score", "avg_judge_agreement")},
-  printf('%.1f', round(avg_judge_agreement * 100, 1)) || '%' AS label,
+  printf('%.1f', avg_judge_agreement * 100) || '%' AS label,
   CASE WHEN avg_judge_agreement > 0.9 THEN 'very high' WHEN avg_judge_agreement >= 0.8
     THEN 'high' WHEN avg_judge_agreement >= 0.7 THEN 'moderate'
     WHEN avg_judge_agreement IS NOT NULL THEN 'low' END AS band,

@@ -15,47 +15,12 @@ METRICS = (
 CRITERIA = METRICS[:-1]
 REASONINGS = tuple(f"{name}_reasoning" for name in CRITERIA)
 
-DOCUMENTS = T.StructType(
-    [
-        T.StructField("doc_ord", T.LongType(), False),
-        T.StructField("reference_number", T.StringType(), False),
-        T.StructField("doc_text", T.StringType(), False),
-    ]
-)
-
-CHUNK = T.StructType(
-    [
-        T.StructField("section", T.StringType()),
-        T.StructField("chunk_index", T.IntegerType()),
-        T.StructField("total_chunks", T.IntegerType()),
-        T.StructField("chunk_text", T.StringType()),
-    ]
-)
-
-HITS = T.StructType(
-    [
-        T.StructField("query_id", T.StringType()),
-        T.StructField("chunk_id", T.LongType()),
-        T.StructField("reference_number", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
-
 VERDICT = T.StructType(
     [T.StructField(name, T.DoubleType()) for name in METRICS]
     + [T.StructField(name, T.StringType()) for name in REASONINGS]
     + [T.StructField("overall_assessment", T.StringType())]
 )
 
-LLM_CONFIG = T.StructType(
-    [
-        T.StructField("llm_name", T.StringType(), False),
-        T.StructField("endpoint", T.StringType(), False),
-        T.StructField("temperature", T.DoubleType(), False),
-        T.StructField("max_tokens", T.IntegerType(), False),
-    ]
-)
-
 RUNS = T.StructType(
     [
         T.StructField("run_id", T.StringType(), False),
@@ -121,3 +86,12 @@ EVALUATIONS = T.StructType(
         T.StructField("overall_assessment", T.StringType()),
     ]
 )
+FAILURES = T.StructType(
+    [
+        T.StructField("run_id", T.StringType(), False),
+        T.StructField("complaint_id", T.StringType(), False),
+        T.StructField("step", T.StringType(), False),
+        T.StructField("judge", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)

@@ -7,6 +7,8 @@ reading one run's rows prunes to its partition.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +55,12 @@ TABLES: dict[str, T.StructType] = {
     "summaries": schemas.SUMMARIES,
     "evaluations": schemas.EVALUATIONS,
     "judge_breakdown": schemas.JUDGE_BREAKDOWN,
+    "failures": schemas.FAILURES,
 }
 
 
 class RunStore:
-    """The six run tables below one root folder."""
+    """The run tables below one root folder."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -76,6 +79,21 @@ class RunStore:
             .parquet(self.path(table))
         )
 
+    def clear(self, run_ids: list[str]) -> None:
+        """Drop all that was recorded under these ids, also where a new call has
+        no rows to put in its place. ``runs`` goes first: no run is ever visible
+        without its parts."""
+        for run_id in run_ids:
+            if not re.fullmatch(r"[\w-][\w.-]*", run_id):
+                raise ValueError(f"not a run id: {run_id!r}")
+        conf = self.spark._jsc.hadoopConfiguration()
+        for table in TABLES:
+            for run_id in run_ids:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(
+                    f"{self.path(table)}/run_id={run_id}"
+                )
+                folder.getFileSystem(conf).delete(folder, True)
+
     def read(self, table: str) -> DataFrame:
         """The table, or an empty frame of its schema before the first write."""
         schema = TABLES[table]

@@ -128,6 +128,7 @@ def test_section_edges(spark, text, expected):
 def test_literal_mode_loses_short_sections(spark):
     long = "word. " * 100
     assert chunks_of(spark, "short\n## $\nend", literal=True) == [("$", 0, 1, "## $\n\nend")]
+    assert chunks_of(spark, "##  $\nend", literal=True) == [(" $", 0, 1, "##  $\n\nend")]
     got = chunks_of(spark, long + "\n## $\nend", literal=True)
     spans = plain_spans(long + "\n", 512, 128)
     assert got == [("Main", i, len(spans), s) for i, s in enumerate(spans)] + [

@@ -27,7 +27,7 @@ def model(requests):
     for r in requests:
         kind, name = r["endpoint"].split("-")
         if kind == "write":
-            if name == "down" or (name == "poor" and "text B" in r["prompt"][:400]):
+            if name == "down" or (name == "poor" and "text B" in r["prompt"].split("similar kind")[0]):
                 raise RuntimeError("unavailable")
             out.append(f"{name} summary")
         elif name == "2" and "poor summary" in r["prompt"]:
@@ -273,3 +273,18 @@ def test_samples(spark):
     newest = reports.sample_summaries(runs, summaries, "c", latest_only=True).collect()
     assert [r["summary"] for r in newest] == ["s1", "s2"]
     assert reports.sample_summaries(runs, summaries).count() == 4
+
+
+def test_failures_and_reruns(spark, world):
+    store, *_ = world
+    run(world, keys=("B", "nowhere"))
+    failed = {tuple(r) for r in store.read("failures").select("complaint_id", "step").collect()}
+    assert failed == {("B", "summary"), ("nowhere", "record")}
+    assert store.read("failures").filter("complaint_id = 'nowhere'").count() == len(CONFIGS)
+    assert store.read("judge_breakdown").count() > 0
+    store.clear([run_id_of("exp", name, START) for name in ("good", "poor")])
+    left = {r["run_id"] for t in ("runs", "evaluations", "judge_breakdown", "failures")
+            for r in store.read(t).select("run_id").collect()}
+    assert left == {run_id_of("exp", "down", START)}
+    with pytest.raises(ValueError):
+        store.clear(["../other"])

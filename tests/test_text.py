@@ -97,6 +97,16 @@ def test_rounding_and_bands(spark):
     assert rows[-1]["shown"] is None
 
 
+def test_fixed_rounds_the_exact_value(spark):
+    values = [3.125, 2.675, 0.1235, 0.0005, 4.9995, 1.005, 99.995, -2.675, -0.001, 0.0, 1e12 + 0.25]
+    values += [k / 16 for k in range(80)] + [k / 1000 + 0.0005 for k in range(200)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(
+        "x", *[numbers.fixed(F.col("x"), d).alias(f"d{d}") for d in (1, 2, 3)]
+    )
+    for r in rows.collect():
+        assert [r["d1"], r["d2"], r["d3"]] == [f"{r['x']:.{d}f}" for d in (1, 2, 3)]
+
+
 def test_agreement_is_clamped(spark):
     rows = spark.createDataFrame([(0.0,), (1.0,), (5.0,), (7.0,)], "s double")
     out = [r[0] for r in rows.select(numbers.agreement(F.col("s"))).collect()]
