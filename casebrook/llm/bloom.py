@@ -60,6 +60,17 @@ def n_blocks(keys: int, bits_per_key: int, max_bytes: int) -> int:
     return max(1, min(max_bytes // BLOCK_BYTES, -(-keys * bits_per_key // _BLOCK_BITS)))
 
 
+def filled(keys: np.ndarray, bits_per_key: int) -> np.ndarray:
+    """The bits of a filter of these keys, as large as they need."""
+    blocks = max(1, -(-len(keys) * bits_per_key // _BLOCK_BITS))
+    bits = np.zeros(blocks * _BLOCK_BITS, dtype=bool)
+    at = blocks_of(keys, blocks) * _BLOCK_BITS
+    one, two = _pair(keys)
+    for i in range(PROBES):
+        bits[at + _bit(one, two, i)] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def dealt(keys: np.ndarray, blocks: int) -> pa.RecordBatch:
     """Keys by block, as rows of ``KEYS``."""
     keys = np.sort(keys)

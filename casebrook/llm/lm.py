@@ -11,12 +11,15 @@ The probability of a word after another is
 with one weight g per level of the history. The weights are fitted to the
 training tokens with their own occurrence left out of the counts.
 
-The filter is the only thing broadcast, and its size is bounded by
-``max_bytes``. Pairs seen once are not stored (``min_pairs``); should the rest
-not fit at ``BITS`` bits a key, the least count of a stored pair is the next
-threshold at which it does. Exact counts, which only the base score needs, are
-never broadcast whole: words with at least a ``HOT`` th part of all tokens are
-(there can be no more than ``HOT``), the rest are joined by hash.
+The filter holds every word and every pair at ``BITS`` bits an entry and grows
+with them. Up to ``MAX_BYTES`` it is broadcast. Beyond, each shard of the counts
+has a filter of its own: the different n-grams of a group of texts are dealt to
+the shards, probed there, and their levels go back to the group. Only a caller
+who names ``max_bytes`` gets a filter of bounded size, in which the least count
+of a stored pair is the next threshold at which the rest fits. Exact counts,
+which only the base score needs, are never broadcast whole: words with at least
+a ``HOT`` th part of all tokens are (there can be no more than ``HOT``), the rest
+are joined by hash.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from casebrook.llm import arrowwords, bloom
 from casebrook.llm.blobs import cut_by_shard, joined, shards_for
 from casebrook.sources.storage import materialise
 
-MIN_PAIRS = 2
+MIN_PAIRS = 1
 BITS = 12
 MAX_BYTES = 128 << 20
 HOT = 200_000
@@ -47,6 +50,13 @@ _BEGIN = np.uint64(0x5BE0CD19137E2179)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 128
 COUNTS = "kind int, shard int, keys binary, counts binary"
+GROUPS = (
+    "first long, kind int, shard int, keys binary, "
+    "ids array<long>, lengths array<long>, tokens binary"
+)
+
+# levels of the keys of one kind
+Look = Callable[[int, np.ndarray], np.ndarray]
 
 
 def _thresholds() -> np.ndarray:
@@ -82,6 +92,29 @@ def _batch_tokens(texts: pa.Array) -> Iterator[np.ndarray]:
             yield tokens_of(words)
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and tokens of consecutive rows ``(id, text)``, ``_TOKENS_READ`` at a time."""
+    ids: list[int | None] = []
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for key, tokens in zip(batch.column(0).to_pylist(), _batch_tokens(batch.column(1))):
+            ids.append(key)
+            held.append(tokens)
+            size += len(tokens)
+            if size >= _TOKENS_READ:
+                yield ids, held
+                ids, held, size = [], [], 0
+    if held:
+        yield ids, held
+
+
+def _first_row() -> int:
+    """The number of a task's first row."""
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 40
+
+
 def _blob_rows(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
     cuts = cut_by_shard(keys, shards)
     full = np.flatnonzero(np.diff(cuts))
@@ -156,9 +189,13 @@ def count_ngrams(texts: DataFrame, shards: int, min_pairs: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """What scoring needs; ``bits`` is the broadcast of the filter."""
+    """What scoring needs; ``bits`` is the broadcast of the filter.
+
+    A filter too large for that is ``filters``, one of each kind and shard.
+    """
 
-    bits: object
+    bits: object | None
+    filters: DataFrame | None
     tokens: int
     words: int
     least_pair: int
@@ -193,6 +230,17 @@ def _word_keys(words: np.ndarray) -> np.ndarray:
     return words ^ np.uint64(0x243F6A8885A308D3)  # apart from the keys of pairs
 
 
+def _entries(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """What is put into the filter for keys of these levels."""
+    every, number = [np.zeros(0, dtype=np.uint64)], 1
+    keys, levels = keys[levels >= 1], levels[levels >= 1]
+    while len(keys):
+        every.append(_numbered(keys, number))
+        number += 1
+        keys, levels = keys[levels >= number], levels[levels >= number]
+    return np.concatenate(every)
+
+
 def _build_filter(counts: DataFrame, least_pair: int, blocks: int) -> bloom.Bloom:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,17 +252,36 @@ def _build_filter(counts: DataFrame, least_pair: int, blocks: int) -> bloom.Bloo
                 else:
                     stored = levels >= level_of(np.array([least_pair]))[0]
                     own, levels = own[stored], levels[stored]
-                every, number = [], 1
-                while len(own):
-                    every.append(_numbered(own, number))
-                    number += 1
-                    own, levels = own[levels >= number], levels[levels >= number]
-                if every:
-                    yield bloom.dealt(np.concatenate(every), blocks)
+                every = _entries(own, levels)
+                if len(every):
+                    yield bloom.dealt(every, blocks)
 
     return bloom.of_blocks(counts.select("kind", "keys", "counts").mapInArrow(run, bloom.KEYS), blocks)
 
 
+def _build_filters(counts: DataFrame) -> DataFrame:
+    """``kind, shard, bits``: a filter of each shard of the counts, all n-grams in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, shard, keys, times in zip(*(batch.column(i) for i in range(4))):
+                own = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
+                levels = level_of(np.frombuffer(times.as_buffer(), dtype=np.int64))
+                every = _entries(_word_keys(own) if kind.as_py() == WORDS else own, levels)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind.as_py()], type=pa.int32()),
+                        pa.array([shard.as_py()], type=pa.int32()),
+                        pa.array([bloom.filled(every, BITS).tobytes()], type=pa.binary()),
+                    ],
+                    names=["kind", "shard", "bits"],
+                )
+
+    return counts.select("kind", "shard", "keys", "counts").mapInArrow(
+        run, "kind int, shard int, bits binary"
+    )
+
+
 def _size(entries: dict[int, np.ndarray], least_level: int) -> int:
     levels = np.arange(_LEVELS)
     kept = entries[PAIRS] * levels * (levels >= least_level)
@@ -226,10 +293,12 @@ def _text_column(df: DataFrame, name: str) -> Column:
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", min_pairs: int = MIN_PAIRS, max_bytes: int = MAX_BYTES
+    docs: DataFrame, text_col: str = "text", min_pairs: int = MIN_PAIRS, max_bytes: int | None = None
 ) -> Model:
     """Count, build the filter, and fit the weights, all on every row of ``docs``.
 
+    With ``max_bytes`` the filter is no larger, and the pairs of the least counts
+    are left out until the rest fits; without, all n-grams are stored.
     Null texts are empty and hold one end. An empty table gives a model that
     knows no word: every token then has the probability of an unknown one.
     """
@@ -251,12 +320,19 @@ def train(
     none = np.zeros(_LEVELS, dtype=np.int64)
     entries = {k: np.array(stats[k]["levels"]) if k in stats else none for k in (WORDS, PAIRS)}
     least = int(level_of(np.array([min_pairs]))[0])
-    while _size(entries, least) * BITS > max_bytes * 8 and least < len(THRESHOLDS):
-        least += 1
-    blocks = bloom.n_blocks(_size(entries, least), BITS, max_bytes)
-    found = _build_filter(counts, int(THRESHOLDS[least - 1]), blocks)
+    bits = filters = None
+    if max_bytes is None and _size(entries, least) * BITS > MAX_BYTES * 8:
+        filters = materialise(_build_filters(counts), "filters")
+    else:
+        max_bytes = MAX_BYTES if max_bytes is None else max_bytes
+        while _size(entries, least) * BITS > max_bytes * 8 and least < len(THRESHOLDS):
+            least += 1
+        blocks = bloom.n_blocks(_size(entries, least), BITS, max_bytes)
+        found = _build_filter(counts, int(THRESHOLDS[least - 1]), blocks)
+        bits = spark.sparkContext.broadcast(found.bits.tobytes())
     model = Model(
-        bits=spark.sparkContext.broadcast(found.bits.tobytes()),
+        bits=bits,
+        filters=filters,
         tokens=stats[WORDS]["total"] if stats else 0,
         words=stats[WORDS]["n_distinct"] if stats else 0,
         least_pair=int(THRESHOLDS[least - 1]),
@@ -268,28 +344,136 @@ def train(
     return model
 
 
-def _reader(model: Model) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
-    """A function from histories and tokens to ``(level of h, c(h), c(w), c(h w))``."""
-    bits = model.bits
+def _probed(found: bloom.Bloom) -> Look:
+    return lambda kind, keys: _levels(found, _word_keys(keys) if kind == WORDS else keys)
+
+
+def _read(look: Look, history: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(level of h, c(h), c(w), c(h w))`` of the tokens of whole texts."""
+    of_words = look(WORDS, tokens)
+    # a history is the token before it; a text's first token follows its begin
+    first = history == _BEGIN
+    of_history = np.concatenate(([0], of_words[:-1]))
+    # every text has one begin and one end
+    of_history[first] = of_words[np.flatnonzero(tokens == _END)[0]]
+    of_pairs = look(PAIRS, pairs_of(history, tokens))
+    c_history = VALUES[of_history]
+    c_pairs = np.minimum(VALUES[of_pairs], c_history)
+    return of_history, c_history, VALUES[of_words], c_pairs
+
+
+def _groups(rows: DataFrame, shards: int) -> DataFrame:
+    """Groups of the rows ``(id, text)`` with their different n-grams dealt to shards.
+
+    A row of ``GROUPS`` is a group (``ids, lengths, tokens``; no kind) or the keys
+    that it asks of one shard. ``first`` is the number of the group's first row.
+    """
+    names = [f.split()[0] for f in GROUPS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types += [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+
+    def batch(columns: list[list]) -> pa.RecordBatch:
+        arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = _first_row()
+        for ids, held in _held(batches):
+            tokens = np.concatenate(held)
+            lengths = [len(t) for t in held]
+            yield batch([[first], [None], [None], [None], [ids], [lengths], [tokens.tobytes()]])
+            pairs = pairs_of(np.concatenate([histories(t) for t in held]), tokens)
+            for kind, keys in ((WORDS, tokens), (PAIRS, pairs)):
+                keys = np.unique(keys)
+                cuts = cut_by_shard(keys, shards)
+                full = np.flatnonzero(np.diff(cuts))
+                blobs = [keys[cuts[s] : cuts[s + 1]].tobytes() for s in full]
+                n, none = len(full), [None] * len(full)
+                yield batch([[first] * n, [kind] * n, full.tolist(), blobs, none, none, none])
+            first += len(held)
+
+    return rows.mapInArrow(run, GROUPS)
+
+
+def _levels_of_groups(groups: DataFrame, filters: DataFrame) -> DataFrame:
+    """``first, kind, shard, levels`` of the keys that groups ask of shards."""
+
+    def probe(asked: pa.Table, filters: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in asked.column("keys")]
+        cuts = np.cumsum([0, *map(len, parts)])
+        levels = np.zeros(cuts[-1], dtype=np.uint8)  # no n-gram of the shard was counted
+        if filters.num_rows and len(parts):
+            bits = np.frombuffer(filters.column("bits")[0].as_buffer(), dtype=np.uint8)
+            kind = asked.column("kind")[0].as_py()
+            levels = _probed(bloom.Bloom(bits))(kind, np.concatenate(parts)).astype(np.uint8)
+        blobs = [levels[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return asked.select(["first", "kind", "shard"]).append_column(
+            "levels", pa.array(blobs, type=pa.binary())
+        )
+
+    asked = groups.where("kind is not null").select("first", "kind", "shard", "keys")
+    return (
+        asked.groupBy("kind", "shard")
+        .cogroup(filters.groupBy("kind", "shard"))
+        .applyInArrow(probe, "first long, kind int, shard int, levels binary")
+    )
+
+
+def _listed(found: pa.Table) -> Look:
+    """Levels of a group's keys, from what its shards answered."""
+    kinds, shards = found.column("kind").to_numpy(), found.column("shard").to_numpy()
+    by_kind = {}
+    for kind in (WORDS, PAIRS):
+        own = np.flatnonzero(kinds == kind)
+        own = own[np.argsort(shards[own])]  # shards are ranges of ascending keys
+        by_kind[kind] = joined(found.column("levels").take(pa.array(own)), np.uint8).astype(np.int64)
 
-    def read(history: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
-        found = bloom.Bloom(np.frombuffer(bits.value, dtype=np.uint8))
-        of_words = _levels(found, _word_keys(tokens))
-        # a history is the token before it; a text's first token follows its begin
-        first = history == _BEGIN
-        of_history = np.concatenate(([0], of_words[:-1]))
-        of_history[first] = 0
-        begins = np.count_nonzero(first)
-        of_pairs = _levels(found, pairs_of(history, tokens))
-        c_history = VALUES[of_history]
-        if begins:
-            # every text has one begin and one end
-            end_level = _levels(found, _word_keys(np.array([_END])))[0]
-            of_history[first], c_history[first] = end_level, VALUES[end_level]
-        c_pairs = np.minimum(VALUES[of_pairs], c_history)
-        return of_history, c_history, VALUES[of_words], c_pairs
+    def look(kind: int, keys: np.ndarray) -> np.ndarray:
+        different, place = np.unique(keys, return_inverse=True)
+        if len(different) != len(by_kind[kind]):
+            raise ValueError("levels of other keys")
+        return by_kind[kind][place]
 
-    return read
+    return look
+
+
+Judge = Callable[[int, list, np.ndarray, np.ndarray, Look], Iterator[pa.RecordBatch]]
+
+
+def _judged(rows: DataFrame, model: Model, judge: Judge, schema: str) -> DataFrame:
+    """What ``judge`` gives for every group of the rows ``(id, text)``.
+
+    It is called with the number of the group's first row, the ids, the tokens,
+    the lengths of the rows and a function that reads levels.
+    """
+    if model.filters is None:
+        bits = model.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look = _probed(bloom.Bloom(np.frombuffer(bits.value, dtype=np.uint8)))
+            first = _first_row()
+            for ids, held in _held(batches):
+                yield from judge(first, ids, np.concatenate(held), np.array([len(t) for t in held]), look)
+                first += len(held)
+
+        return rows.mapInArrow(run, schema)
+
+    def one(group: pa.Table, found: pa.Table) -> pa.Table:
+        ids, lengths = group.column("ids")[0].as_py(), np.array(group.column("lengths")[0].as_py())
+        tokens = joined(group.column("tokens"), np.uint64)
+        first = group.column("first")[0].as_py()
+        return pa.Table.from_batches(judge(first, ids, tokens, lengths, _listed(found)))
+
+    groups = materialise(_groups(rows, model.shards), "groups")
+    levels = _levels_of_groups(groups, model.filters)
+    whole = groups.where("kind is null").select("first", "ids", "lengths", "tokens")
+    return whole.groupBy("first").cogroup(levels.groupBy("first")).applyInArrow(one, schema)
+
+
+def _histories_of_rows(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    before = histories(tokens)
+    before[np.cumsum(lengths) - lengths] = _BEGIN
+    return before
 
 
 def _fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
@@ -298,48 +482,35 @@ def _fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
     Every training token is taken out of the counts that judge it; a pair that
     would then not be stored counts as unseen.
     """
-    read = _reader(model)
     whole, least = model.whole, model.least_pair
     grid = np.array(GRID)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(
+        first: int, ids: list, tokens: np.ndarray, lengths: np.ndarray, look: Look
+    ) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((_LEVELS, len(grid)))
-
-        def add(held: list[np.ndarray]) -> None:
-            tokens = np.concatenate(held)
-            history = np.concatenate([histories(t) for t in held])
-            level, c_history, c_word, c_pair = read(history, tokens)
-            left = c_pair - 1
-            seen = left >= least
-            one = np.maximum(c_word, 1) / whole
-            # an unseen pair's fit is that of its word and of 1 - g
-            unseen = level[~seen]
-            sums[:, :] += np.bincount(unseen, np.log(one[~seen]), _LEVELS)[:, None]
-            sums[:, :] += np.bincount(unseen, minlength=_LEVELS)[:, None] * np.log1p(-grid)
-            level, one = level[seen], one[seen].astype(np.float32)
-            two = (left[seen] / np.maximum(c_history[seen] - 1, 1)).astype(np.float32)
-            for k, g in enumerate(grid.astype(np.float32)):
-                sums[:, k] += np.bincount(level, np.log(g * two + (1 - g) * one), _LEVELS)
-
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for tokens in _batch_tokens(batch.column(0)):
-                held.append(tokens)
-                size += len(tokens)
-                if size >= _TOKENS_READ:
-                    add(held)
-                    held, size = [], 0
-        if held:
-            add(held)
+        history = _histories_of_rows(tokens, lengths)
+        level, c_history, c_word, c_pair = _read(look, history, tokens)
+        left = c_pair - 1
+        seen = left >= least
+        one = np.maximum(c_word, 1) / whole
+        # an unseen pair's fit is that of its word and of 1 - g
+        unseen = level[~seen]
+        sums[:, :] += np.bincount(unseen, np.log(one[~seen]), _LEVELS)[:, None]
+        sums[:, :] += np.bincount(unseen, minlength=_LEVELS)[:, None] * np.log1p(-grid)
+        level, one = level[seen], one[seen].astype(np.float32)
+        two = (left[seen] / np.maximum(c_history[seen] - 1, 1)).astype(np.float32)
+        for k, g in enumerate(grid.astype(np.float32)):
+            sums[:, k] += np.bincount(level, np.log(g * two + (1 - g) * one), _LEVELS)
         used = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, type=pa.int32()), pa.array(sums[used].tolist(), type=pa.list_(pa.float64()))],
             names=["level", "fit"],
         )
 
+    rows = texts.select(F.lit(None).cast("long").alias("doc_id"), "text")
     fits = (
-        texts.mapInArrow(run, "level int, fit array<double>")
+        _judged(rows, model, fit, "level int, fit array<double>")
         .groupBy("level")
         .agg(*(F.sum(F.get("fit", F.lit(k))).alias(f"g{k}") for k in range(len(grid))))
         .collect()
@@ -387,7 +558,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null texts are empty; repeated rows are scored each; null ids stay null.
     """
     spark = docs.sparkSession
-    read, shards, whole = _reader(model), model.shards, model.whole
+    shards, whole = model.shards, model.whole
     weights = spark.sparkContext.broadcast(model.weights)
     hot = spark.sparkContext.broadcast(_hot_words(model))
     names = [f.split()[0] for f in SCORED.split(", ")]
@@ -397,74 +568,54 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        base_row = (context.partitionId() if context else 0) << 40
+    def finish(
+        first: int, ids: list, tokens: np.ndarray, lengths: np.ndarray, look: Look
+    ) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_times = hot.value
-        number = 0
-
-        def finish(held: list[np.ndarray], ids: list[int | None]) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            tokens = np.concatenate(held)
-            history = np.concatenate([histories(t) for t in held])
-            lengths = np.array([len(t) for t in held])
-            doc = np.repeat(np.arange(len(held)), lengths)
-            level, c_history, c_word, c_pair = read(history, tokens)
-            g = weights.value[level]
-            two = np.divide(c_pair, c_history, out=np.zeros(len(tokens)), where=c_history > 0)
-            scores = np.log10(g * two + (1 - g) * (c_word + 1) / whole)
-            sums = np.bincount(doc, scores, len(held))
-            if len(hot_keys):
-                at = np.minimum(np.searchsorted(hot_keys, tokens), len(hot_keys) - 1)
-                is_hot = hot_keys[at] == tokens
-                times = hot_times[at]
-            else:
-                is_hot, times = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=np.int64)
-            known = np.bincount(doc[is_hot], minlength=len(held))
-            base = np.bincount(doc[is_hot], np.log10(times[is_hot] + 1.0), len(held))
-            base = base - lengths * np.log10(float(whole))
-            first = base_row + number
-            number += len(held)
-            n = len(held)
+        n = len(ids)
+        doc = np.repeat(np.arange(n), lengths)
+        level, c_history, c_word, c_pair = _read(look, _histories_of_rows(tokens, lengths), tokens)
+        g = weights.value[level]
+        two = np.divide(c_pair, c_history, out=np.zeros(len(tokens)), where=c_history > 0)
+        scores = np.log10(g * two + (1 - g) * (c_word + 1) / whole)
+        sums = np.bincount(doc, scores, n)
+        if len(hot_keys):
+            at = np.minimum(np.searchsorted(hot_keys, tokens), len(hot_keys) - 1)
+            is_hot = hot_keys[at] == tokens
+            times = hot_times[at]
+        else:
+            is_hot, times = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=np.int64)
+        known = np.bincount(doc[is_hot], minlength=n)
+        base = np.bincount(doc[is_hot], np.log10(times[is_hot] + 1.0), n)
+        base = base - lengths * np.log10(float(whole))
+        yield rows(
+            [list(range(first, first + n)), ids, lengths, known, base, sums]
+            + [[None] * n] * 4
+        )
+        rest = ~is_hot
+        order = np.lexsort((doc[rest], tokens[rest]))
+        words, own = tokens[rest][order], doc[rest][order]
+        if len(words):
+            new = np.concatenate(([True], (words[1:] != words[:-1]) | (own[1:] != own[:-1])))
+            starts = np.flatnonzero(new)
+            often = np.diff(np.append(starts, len(words))).astype(np.uint32)
+            words, own = words[starts], own[starts].astype(np.uint32)
+            cuts = cut_by_shard(words, shards)
+            full = np.flatnonzero(np.diff(cuts))
+            part = lambda x: [x[cuts[s] : cuts[s + 1]].tobytes() for s in full]
+            nulls = [None] * len(full)
             yield rows(
-                [list(range(first, first + n)), ids, lengths, known, base, sums]
-                + [[None] * n] * 4
+                [[first] * len(full), nulls, nulls, nulls, nulls, nulls]
+                + [full, part(words), part(own), part(often)]
             )
-            rest = ~is_hot
-            order = np.lexsort((doc[rest], tokens[rest]))
-            words, own = tokens[rest][order], doc[rest][order]
-            if len(words):
-                new = np.concatenate(([True], (words[1:] != words[:-1]) | (own[1:] != own[:-1])))
-                starts = np.flatnonzero(new)
-                often = np.diff(np.append(starts, len(words))).astype(np.uint32)
-                words, own = words[starts], own[starts].astype(np.uint32)
-                cuts = cut_by_shard(words, shards)
-                full = np.flatnonzero(np.diff(cuts))
-                part = lambda x: [x[cuts[s] : cuts[s + 1]].tobytes() for s in full]
-                nulls = [None] * len(full)
-                yield rows(
-                    [[first] * len(full), nulls, nulls, nulls, nulls, nulls]
-                    + [full, part(words), part(own), part(often)]
-                )
-
-        held: list[np.ndarray] = []
-        ids: list[int | None] = []
-        size = 0
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, tokens in zip(keys, _batch_tokens(batch.column(1))):
-                held.append(tokens)
-                ids.append(key)
-                size += len(tokens)
-                if size >= _TOKENS_READ:
-                    yield from finish(held, ids)
-                    held, ids, size = [], [], 0
-        if held:
-            yield from finish(held, ids)
 
     scored = materialise(
-        docs.select(docs[id_col].cast("long").alias("doc_id"), _text_column(docs, text_col).alias("text"))
-        .mapInArrow(run, SCORED),
+        _judged(
+            docs.select(docs[id_col].cast("long").alias("doc_id"), _text_column(docs, text_col).alias("text")),
+            model,
+            finish,
+            SCORED,
+        ),
         "scored",
     )
 

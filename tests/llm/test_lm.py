@@ -76,3 +76,49 @@ def test_small_filter_keeps_the_bound(spark, docs):
 def test_thresholds():
     assert lm.THRESHOLDS[:9].tolist() == [1, 2, 3, 4, 6, 8, 12, 16, 23]
     assert lm.VALUES[:6].tolist() == [0, 1, 2, 3, 4.5, 6.5]
+
+
+def test_large_filter_is_cut_and_keeps_every_pair(spark, docs, texts, monkeypatch):
+    """A filter above ``MAX_BYTES`` grows in shards; no n-gram is left out."""
+    one = lm.train(docs)
+    whole = {r.doc_id: r.score for r in lm.score(docs, one).collect()}
+    monkeypatch.setattr(lm, "MAX_BYTES", 1 << 16)
+    monkeypatch.setattr(lm, "_TOKENS_READ", 5000)
+    model = lm.train(docs)
+    assert model.least_pair == 1
+    rows = docs.select("doc_id", "text")
+    groups = lm._groups(rows, model.shards)
+    got, true = [], []
+    counts = [Counter(), Counter()]
+    parts = groups.where("kind is null").collect()
+    for group in parts:
+        tokens = np.frombuffer(group.tokens, dtype=np.uint64)
+        before = lm._histories_of_rows(tokens, np.array(group.lengths))
+        counts[lm.WORDS].update(tokens.tolist())
+        counts[lm.PAIRS].update(lm.pairs_of(before, tokens).tolist())
+    assert len(parts) > 1 and sum(len(g.ids) for g in parts) == len(texts)
+    asked = {(r["first"], r.kind, r.shard): r["keys"] for r in groups.where("kind is not null").collect()}
+    for r in lm._levels_of_groups(groups, model.filters).collect():
+        keys = np.frombuffer(asked[r["first"], r.kind, r.shard], dtype=np.uint64)
+        got += list(r.levels)
+        true += lm.level_of(np.array([counts[r.kind][k] for k in keys.tolist()])).tolist()
+    got, true = np.array(got), np.array(true)
+    assert len(got) and (true >= 1).all() and (got >= true).all() and (got == true).mean() > 0.98
+    cut = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    assert cut.keys() == whole.keys()
+    assert all(abs(cut[k] - whole[k]) <= 0.02 * abs(whole[k]) for k in whole)
+
+
+def test_whole_and_cut_filters_take_the_same_rows(odd, nothing, monkeypatch):
+    monkeypatch.setattr(lm, "MAX_BYTES", 1)
+    check_scores(lm.score_held_out(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
+    assert lm.score_held_out(nothing).collect() == []
+
+
+def test_pairs_seen_once_are_stored(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta alpha delta")], "doc_id long, text string")
+    model = lm.train(docs)
+    data = np.frombuffer(b"alpha beta", dtype=np.uint8)
+    keys = lm.arrowwords.hashes(data, *lm.arrowwords.spans(data), True)
+    found = bloom.Bloom(np.frombuffer(model.bits.value, dtype=np.uint8))
+    assert lm._levels(found, lm.pairs_of(keys[:1], keys[1:])).tolist() == [1]
