@@ -11,7 +11,9 @@ runs; equal windows have equal anchors. The work is:
    bounded size; its false hits send more segments and change no result.
 3. Equal segments are one, with their smallest id, before anything is gathered;
    so a passage that very many documents share is a few segments. Anchors with
-   many different segments are dealt anew by single windows.
+   many different segments (a passage amid texts that differ) are cut into single
+   windows, which are grouped by a 128-bit hash: the smallest id of a window comes
+   from an aggregation, and no index holds a window more than once.
 4. Each shard builds its FM-index and streams its segments against it: backward
    search gives matching statistics and, where they reach the window, the
    interval of suffixes and in it the smallest id.
@@ -44,6 +46,7 @@ SHARD_WORDS = 1 << 18
 BIG_ANCHOR = 2000  # segments of one anchor beyond which its windows go singly
 _LOWEST = -(1 << 63)
 _HELD = 1 << 20
+_OTHER = np.uint64(0x452821E638D01377)
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
@@ -210,36 +213,65 @@ def _texts(column: pa.Array | pa.ChunkedArray) -> list[arrowwords.Slice]:
     return [part for c in chunks for part in arrowwords.slices(c.cast(pa.string()), False)]
 
 
+WINDOWS = "route long, second long, one long, two long, skip int, first long, last long"
+
+
 def _single_windows(big: DataFrame) -> DataFrame:
-    """Segments as single windows, dealt by the window itself."""
+    """Segments as single windows, each with a 128-bit hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _texts(batch.column(4)):
                 rows = part.rows()
                 routes = arrowwords.windows(part.words, WINDOW)
+                seconds = arrowwords.windows(arrowwords.mix(part.words ^ _OTHER), WINDOW)
                 inside = np.flatnonzero(rows[: len(routes)] == rows[WINDOW - 1 :][: len(routes)])
-                raw, own = part.data.tobytes(), rows[inside]
-                lows = part.starts[inside].tolist()
-                highs = part.ends[inside + WINDOW - 1].tolist()
+                own = rows[inside]
                 at = pa.array(own + part.first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(routes[inside].view(np.int64)),
+                        pa.array(seconds[inside].view(np.int64)),
                         batch.column(0).take(at),
                         batch.column(1).take(at),
                         pa.array(inside - part.bounds[own], type=pa.int32()),
                         batch.column(2).take(at),
                         batch.column(3).take(at),
-                        pa.array([raw[a:b] for a, b in zip(lows, highs)], type=pa.binary()),
                     ],
-                    names=[f.split()[0] for f in _ROUTED.split(", ")],
+                    names=[f.split()[0] for f in WINDOWS.split(", ")],
                 )
 
-    return big.select("one", "two", "first", "last", "words").mapInArrow(run, _ROUTED)
+    return big.select("one", "two", "first", "last", "words").mapInArrow(run, WINDOWS)
+
 
+def first_of_windows(big: DataFrame) -> tuple[DataFrame, str]:
+    """What ``first_documents`` returns, for each window of these segments by itself.
+
+    Equal windows have equal anchors, so all of them are here. A window that very
+    many segments hold is joined back by broadcast: there can be only few of them.
+    """
+    windows = _single_windows(big)
+    least = (
+        windows.groupBy("route", "second")
+        .agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("times"))
+        .where("least < most")
+        .select("route", "second", "least", "times")
+    )
+    least, path = written(least, "first-of-windows")
+    common = least.where(F.col("times") > BIG_ANCHOR).drop("times")
+    usual = least.where(F.col("times") <= BIG_ANCHOR).drop("times")
+    if fits_broadcast(least):
+        found = windows.join(F.broadcast(least.drop("times")), ["route", "second"])
+    elif fits_broadcast(common):
+        common, keys = F.broadcast(common), F.broadcast(common.select("route", "second"))
+        rest = windows.join(keys, ["route", "second"], "left_anti")
+        found = windows.join(common, ["route", "second"]).unionByName(
+            rest.join(usual, ["route", "second"])
+        )
+    else:
+        found = windows.join(least.drop("times"), ["route", "second"])
+    return found.where("least < last").select("one", "two", "skip", F.array("least").alias("firsts")), path
 
-_ROUTED = "route long, one long, two long, skip int, first long, last long, words binary"
 
 def first_documents(routed: DataFrame, shards: int) -> DataFrame:
     """For each segment the smallest id that holds each of its windows.
@@ -306,12 +338,12 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     usual = distinct.join(big, "anchor", "left_anti").select(
         F.col("anchor").alias("route"), "one", "two", F.lit(0).alias("skip"), "first", "last", "words"
     )
-    # single windows are one again where they are equal
-    split = _single_windows(distinct.join(big, "anchor", "left_semi"))
-    routed = usual.unionByName(split)
-    words = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    words = usual.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, int(words) // 6 // SHARD_WORDS + 1)
-    firsts, at_firsts = written(first_documents(routed, shards), "first-documents")
+    singly, at_windows = first_of_windows(distinct.join(big, "anchor", "left_semi"))
+    firsts, at_firsts = written(
+        first_documents(usual, shards).unionByName(singly), "first-documents"
+    )
     gone = F.filter(
         F.sequence(F.lit(0), F.size("firsts") - 1), lambda k: F.get("firsts", k) < F.col("key")
     )
@@ -326,7 +358,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))).alias("spans"))
     )
     spans, _ = written(spans, "repeated-spans")
-    for path in (at_held, at_distinct, at_firsts):
+    for path in (at_held, at_distinct, at_windows, at_firsts):
         discard(spark, path)
     return spans
 

@@ -72,6 +72,39 @@ def test_spliced_documents(spark, seed, monkeypatch):
     assert found(substrings.without_repeats(df)) == expected(rows)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_a_passage_amid_other_words_is_indexed_once(spark, monkeypatch, few):
+    """Its end windows come from as many segments as there are documents."""
+    monkeypatch.setattr(substrings, "BIG_ANCHOR", 20)
+    if not few:
+        sizes = iter([False, True])
+        fits = substrings.fits_broadcast
+        choose = lambda df: next(sizes) if {"times", "least"} & set(df.columns) else fits(df)
+        monkeypatch.setattr(substrings, "fits_broadcast", choose)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for key in range(200):
+        before, after = (" ".join(f"{s}{key}x{i}" for i in range(20)) for s in "ab")
+        rows.append((key, f"{before} {passage} {after}"))
+    indexed = []
+
+    def index(routed, shards):
+        indexed.extend(r.words for r in routed.collect())
+        return real(routed, shards)
+
+    real = substrings.first_documents
+    monkeypatch.setattr(substrings, "first_documents", index)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(substrings.without_repeats(df)) == expected(rows)
+    held = [w for words in indexed for w in windows_of(words)]
+    assert len(held) == len(set(held))
+
+
+def windows_of(words):
+    words = WORD.findall(words.decode() if isinstance(words, (bytes, bytearray)) else words)
+    return [tuple(words[i : i + W]) for i in range(len(words) - W + 1)]
+
+
 @given(
     st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=25), min_size=1, max_size=8),
     st.lists(st.integers(0, 5), min_size=1, max_size=25),
