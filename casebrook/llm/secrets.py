@@ -2,8 +2,8 @@
 
 The first three kinds are patterns. The fourth is a test of token efficiency: a
 public BPE vocabulary spends many tokens on a random string, so few characters
-per token expose it. Known digests, identifiers made of words or of digits, and
-whatever a pattern has found already are left out first.
+per token expose it. Left out first are what a pattern has found already, digests,
+UUIDs, short numbers and the parts that the vocabulary itself shows to be words.
 
 Spans count code points; the end is exclusive.
 """
@@ -32,11 +32,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 # Candidates of the token test, and what is known not to be a secret.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
-UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORD_PART = re.compile(r"[A-Z]?[a-z]*|[A-Z]+|[0-9]+")
-SEPARATORS = re.compile(r"[+/_=-]+")
+MIN_RANDOM = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
+DIGEST = r"[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128}"
+UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+HARMLESS = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID}|{DIGEST})(?![A-Za-z0-9])")
+LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NUMBER = re.compile(r"[0-9]{1,8}")
+PART = re.compile(r"[A-Za-z0-9]+")
+WORD_CHARS_PER_TOKEN = 3.0
 MAX_CHARS_PER_TOKEN = 2.0
 
 
@@ -52,11 +56,24 @@ def pattern_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def is_identifier(run: str) -> bool:
-    """Digests, UUIDs, and names whose every part is a plain word or a number."""
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
+def _outside(low: int, high: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a range without those taken, where long enough to be tested."""
+    for start, end in sorted(taken):
+        if min(start, high) - low >= MIN_RANDOM:
+            yield low, min(start, high)
+        low = max(low, end)
+    if high - low >= MIN_RANDOM:
+        yield low, high
+
+
+def is_word(part: str, encoding: tiktoken.Encoding) -> bool:
+    """Short numbers, and letters of one case that the vocabulary knows as a word."""
+    if NUMBER.fullmatch(part):
         return True
-    return all(WORD_PART.fullmatch(part) for part in SEPARATORS.split(run))
+    if not LETTERS.fullmatch(part):
+        return False
+    pieces = len(encoding.encode_ordinary(part))
+    return pieces == 1 or len(part) >= WORD_CHARS_PER_TOKEN * pieces
 
 
 def random_spans(
@@ -65,14 +82,37 @@ def random_spans(
     encoding: tiktoken.Encoding,
     max_chars_per_token: float = MAX_CHARS_PER_TOKEN,
 ) -> list[Span]:
-    """Runs of at least 20 characters on which the vocabulary is inefficient."""
+    """Runs of at least ``MIN_RANDOM`` characters on which the vocabulary is inefficient.
+
+    Words at the ends of a run are not counted with it. A run that passes because
+    of words within it is tested again between them.
+    """
     out: list[Span] = []
+
+    def exposed(low: int, high: int) -> bool:
+        if high - low < MIN_RANDOM:
+            return False
+        return (high - low) / len(encoding.encode_ordinary(text[low:high])) < max_chars_per_token
+
     for match in CANDIDATE.finditer(text):
         low, high = match.span()
-        if is_identifier(match[0]) or any(s[0] < high and low < s[1] for s in known):
-            continue
-        if (high - low) / len(encoding.encode_ordinary(match[0])) < max_chars_per_token:
-            out.append((low, high, "random"))
+        taken = [(s[0], s[1]) for s in known if s[0] < high and low < s[1]]
+        taken += [m.span() for m in HARMLESS.finditer(text, low, high)]
+        for start, end in _outside(low, high, taken):
+            runs: list[tuple[int, int]] = []  # of parts that are no words
+            fresh = True
+            for part in PART.finditer(text, start, end):
+                if is_word(part[0], encoding):
+                    fresh = True
+                elif fresh:
+                    runs.append(part.span())
+                    fresh = False
+                else:
+                    runs[-1] = (runs[-1][0], part.end())
+            if runs and exposed(runs[0][0], runs[-1][1]):
+                out.append((runs[0][0], runs[-1][1], "random"))
+            else:
+                out += [(a, b, "random") for a, b in runs if exposed(a, b)]
     return out
 
 

@@ -173,6 +173,38 @@ def test_invented_words_are_no_secrets(texts):
         assert base == every
 
 
+def test_random_strings_of_one_case_and_of_parts_are_found():
+    encoding = tokens.encoder(tokens.vocabulary_path(), tokens.vocabulary_pattern())
+    rng = np.random.default_rng(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mixed = letters + letters.upper() + "0123456789"
+
+    def found(alphabet, size, around="{}"):
+        hits = 0
+        for _ in range(300):
+            run = "".join(rng.choice(list(alphabet), size))
+            text = around.format(run)
+            at = text.index(run)
+            hits += any(a <= at + 1 and at + size - 1 <= b for a, b, _ in secrets.find_spans(text, encoding)[1])
+        return hits / 300
+
+    assert found(letters, 32) > 0.9 and found(letters.upper(), 32) > 0.97
+    assert found(letters.upper(), 20) > 0.95
+    assert found(mixed, 16) > 0.97
+    # between words, and behind a run that a pattern has found
+    assert found(mixed, 20, "the_database_{}_production_configuration") > 0.97
+    assert found("GHJKLMNPQRSTUVWXYZ", 24, "deadbeefdeadbeef/{}") > 0.97
+    for harmless in (
+        "9233A8ECF7C5B09FE5949719B6B82BC439E9329B",
+        "session-12345678-e89b-12d3-a456-426614174000",
+        "2024-01-01-12-30-45",
+        "some_long_identifier_name/with/parts-2024",
+        "usr/lib/a/b/c/d/e/f/g/h",
+        "========================",
+    ):
+        assert secrets.find_spans(harmless, encoding) == ([], [])
+
+
 # ------------------------------------------------------------- host rules
 
 
