@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from casebrook.llm import (
     substrings,
     token_files,
 )
-from casebrook.sources.storage import materialise
+from casebrook.sources.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,9 +43,8 @@ def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document, counted in flat files that know no documents."""
-    blocks = materialise(token_files.write_blocks(documents(spark, sf)), "token-blocks")
-    counted = token_files.count_tokens(blocks)
-    return counted.select(F.col("label").alias("doc_id"), "file", "doc_no", "start", "n_tokens")
+    folder = f"{shared_dir(spark)}/casebrook/raw-tokens-{uuid.uuid4().hex}"
+    return token_files.count_documents(documents(spark, sf), folder)
 
 
 def op5_line_spread(spark: SparkSession, sf: str) -> DataFrame:

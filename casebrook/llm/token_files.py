@@ -1,7 +1,8 @@
 """Token counts of documents in flat token files that have no index.
 
 A flat file is nothing but ids, each document ended by a separator id. It is
-read in blocks. Each task searches its blocks for the separator with one NumPy
+read in blocks: a block is a range of bytes, which a task reads from the shared
+file system by itself, so a file may be of any size. Each task searches its blocks for the separator with one NumPy
 comparison per block; a prefix scan over the blocks of a file (running sums and
 a running maximum, as window functions over a few numbers per block) then gives
 every block its offset, its first document number and where the document began
@@ -10,20 +11,27 @@ that runs into it. A document may span any number of blocks.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casebrook.llm import tokens
+from casebrook.sources.storage import materialise
 
 BLOCK_IDS = 1 << 20
 SEPARATOR = 50256
 BLOCKS = "file string, block long, ids binary, labels array<long>"
+FILES = "file string, path string, length long, first_no long, labels array<long>"
+TASK_BYTES = 64 << 20  # of raw files
 
 
 def write_blocks(
@@ -91,34 +99,136 @@ def write_blocks(
     )
 
 
-def read_blocks(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, width: int = 2) -> DataFrame:
-    """Blocks of raw token files at ``path`` (ids of ``width`` bytes).
+def _local(path: str) -> str | None:
+    """The plain path of a file in a mounted file system, else nothing."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:") :].lstrip("/")
+    return None if "://" in path else path
+
+
+def _to_write(path: str) -> BinaryIO:
+    local = _local(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    store, name = pyarrow.fs.FileSystem.from_uri(path)
+    store.create_dir(os.path.dirname(name), recursive=True)
+    return store.open_output_stream(name)
+
+
+def _to_read(path: str) -> BinaryIO:
+    local = _local(path)
+    if local is not None:
+        return open(local, "rb")
+    store, name = pyarrow.fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def write_files(
+    docs: DataFrame,
+    folder: str,
+    path: str | None = None,
+    pattern: str | None = None,
+    separator: int = SEPARATOR,
+) -> DataFrame:
+    """Tokenise ``docs(doc_id, text)`` into raw files of 16-bit ids in a shared folder.
+
+    Each task writes one file when the result is computed, which should be once.
+    A row is a file with its ``path`` and ``length`` in bytes, or the ``labels`` of
+    its documents from number ``first_no`` on. A null text is its separator alone.
+    """
+    path = path or tokens.vocabulary_path()
+    pattern = pattern or tokens.vocabulary_pattern()
+    names = [f.split()[0] for f in FILES.split(", ")]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def row(*values: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = tokens.encoder(path, pattern)
+        context = TaskContext.get()
+        file = f"tokens-{context.partitionId() if context else 0:08d}"
+        target = f"{folder}/{file}-{uuid.uuid4().hex}.bin"  # each attempt has its own
+        end = np.array([separator], dtype="<u2").tobytes()
+        out = None
+        length = number = 0
+        try:
+            for batch in batches:
+                if batch.num_rows and out is None:
+                    out = _to_write(target)
+                for text in batch.column(1):
+                    ids = tokens.ids(encoding, text.as_py()).astype("<u2").tobytes()
+                    out.write(ids)
+                    out.write(end)
+                    length += len(ids) + len(end)
+                yield row(file, None, None, number, batch.column(0).to_pylist())
+                number += batch.num_rows
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            yield row(file, target, length, None, None)
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
+        run, FILES
+    )
+
+
+def read_ranges(files: DataFrame, block_ids: int = BLOCK_IDS, width: int = 2) -> DataFrame:
+    """Blocks of the raw files ``file, path, length`` (ids of ``width`` bytes).
 
-    Spark hands a file to one task whole, so a file should stay well below the
-    memory of a task; a file of another length than whole ids is an error.
+    Each task reads its own ranges of bytes, no more than one at a time; a file of
+    another length than whole ids is an error.
     """
+    step = block_ids * width
+    total = files.agg(F.sum("length")).first()[0] or 0
+    parts = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = (
+        files.where("length > 0")
+        .select("file", "path", "length", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) div {step}"))).alias("block"))
+        .repartition(int(min(parts, max(1, -(-total // step) + files.count()))))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = content.as_buffer()
-                if raw.size % width:
-                    raise ValueError(f"{file}: {raw.size} bytes are not whole ids")
-                step = block_ids * width
-                for block, low in enumerate(range(0, raw.size, step)):
-                    part = raw.slice(low, min(step, raw.size - low)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([file]),
-                            pa.array([block], type=pa.int64()),
-                            pa.array([part], type=pa.binary()),
-                            pa.array([None], type=pa.list_(pa.int64())),
-                        ],
-                        names=["file", "block", "ids", "labels"],
-                    )
-
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInArrow(run, BLOCKS)
+            for file, path, length, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if length % width:
+                    raise ValueError(f"{file}: {length} bytes are not whole ids")
+                wanted = min(step, length - block * step)
+                with _to_read(path) as content:
+                    content.seek(block * step)
+                    part = content.read(wanted)
+                if len(part) != wanted:
+                    raise ValueError(f"{file}: shorter than it was listed")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([file]),
+                        pa.array([block], type=pa.int64()),
+                        pa.array([part], type=pa.binary()),
+                        pa.array([None], type=pa.list_(pa.int64())),
+                    ],
+                    names=["file", "block", "ids", "labels"],
+                )
+
+    return ranges.mapInArrow(run, BLOCKS)
+
+
+def read_blocks(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, width: int = 2) -> DataFrame:
+    """Blocks of raw token files at ``path``; Spark only lists them with their sizes."""
+    listed = spark.read.format("binaryFile").load(path)
+    return read_ranges(listed.select(F.col("path").alias("file"), "path", "length"), block_ids, width)
+
+
+def count_documents(docs: DataFrame, folder: str) -> DataFrame:
+    """``doc_id, file, doc_no, start, n_tokens``, counted in raw files in ``folder``."""
+    made = materialise(write_files(docs, folder), "token-files")
+    counted = count_tokens(read_ranges(made.where("path is not null").select("file", "path", "length")))
+    labels = made.where("path is null").select("file", "first_no", F.posexplode("labels").alias("k", "doc_id"))
+    labels = labels.select("file", (F.col("first_no") + F.col("k")).alias("doc_no"), "doc_id")
+    return counted.join(labels, ["file", "doc_no"], "left").select(
+        "doc_id", "file", "doc_no", "start", "n_tokens"
+    )
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) -> DataFrame:

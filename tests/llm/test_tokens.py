@@ -128,3 +128,26 @@ def test_broken_file(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole ids"):
         token_files.read_blocks(spark, str(tmp_path)).collect()
+
+
+def test_files_are_read_by_ranges(spark, tmp_path):
+    """Spark never loads a file whole, however long it is."""
+    ids = ([7] * 9 + [50256]) * 500
+    (tmp_path / "x y%20.bin").write_bytes(np.array(ids, dtype="<u2").tobytes())
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "64")
+    try:
+        blocks = token_files.read_blocks(spark, str(tmp_path), 64)
+        assert max(len(r.ids) for r in blocks.collect()) == 128
+        got = token_files.count_tokens(blocks).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert sorted((r.doc_no, r.start, r.n_tokens) for r in got) == [(k, 10 * k, 9) for k in range(500)]
+
+
+def test_op4_counts_raw_files(spark, odd, nothing, reference, tmp_path):
+    rows = token_files.count_documents(odd, str(tmp_path / "raw")).collect()
+    want = sorted((str(r.doc_id), len(reference(r.text or ""))) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == want
+    held = sum((n + 1) * 2 for _, n in want)
+    assert sum(p.stat().st_size for p in (tmp_path / "raw").iterdir()) == held
+    assert token_files.count_documents(nothing, str(tmp_path / "none")).collect() == []
