@@ -161,7 +161,8 @@ def pack_documents(
 ) -> DataFrame:
     """Pack ``docs(doc_id, text)``: one row per piece.
 
-    A null or empty text is its end id alone. A null ``doc_id`` stays null and
+    ``<|endoftext|>`` in a text is one id, as the public tokenizer file has it. A
+    null or empty text is its end id alone. A null ``doc_id`` stays null and
     sorts first; repeated rows are packed as often as they come; an empty table
     gives no rows; other columns are not read. ``sequence_id`` joins the task's
     number and a counter. A document of any length is cut into windows.
@@ -204,7 +205,7 @@ def pack_documents(
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for key, text in zip(keys, batch.column(1)):
-                own = np.append(tokens.ids(encoding, text.as_py()), np.uint32(end_id))
+                own = np.append(tokens.ids_with_special(encoding, text.as_py()), np.uint32(end_id))
                 held.append((key, own))
                 size += len(own)
                 if size >= block_tokens:

@@ -29,6 +29,20 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+
+
+def ids_with_special(encoding: tiktoken.Encoding, text: str | None) -> np.ndarray:
+    """The ids of a whole text as ``tokenizers`` has them: ``SPECIAL`` is one id."""
+    if not text or SPECIAL not in text:
+        return ids(encoding, text)
+    first, *rest = text.split(SPECIAL)
+    parts = [ids(encoding, first)]
+    for part in rest:
+        parts += [np.array([SPECIAL_ID], dtype=np.uint32), ids(encoding, part)]
+    return np.concatenate(parts)
+
+
 def ids(encoding: tiktoken.Encoding, text: str | None) -> np.ndarray:
     """The ids of a whole text; a null text has none."""
     if not text:

@@ -151,3 +151,15 @@ def test_op4_counts_raw_files(spark, odd, nothing, reference, tmp_path):
     held = sum((n + 1) * 2 for _, n in want)
     assert sum(p.stat().st_size for p in (tmp_path / "raw").iterdir()) == held
     assert token_files.count_documents(nothing, str(tmp_path / "none")).collect() == []
+
+
+def test_special_token_in_texts_is_one_id(spark):
+    tokenizer = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext| <|endoftext|>é "]
+    want = [(k, tokenizer.encode(t, add_special_tokens=False).ids + [1]) for k, t in enumerate(texts)]
+    assert len(want[0][1]) == 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(packing.pack_documents(df).collect(), want)
+    # in a flat file that id would be a separator: there the string stays ordinary text
+    blocks = token_files.write_blocks(df)
+    assert sorted(r.label for r in token_files.count_tokens(blocks).collect()) == [0, 1, 2, 3]
