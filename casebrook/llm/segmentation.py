@@ -3,7 +3,9 @@
 Blanks become U+2581, one is put in front, and a text is cut into chunks before
 each run of blanks and around line ends; no piece of the vocabulary reaches over
 such a cut, so the best segmentations of a text are made of good segmentations of its chunks. The
-score of a segmentation is the sum of its pieces' stored scores. A character
+score of a segmentation is the sum of its pieces' stored scores. Those of a model
+of BPE type are merge ranks, so the best one here is not the model's own encoding,
+which follows its merges. A character
 that no piece spells has an edge of its own, ``UNKNOWN`` below the least score,
 and is written as its bytes.
 
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BEST = 4
 UNKNOWN = 10.0
@@ -61,7 +64,9 @@ class Pieces:
                 value = int(piece[3:5], 16)
                 self.byte_ids[value] = i
                 self.spelled[i] = bytes([value])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            elif model.is_control(i):
+                self.spelled[i] = b""
+            elif not (model.is_unknown(i) or model.is_unused(i)):
                 if re.search(f"[^{BLANK}]{BLANK}", piece):
                     raise ValueError(f"piece {piece!r} reaches over a blank")
                 if "\n" in piece:
@@ -115,8 +120,12 @@ class Pieces:
         return None
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; without the blank put in front."""
-        return b"".join(self.spelled[i] for i in ids).decode("utf-8", "replace")[1:]
+        """The text of ids; without the blank put in front, control ids are silent."""
+        try:
+            spelled = b"".join(map(self.spelled.__getitem__, ids))
+        except KeyError as missing:
+            raise ValueError(f"id {missing} is no piece") from None
+        return spelled.decode("utf-8", "replace").removeprefix(" ")
 
 
 def chunks_of(text: str) -> list[str]:
@@ -315,11 +324,23 @@ SCHEMA = (
 )
 
 
+def segmented(segmenter: Segmenter, keys: list[int | None], texts: list[str]) -> list[tuple]:
+    """Rows of ``SCHEMA``; every segmentation is decoded by itself."""
+    cut = [chunks_of(t) for t in texts]
+    segmenter.learn(cut)
+    rows: list[tuple] = []
+    for key, text, chunks in zip(keys, texts, cut):
+        for rank, (score, ids) in enumerate(segmenter.segment(chunks), 1):
+            same = segmenter.pieces.decode(np.frombuffer(ids, dtype="<u4").tolist()) == text
+            rows.append((key, rank, score, len(ids) // 4, zlib.crc32(ids), same, ids))
+    return rows
+
+
 def segment_documents(docs: DataFrame, path: str | None = None, best: int = BEST) -> DataFrame:
     """The ``best`` best segmentations (or all) of each row of ``docs(doc_id, text)``.
 
     One pass, no shuffle. ``ids`` are little-endian 32-bit ids; ``round_trip``
-    tells whether they decode to the text. Null and empty texts have one
+    tells of each segmentation whether it decodes to the text. Null and empty texts have one
     segmentation, of no pieces. U+2581 in a text reads as a blank, as the model's
     format has it. Rows are segmented each; null ids stay null.
     """
@@ -332,15 +353,7 @@ def segment_documents(docs: DataFrame, path: str | None = None, best: int = BEST
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                cut = [chunks_of(t) for t in texts]
-                segmenter.learn(cut)
-                rows: list[tuple] = []
-                for key, text, chunks in zip(part.column(0).to_pylist(), texts, cut):
-                    for rank, (score, ids) in enumerate(segmenter.segment(chunks), 1):
-                        # the other ranks differ in chunks whose paths spell the chunk
-                        if rank == 1:
-                            same = segmenter.pieces.decode(np.frombuffer(ids, dtype="<u4").tolist()) == text
-                        rows.append((key, rank, score, len(ids) // 4, zlib.crc32(ids), same, ids))
+                rows = segmented(segmenter, part.column(0).to_pylist(), texts)
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
                 arrays = [pa.array(c, type=t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -348,3 +361,27 @@ def segment_documents(docs: DataFrame, path: str | None = None, best: int = BEST
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
         run, SCHEMA
     )
+
+
+def decode_ids(df: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``df`` with the text of each row's little-endian 32-bit ids as a last column.
+
+    Null ids have a null text, no ids an empty one; an id that is no piece is an
+    error. Another column of the name ``text_col`` is replaced.
+    """
+    path = path or model_path()
+    if text_col == ids_col:
+        raise ValueError("the text needs a column of its own")
+    rows = df.drop(text_col)
+    names = [*rows.columns, text_col]
+    at = rows.columns.index(ids_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path)
+        for batch in batches:
+            ids = batch.column(at).to_pylist()
+            texts = [None if x is None else pieces.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=names)
+
+    return rows.mapInArrow(run, schema)

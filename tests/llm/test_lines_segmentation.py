@@ -156,3 +156,28 @@ def test_odd_rows_through_segmentation(odd, nothing):
     check_rows([r for r in rows if r.doc_id is not None and r.doc_id != 5], 15)
     assert len([r for r in rows if r.doc_id == 0]) == 1
     assert seg.segment_documents(nothing).collect() == []
+
+
+def test_every_rank_is_decoded(pieces):
+    class Wrong(seg.Segmenter):
+        def segment(self, chunks):
+            own = super().segment(chunks)
+            return [own[0], *((score, ids + ids[-4:]) for score, ids in own[1:])]
+
+    assert [r[5] for r in seg.segmented(seg.Segmenter(pieces, 3), [1], ["hello there"])] == [True] * 3
+    assert [r[5] for r in seg.segmented(Wrong(pieces, 3), [1], ["hello there"])] == [True, False, False]
+
+
+def test_decoding_of_a_column(spark, odd):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=seg.model_path())
+    texts = ["hello there", "", "  two  blanks\n\u00e9t\u00e9 \U0001f600"]
+    rows = [(k, np.array(model.encode(t), dtype="<u4").tobytes()) for k, t in enumerate(texts)]
+    rows.append((3, np.array([model.bos_id(), *model.encode("abc")], dtype="<u4").tobytes()))
+    df = spark.createDataFrame([*rows, (4, None)], "k int, ids binary")
+    got = {r.k: r.text for r in seg.decode_ids(df).collect()}
+    assert got == {0: texts[0], 1: "", 2: model.decode(model.encode(texts[2])), 3: "abc", 4: None}
+    back = seg.decode_ids(seg.segment_documents(odd)).where("doc_id is not null").collect()
+    whole = {r.doc_id: r.text or "" for r in odd.where("doc_id is not null").collect()}
+    assert len(back) > len(whole) and all(r.text == whole[r.doc_id] for r in back)
