@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from casebrook.llm import lines
 from casebrook.llm.host_rules import HOST_LIMIT, MIN_PRIOR, MIN_WORDS, REPEAT_PERCENT
+from casebrook.llm.oracles_vectors_phrases import codebooks_sql, collocations_sql
 
 _RULES = {
     "symbols": ("10 * n_symbols > n_words", "2 * n_symbols > n_words"),
@@ -128,4 +129,6 @@ ORACLES: dict[str, str] = {
     "op5_line_spread": LINES,
     "op9_substrings": SUBSTRINGS,
     "op8_host_rules": f"WITH {host_rules_sql()} SELECT * EXCLUDE (r) FROM judged",
+    "op11_vector_codes": codebooks_sql(),
+    "op13_collocations": collocations_sql(),
 }

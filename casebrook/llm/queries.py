@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebrook.llm import (
+    codebooks,
     fingerprints,
     host_rules,
     lines,
     lm,
     near_duplicates,
     packing,
+    phrases,
     secrets,
     segmentation,
+    site_templates,
     substrings,
     token_files,
 )
@@ -73,6 +76,18 @@ def op10_segmentation(spark: SparkSession, sf: str) -> DataFrame:
     return segmentation.segment_documents(documents(spark, sf)).drop("ids")
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return codebooks.compressed(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op12_main_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return site_templates.main_texts(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_fingerprints": op2_fingerprints,
@@ -84,4 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_host_rules": op8_host_rules,
     "op9_substrings": op9_substrings,
     "op10_segmentation": op10_segmentation,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_main_texts": op12_main_texts,
+    "op13_collocations": op13_collocations,
 }
