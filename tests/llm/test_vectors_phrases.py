@@ -268,4 +268,4 @@ def test_fixed_phrases(spark):
     got = phrases.fixed_phrases(frame(spark, rows), 12).collect()
     expected = plain_paths(rows, 12)
     assert sorted((r.lang, r.phrase, r.n_words, r.f) for r in got) == expected
-    assert max(n for _, _, n, _ in expected) > 20
+    assert max(n for _, _, n, _ in expected) > 12
