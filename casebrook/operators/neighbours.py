@@ -6,15 +6,14 @@ Two physical routes give the same rows.
             compares its own chunk batches with all of them by matrix product.
             The corpus is read once and never shuffled; each task emits at
             most ``k`` rows per query.
-``routed``  The query set is beyond that bound. Chunks are assigned to the
-            nearest of a fixed number of pivots; a query is sent only to cells
-            that can still hold one of its best ``k`` (angles obey the
-            triangle inequality, so the test is exact). Cells are cut into
-            tiles of bounded size, so a cell that holds a third of all rows is
-            just more tiles.
-
-Scores are dot products of unit vectors, rounded so that the order of a sum in
-a matrix product cannot change a ranking; ties go to the lower chunk id.
+``routed``  The query set is beyond that bound. Chunks go to cells of like
+            direction and length (``cells``); a query is sent only to cells
+            that can still hold one of its best ``k``. The test is exact for
+            vectors of any length. Cells are cut into tiles of bounded size,
+            so a cell that holds a third of all rows is just more tiles.
+
+Scores are dot products, rounded so that the order of a sum in a matrix product
+cannot change a ranking; ties go to the lower chunk id.
 """
 
 from __future__ import annotations
@@ -28,11 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casebrook.operators import cells, signatures
 from casebrook.operators.blockscore import (
     BlockTopK,
     best_of_batch,
-    keep_best,
-    key_codes,
     matrix,
     merge_best,
 )
@@ -51,11 +49,6 @@ MAX_BROADCAST_QUERIES = 16384
 MAX_BROADCAST_BYTES = 32 << 20
 MAX_KEPT_ROWS = 200_000  # rows a scan task may hold: queries * k
 MERGE_SALTS = 32
-# Norms this close to 1 keep the angle bounds within their slack; rows with other
-# norms are compared with everything.
-UNIT = 4e-7
-MAX_PIVOTS = 256
-CELL_CHUNKS = 8192
 TILE_BYTES = 64 << 20  # vectors of either side of a tile; equal sides copy least
 PAYLOAD = ("section", "chunk_index", "chunk_text")
 
@@ -215,116 +208,6 @@ def _scan(
 # -------------------------------------------------------------------- routed
 
 
-def _pick_pivots(chunks: DataFrame, dim: int, count: int) -> tuple[np.ndarray, list, np.ndarray]:
-    """A fixed number of chunks, chosen by hash: at most ``count`` rows."""
-    rows = (
-        chunks.select("chunk_id", "reference_number", "embedding")
-        .orderBy(F.xxhash64("chunk_id"), "chunk_id")
-        .limit(count)
-        .collect()
-    )
-    vectors = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(-1, dim)
-    norms = np.linalg.norm(vectors, axis=1)
-    rows = [r for r, n in zip(rows, norms) if abs(n - 1) < UNIT]
-    return (
-        vectors[np.abs(norms - 1) < UNIT],
-        [r["reference_number"] for r in rows],
-        np.array([r["chunk_id"] for r in rows], dtype=np.int64),
-    )
-
-
-def _assign_cells(chunks: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
-    """Each chunk with its nearest pivot; vectors that are not of unit length
-    (a zero vector) go to cell -1, which is never pruned."""
-    shared = chunks.sparkSession.sparkContext.broadcast(pivots)
-    schema = T.StructType(
-        [
-            T.StructField("chunk_id", T.LongType()),
-            T.StructField("reference_number", T.StringType()),
-            T.StructField("embedding", T.ArrayType(T.FloatType())),
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("closeness", T.DoubleType()),
-        ]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
-        for batch in batches:
-            vectors = matrix(batch.column("embedding"), dim)
-            cell = np.full(len(vectors), -1, dtype=np.int32)
-            close = np.zeros(len(vectors))
-            unit = np.abs(np.linalg.norm(vectors, axis=1) - 1) < UNIT
-            if len(centres) and unit.any():
-                cosines = vectors[unit] @ centres.T
-                cell[unit] = cosines.argmax(axis=1)
-                close[unit] = cosines.max(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell), pa.array(close)], names=schema.names
-            )
-
-    return chunks.select("chunk_id", "reference_number", "embedding").mapInArrow(run, schema)
-
-
-def _route(
-    queries: DataFrame,
-    pivots: tuple[np.ndarray, list, np.ndarray],
-    radius: dict[int, float],
-    dim: int,
-    k: int,
-    one_per_key: bool,
-    digits: int,
-) -> DataFrame:
-    """Each query with the cells that may hold one of its best ``k``.
-
-    The pivots are chunks themselves, so the k-th best eligible pivot bounds
-    the answer from below; a cell whose nearest possible member scores less is
-    left out.
-    """
-    spark = queries.sparkSession
-    cells = np.array(sorted(c for c in radius if c >= 0), dtype=np.int32)
-    angles = np.array([radius[int(c)] for c in cells])
-    always = -1 in radius
-    shared = spark.sparkContext.broadcast((pivots, cells, angles))
-    schema = T.StructType(
-        [
-            T.StructField("query_id", T.StringType()),
-            T.StructField("own_key", T.StringType()),
-            T.StructField("query_vector", T.ArrayType(T.FloatType())),
-            T.StructField("cells", T.ArrayType(T.IntegerType())),
-        ]
-    )
-    slack = 2 * 10.0**-digits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (centres, keys, ids), numbers, spread = shared.value
-        codes, names = key_codes(pa.array(keys, type=pa.string()))
-        for batch in batches:
-            vectors = matrix(batch.column("query_vector"), dim)
-            own = batch.column("own_key").to_pylist()
-            lists: list[list[int]] = [[] for _ in own]
-            if len(centres):
-                scorer = BlockTopK(vectors, own, k, one_per_key, digits)
-                rows, query, score = scorer.candidates(centres, ids, codes, names)
-                keep = keep_best(query, score, ids[rows], codes[rows], k, one_per_key)
-                scorer.raise_bar(query[keep], score[keep])
-                unit = np.abs(np.linalg.norm(vectors, axis=1) - 1) < UNIT
-                cosines = np.clip(vectors @ centres[numbers].T, -1, 1)
-                reach = np.cos(np.maximum(np.arccos(cosines) - spread, 0))
-                alive = (reach >= scorer.bar[:, None] - slack) | ~unit[:, None]
-                lists = [numbers[row].tolist() for row in alive]
-            if always:
-                lists = [[*cells_, -1] for cells_ in lists]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array(lists, type=pa.list_(pa.int32())),
-                ],
-                names=schema.names,
-            )
-
-    return queries.select("query_id", "own_key", "query_vector").mapInArrow(run, schema)
-
-
 def _tile_best(dim: int, k: int, one_per_key: bool, digits: int, out: pa.Schema):
     def run(chunk_side: pa.Table, query_side: pa.Table) -> pa.Table:
         if not chunk_side.num_rows or not query_side.num_rows:
@@ -360,27 +243,54 @@ def _routed(
     tile_chunks: int | None,
     tile_queries: int | None,
 ) -> DataFrame:
-    spark = chunks.sparkSession
-    tile_chunks = tile_chunks or max(1024, TILE_BYTES // (4 * dim))
-    tile_queries = tile_queries or max(1024, TILE_BYTES // (4 * dim))
-    if n_pivots is None:
-        n_pivots = max(1, min(MAX_PIVOTS, math.ceil(chunks.count() / CELL_CHUNKS)))
-    pivots = _pick_pivots(chunks, dim, n_pivots)
-    assigned = materialise(_assign_cells(chunks, pivots[0], dim), "cells")
-    # at most n_pivots + 1 rows each
-    sizes = {
-        row["cell"]: row
-        for row in assigned.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("closeness").alias("low"))
-        .collect()
-    }
-    radius = {
-        cell: math.acos(max(-1.0, min(1.0, row["low"] - 1e-6))) if cell >= 0 else math.pi
-        for cell, row in sizes.items()
-    }
+    pivots = cells.pivots_for(chunks, dim, n_pivots)
+    assigned = materialise(cells.assign(chunks, pivots, dim), "cells")
+    measured = cells.Cells.measured(assigned)
     routed = materialise(
-        _route(queries, pivots, radius, dim, k, one_per_key, digits), "routes"
+        cells.route(queries, pivots, measured, dim, k, one_per_key, digits), "routes"
     )
+    return _in_tiles(
+        assigned, measured.counts, routed, dim, k, one_per_key, digits, tile_chunks, tile_queries
+    )
+
+
+def _approximate(
+    queries: DataFrame,
+    dim: int,
+    chunks: DataFrame,
+    k: int,
+    one_per_key: bool,
+    digits: int,
+    tables: int,
+    probes: int,
+    tile_chunks: int | None,
+    tile_queries: int | None,
+) -> DataFrame:
+    bits = signatures.bits_for(chunks.count())
+    assigned = materialise(signatures.buckets(chunks, dim, tables, bits), "buckets")
+    # a table has 2 ** bits buckets at most
+    counts = {r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()}
+    routed = materialise(signatures.visits(queries, dim, tables, bits, probes), "routes")
+    hits = _in_tiles(
+        assigned, counts, routed, dim, k, one_per_key, digits, tile_chunks, tile_queries
+    )
+    return hits.dropDuplicates(["query_id", "chunk_id"])  # tables overlap
+
+
+def _in_tiles(
+    assigned: DataFrame,
+    counts: dict[int, int],
+    routed: DataFrame,
+    dim: int,
+    k: int,
+    one_per_key: bool,
+    digits: int,
+    tile_chunks: int | None,
+    tile_queries: int | None,
+) -> DataFrame:
+    """Best hits of every query in every tile of the cells it visits."""
+    tile_chunks = tile_chunks or max(1024, TILE_BYTES // (4 * dim))
+    tile_queries = tile_queries or max(1024, TILE_BYTES // (4 * dim))
     wanted = {
         row["cell"]: row["n"]
         for row in routed.select(F.explode("cells").alias("cell"))
@@ -388,19 +298,19 @@ def _routed(
         .agg(F.count("*").alias("n"))
         .collect()
     }
-    layout = spark.createDataFrame(
+    layout = assigned.sparkSession.createDataFrame(
         [
             (
                 cell,
-                max(1, math.ceil(sizes[cell]["n"] / tile_chunks)),
+                max(1, math.ceil(counts[cell] / tile_chunks)),
                 max(1, math.ceil(n / tile_queries)),
             )
             for cell, n in wanted.items()
-            if cell in sizes
+            if cell in counts
         ],
         "cell int, across int, down int",
     )
-    layout = F.broadcast(layout)  # one row per cell: n_pivots + 1 at most
+    layout = F.broadcast(layout)  # one row per cell in use
 
     def upto(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -449,9 +359,13 @@ def search(
     n_pivots: int | None = None,
     tile_chunks: int | None = None,
     tile_queries: int | None = None,
+    tables: int = signatures.TABLES,
+    probes: int = signatures.PROBES,
 ) -> DataFrame:
-    """Exact best ``k`` chunks of each query.
+    """Exact best ``k`` chunks of each query, of vectors of any length.
 
+    ``route="approximate"`` gives the best of those that share a signature with
+    the query instead (``tables``, ``probes``: see ``signatures``).
     ``queries``: ``(query_id, own_key, query_vector)``; ``chunks``:
     ``(chunk_id, reference_number, embedding)`` and any of ``PAYLOAD``.
     Returns ``query_id, chunk_id, reference_number, [payload], score, rank``
@@ -483,9 +397,22 @@ def search(
     )
     if route == "scan" and not fits:
         raise ValueError("too many queries to broadcast; use route='routed'")
-    scan = fits and route != "routed"
+    scan = fits and route in ("auto", "scan")
     if scan:
         hits = _scan(wanted.collect(), found, k, one_per_key, score_digits)
+    elif route == "approximate":
+        hits = _approximate(
+            wanted,
+            size["dim"],
+            found,
+            k,
+            one_per_key,
+            score_digits,
+            tables,
+            probes,
+            tile_chunks,
+            tile_queries,
+        )
     else:
         hits = _routed(
             wanted,

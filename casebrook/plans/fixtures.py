@@ -131,6 +131,18 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Lengths from a hundredth to about a hundred; every eleventh vector is zero.
+SCALE = """CASE WHEN vec_id % 11 = 3 THEN 0.0 ELSE power(CAST(2 AS DOUBLE), vec_id % 14 - 7) END"""
+
+
+def scaled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given vectors with lengths of their own, some of them zero."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(SCALE).alias("by"))
+    chunks = vector_chunks(spark, sf_dir).join(rows, F.col("chunk_id") == F.col("vec_id"))
+    longer = F.transform("embedding", lambda x: (x.cast("double") * F.col("by")).cast("float"))
+    return chunks.withColumn("embedding", longer).drop("vec_id", "by")
+
+
 def run_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(r, EXPERIMENT, m, t, "FINISHED" if j else "FAILED") for r, m, _, t, j in RUNS],

@@ -479,6 +479,20 @@ FROM hits""",
         ],
         "SELECT query_id, rank, reference_number, chunk_id, score FROM hits",
     ),
+    "topk_any_length": query(
+        [
+            VECTORS[0].replace(
+                "CAST(embedding AS DOUBLE[]) AS e",
+                f"CAST([CAST(x * ({fx.SCALE}) AS FLOAT) FOR x IN embedding] AS DOUBLE[]) AS e",
+            ),
+            """seeds AS (SELECT CAST(chunk_id AS VARCHAR) AS query_id, reference_number AS own,
+  e AS q FROM chunks)""",
+            VECTOR_PAIRS,
+            *ranked("pairs", 5, False),
+        ],
+        "SELECT query_id, rank, reference_number, chunk_id, score FROM hits",
+    ),
+    "topk_recall": "SELECT 5 * count(*) AS n_exact, true AS reached FROM embeddings",
     "topk_free_text": query(
         [
             *CHUNKS[:-1],

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebrook.functions.vectors import dimension, l2_norm, l2_normalise
-from casebrook.operators import corpus, judging, neighbours, prompts, reports
+from casebrook.operators import corpus, judging, neighbours, prompts, reports, signatures
 from casebrook.operators.chunking import chunk_documents, chunk_id
 from casebrook.operators.experiment import run_experiment
 from casebrook.plans import fixtures as fx
@@ -276,15 +276,26 @@ def topk_without_copies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def topk_routed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector as a query, through the route for large query sets."""
-    chunks = fx.vector_chunks(spark, sf)
-    queries = chunks.select(
+def _as_queries(chunks: DataFrame) -> DataFrame:
+    return chunks.select(
         F.col("chunk_id").cast("string").alias("query_id"),
         F.col("reference_number").alias("own_key"),
         F.col("embedding").alias("query_vector"),
     )
-    return neighbours.search(queries, chunks, k=5, route="routed").select(
+
+
+def _routed_hits(chunks: DataFrame) -> DataFrame:
+    """Many cells, and tiles far smaller than the larger ones of them."""
+    hits = neighbours.search(
+        _as_queries(chunks),
+        chunks,
+        k=5,
+        route="routed",
+        n_pivots=48,
+        tile_chunks=32,
+        tile_queries=128,
+    )
+    return hits.select(
         "query_id",
         F.col("rank").cast("long").alias("rank"),
         "reference_number",
@@ -293,6 +304,26 @@ def topk_routed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def topk_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a query, through the route for large query sets."""
+    return _routed_hits(fx.vector_chunks(spark, sf))
+
+
+def topk_any_length(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for vectors of very different lengths, zeros among them."""
+    return _routed_hits(materialise(fx.scaled_chunks(spark, sf), "scaled-chunks"))
+
+
+def topk_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours that the approximate route finds of those of the exact one."""
+    chunks = materialise(fx.vector_chunks(spark, sf), "chunks")
+    queries = _as_queries(chunks)
+    exact = neighbours.search(queries, chunks, k=5, route="routed")
+    found = neighbours.search(queries, chunks, k=5, route="approximate")
+    counts = signatures.recall(found, exact)
+    return counts.select("n_exact", (10 * F.col("n_found") >= 9 * F.col("n_exact")).alias("reached"))
+
+
 def topk_free_text(spark: SparkSession, sf: str) -> DataFrame:
     """Search by text: each benchmark passage is embedded and looked up."""
     chunks = fx.complaint_chunks(spark, sf)
@@ -611,6 +642,8 @@ QUERIES: dict[str, Query] = {
         topk_overfetch,
         topk_without_copies,
         topk_routed,
+        topk_any_length,
+        topk_recall,
         topk_free_text,
         summary_prompts,
         summaries,

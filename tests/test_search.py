@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebrook.functions.vectors import l2_normalise
+from casebrook.operators import cells, signatures
 from casebrook.operators import neighbours as nb
 
 rng = np.random.default_rng(7)
@@ -256,3 +257,73 @@ def test_lookups_on_both_sides_of_the_size_bound(spark, monkeypatch, bound):
     assert got == brute(
         vectors, keys, {1: keys[1]}, 5, False, {i * 3 for i in range(200) if i * 3 % 2 == 0}
     )
+
+
+def of_lengths(n=500, dim=10):
+    """Clumped vectors of lengths from 1e-3 to 1e3, equal and zero ones among them."""
+    vectors, keys = corpus(n, dim)
+    vectors = vectors * np.exp2(rng.integers(-10, 11, n))[:, None].astype(np.float32)
+    return vectors.astype(np.float32), keys
+
+
+@pytest.mark.parametrize("one_per_key", [False, True])
+@pytest.mark.parametrize("make", [of_lengths, lambda: (corpus(500)[0].astype(np.float16).astype(np.float32), corpus(500)[1])])
+def test_vectors_of_any_length(spark, make, one_per_key):
+    vectors, keys = make()
+    own_of = {q: keys[q] if q % 5 else None for q in range(0, 500, 3)}
+    hits = nb.search(
+        queries_of(spark, vectors, own_of),
+        frame(spark, vectors, keys),
+        6,
+        one_per_key,
+        route="routed",
+        n_pivots=30,
+        tile_chunks=25,
+        tile_queries=40,
+    )
+    assert {r[:3] for r in result(hits)} == {r[:3] for r in brute(vectors, keys, own_of, 6, one_per_key)}
+
+
+def test_cells_bound_every_score(spark):
+    vectors, keys = of_lengths()
+    chunks = frame(spark, vectors, keys)
+    pivots = cells.pivots_for(chunks, 10, 40)
+    assert sorted(np.concatenate(pivots.groups).tolist()) == list(range(len(pivots.ids)))
+    assigned = cells.assign(chunks, pivots, 10)
+    found = cells.Cells.measured(assigned)
+    cell_of = {r["chunk_id"] // 3: r["cell"] for r in assigned.collect()}
+    wide = np.concatenate([vectors.astype(np.float64), -vectors[:20].astype(np.float64)])
+    bound, error = found.reach(wide, pivots.directions)
+    at = {int(c): i for i, c in enumerate(found.numbers)}
+    column = np.array([at[cell_of[j]] for j in range(len(vectors))])
+    scores = wide @ vectors.astype(np.float64).T
+    assert (scores <= (bound + error)[:, column] + 1e-9).all()
+    # most cells are out of reach of a query's best scores
+    best = np.sort(scores, axis=1)[:, -6]
+    assert (bound >= best[:, None]).mean() < 0.5
+
+
+def test_only_zero_vectors(spark):
+    vectors = np.zeros((40, 4), dtype=np.float32)
+    keys = [f"k{i}" for i in range(40)]
+    own_of = {0: keys[0], 7: None}
+    hits = nb.search(queries_of(spark, vectors, own_of), frame(spark, vectors, keys), 3, route="routed", n_pivots=5)
+    assert result(hits) == brute(vectors, keys, own_of, 3, False)
+    vectors[39] = 1  # the pivots are likely zeros only
+    hits = nb.search(queries_of(spark, vectors, {39: None}), frame(spark, vectors, keys), 3, route="routed", n_pivots=1)
+    assert result(hits) == brute(vectors, keys, {39: None}, 3, False)
+
+
+@pytest.mark.parametrize("lengths", [False, True])
+def test_approximate_route_finds_most(spark, lengths):
+    vectors, keys = of_lengths(900) if lengths else corpus(900)
+    own_of = {q: keys[q] for q in range(0, 900, 5)}
+    chunks, queries = frame(spark, vectors, keys), queries_of(spark, vectors, own_of)
+    exact = nb.search(queries, chunks, 5, route="scan")
+    found = nb.search(queries, chunks, 5, route="approximate", tile_chunks=64)
+    counts = signatures.recall(found, exact).first()
+    assert counts["n_exact"] == 5 * len(own_of) and counts["n_found"] >= 0.9 * counts["n_exact"]
+    assert found.count() == found.select("query_id", "chunk_id").distinct().count()
+    known = {r[:1] + r[2:] for r in brute(vectors, keys, own_of, 899, False)}
+    if not lengths:
+        assert {r[:1] + r[2:] for r in result(found)} <= known
