@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casebrook.functions.text import fill_template
 from casebrook.operators.sizing import fits_broadcast
+from casebrook.sources.corpus import number_rows
 
 NOT_FOUND = "Complaint {key} not found."  # fixed value
 
@@ -33,6 +34,14 @@ def first_keys(docs: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def key_positions(docs: DataFrame) -> DataFrame:
+    """Every key with its place, from 0, in the order of first records."""
+    ordered = distinct_keys(docs).orderBy("first_ord")
+    return number_rows(ordered.select("reference_number"), "position").select(
+        "position", "reference_number"
+    )
+
+
 def keys_in_order(spark, keys: list[str]) -> DataFrame:
     """A caller's list of keys with its positions, as a frame."""
     return spark.createDataFrame(

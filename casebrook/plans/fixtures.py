@@ -109,6 +109,29 @@ def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: One record in seventeen has no text.
+NULL_TEXT = f"CASE WHEN doc_id % 17 = 0 THEN NULL ELSE {COMPLAINT_TEXT} END"
+
+
+def null_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_table(spark, sf_dir).select(
+        F.col("doc_id").alias("doc_ord"), F.expr(NULL_TEXT).alias("all_columns")
+    )
+
+
+#: A test list: the record of every label, some listed twice, one unknown.
+EXPERIMENT_KEYS = f"""SELECT doc_id AS position, concat('DOC-', {PADDED_ID}) AS reference_number
+  FROM labels
+  UNION ALL SELECT doc_id + 1000000, concat('DOC-', {PADDED_ID}) FROM labels WHERE doc_id % 50 < 3
+  UNION ALL SELECT 2000000, 'NO-SUCH-KEY'"""
+
+
+def experiment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    rows = spark.sql(EXPERIMENT_KEYS.replace("FROM labels", "FROM {labels}"), labels=labels)
+    return rows.select(F.col("position").cast("int").alias("position"), "reference_number")
+
+
 def complaint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(complaints(spark, sf_dir))
 

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casebrook.functions.vectors import l2_normalise
+from casebrook.functions.vectors import NORM_FLOOR
+from casebrook.sources.ledger import AnswerLedger, answered, request_of
 
 # --- fixed values -----------------------------------------------------------
 EMBED_BATCH = 64
@@ -55,32 +57,49 @@ def _append(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType(df.schema.fields + fields)
 
 
+VECTOR = T.ArrayType(T.FloatType(), False)
+
+
+def _unit(vector: Sequence[float]) -> np.ndarray:
+    """Length 1 as 32-bit floats; a zero vector stays zero."""
+    wide = np.asarray(vector, dtype=np.float32).astype(np.float64)
+    return (wide / max(np.sqrt((wide * wide).sum()), NORM_FLOOR)).astype(np.float32)
+
+
 def embed_texts(
     df: DataFrame,
     embed_fn: EmbedFn,
     text_col: str = "chunk_text",
     batch_size: int = EMBED_BATCH,
     parallelism: int | None = None,
+    ledger: AnswerLedger | None = None,
 ) -> DataFrame:
-    """Add ``embedding`` (unit ``array<float>``) and ``embed_error``."""
-    rows = df.repartition(parallelism) if parallelism else df
+    """Add ``embedding`` (unit ``array<float>``) and ``embed_error``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            vectors, errors = _call_in_batches(
-                frame[text_col].tolist(), embed_fn, batch_size, EMBED_FAILED
-            )
-            yield frame.assign(embedding=vectors, embed_error=errors)
+    Only the text goes to Python; all other columns stay in the JVM. With a
+    ``ledger`` (of ``VECTOR``) equal texts are embedded once, ever.
+    """
+    rows = df.drop("embedding", "embed_error")
+    if ledger is not None:
+        named = rows.withColumn("text", F.col(text_col))
 
-    schema = _append(
-        df,
-        [
-            T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
-            T.StructField("embed_error", T.StringType()),
-        ],
-    )
-    raw = rows.mapInPandas(run, schema)
-    return raw.withColumn("embedding", l2_normalise(F.col("embedding")))
+        def call(part: DataFrame) -> DataFrame:
+            made = embed_texts(part, embed_fn, "text", batch_size, parallelism)
+            return made.withColumnsRenamed({"embedding": "answer", "embed_error": "error"})
+
+        found = answered(named, request_of(F.col("text")), ["text"], call, ledger)
+        return found.drop("attempt").withColumnsRenamed({"answer": "embedding", "error": "embed_error"})
+    rows = rows.repartition(parallelism) if parallelism else rows
+
+    @F.pandas_udf(T.StructType([T.StructField("embedding", VECTOR), T.StructField("embed_error", T.StringType())]))
+    def call_model(texts: pd.Series) -> pd.DataFrame:
+        vectors, errors = _call_in_batches(texts.tolist(), embed_fn, batch_size, EMBED_FAILED)
+        unit = [None if v is None else _unit(v) for v in vectors]
+        return pd.DataFrame({"embedding": pd.Series(unit, dtype=object), "embed_error": pd.Series(errors, dtype=object)})
+
+    # not deterministic: no plan may call the model twice for one row
+    made = rows.withColumn("_made", call_model.asNondeterministic()(F.col(text_col)))
+    return made.select(*rows.columns, "_made.embedding", "_made.embed_error")
 
 
 def complete(
@@ -88,15 +107,26 @@ def complete(
     complete_fn: CompleteFn,
     batch_size: int = 1,
     parallelism: int | None = None,
+    ledger: AnswerLedger | None = None,
 ) -> DataFrame:
     """Replace ``prompt`` by ``response`` and ``error`` in rows that also carry
     ``endpoint``, ``temperature`` and ``max_tokens``.
 
     ``complete_fn`` gets a list of dicts with these four entries. The prompt,
-    by far the widest column, is not sent back.
+    by far the widest column, is not sent back. With a ``ledger`` only requests
+    without an answer are made, equal ones once.
     """
-    rows = df.repartition(parallelism) if parallelism else df
     request = ["prompt", "endpoint", "temperature", "max_tokens"]
+    if ledger is not None:
+        sent = df.withColumn("sent", F.struct(*request))
+
+        def call(part: DataFrame) -> DataFrame:
+            made = complete(part.select("request", "sent.*"), complete_fn, batch_size, parallelism)
+            return made.withColumnRenamed("response", "answer")
+
+        found = answered(sent.drop("prompt"), request_of(*(F.col(f"sent.{c}") for c in request)), ["sent"], call, ledger)
+        return found.drop("attempt").withColumnRenamed("answer", "response")
+    rows = df.repartition(parallelism) if parallelism else df
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -6,8 +6,7 @@ import pytest
 from check import compare, connect
 
 import __spark_entry__ as entry
-from casebrook.plans.oracles import ORACLES
-from casebrook.plans.queries import QUERIES
+from __spark_entry__ import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no test data")
