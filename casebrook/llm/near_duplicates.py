@@ -15,11 +15,14 @@ steps, so that no group of copies is expanded into all its pairs:
 1. In every band bucket each member is paired with one chosen member. Verified
    links join classes to components.
 2. In buckets that still hold several components, members of different ones are
-   compared, in tiles of bounded size, which completes the work.
+   compared in tiles of bounded size: first within the tiles, then, where several
+   components are left, across them. Tiles carry sets of shortened hashes, join
+   what may be alike as they go, and return only the pairs that joined something.
 
 Candidates whose estimated similarity (corrected for chance collisions of
 registers) is more than ``SIGMAS`` standard errors below the limit are dropped;
-the others are verified on their whole sets.
+all links are verified on whole sets. Should a pair of step 2 fail there, its tiles
+are compared again with other bits of the hashes.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 SIGMAS = 6.0
 TILE = 512
+TILE_BYTES = 16 << 20
+FIRST_SHIFT = 32  # shortened hashes are the upper halves at first
 BITS_PER_ID = 16
 MAX_FILTER_BYTES = 64 << 20
 _PROBES = 64
@@ -152,21 +157,23 @@ def sketches(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def crowded_bands(classes: DataFrame) -> DataFrame:
-    """``band, id, n`` of the members of every band bucket with two or more."""
+    """``band, id, one, n`` of the members of every band bucket with two or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [
-                band_keys(np.frombuffer(r.as_buffer(), dtype=np.uint16)) for r in batch.column(2)
+                band_keys(np.frombuffer(r.as_buffer(), dtype=np.uint16)) for r in batch.column(3)
             ]
             place = pa.array(np.repeat(np.arange(len(keys)), BANDS))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat), batch.column(0).take(place), batch.column(1).take(place)],
-                names=["band", "id", "n"],
+                [pa.array(flat), *(batch.column(k).take(place) for k in range(3))],
+                names=["band", "id", "one", "n"],
             )
 
-    bands = classes.select("id", "n", "registers").mapInArrow(run, "band long, id long, n long")
+    bands = classes.select("id", "one", "n", "registers").mapInArrow(
+        run, "band long, id long, one long, n long"
+    )
     shared = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     return bands.join(shared.select("band"), "band", "left_semi")
 
@@ -187,26 +194,27 @@ def _may_link(one: pd.Series, two: pd.Series, na: pd.Series, nb: pd.Series) -> p
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b, na, nb`` that their sketches do not rule out."""
+    """Pairs ``a, oa, b, ob`` that their sketches do not rule out."""
     of = lambda side: classes.select(
-        F.col("id").alias(side), F.col("registers").alias(f"r{side}")
+        F.col("id").alias(side), F.col("one").alias(f"o{side}"), F.col("registers").alias(f"r{side}")
     )
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    return joined.where(_may_link("ra", "rb", "na", "nb")).select("a", "b", "na", "nb")
+    joined = pairs.join(of("a"), ["a", "oa"]).join(of("b"), ["b", "ob"])
+    return joined.where(_may_link("ra", "rb", "na", "nb")).select(*_PAIR)
+
 
+_PAIR = ("a", "oa", "b", "ob")
 
-def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """The pairs that are links, by their whole sets.
+
+def _whole_sets(ids: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """``id, one, set`` of the documents ``ids`` (and a few more).
 
     Sets are made again for the documents in question only; a Bloom filter of
-    their ids picks them in one more scan, and the join drops its false hits.
+    their ids picks them in one more scan.
     """
-    spark = rows.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     found = bloom.of_column(
-        ids.select(F.xxhash64("id").alias("id")), "id", BITS_PER_ID, MAX_FILTER_BYTES
+        ids.distinct().select(F.xxhash64("id").alias("id")), "id", BITS_PER_ID, MAX_FILTER_BYTES
     )
-    bits = spark.sparkContext.broadcast(found.bits.tobytes())
+    bits = rows.sparkSession.sparkContext.broadcast(found.bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = bloom.Bloom(np.frombuffer(bits.value, dtype=np.uint8))
@@ -215,19 +223,27 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
             batch = batch.filter(pa.array(probe.contains(hashed)))
             for first, words in arrowwords.documents(batch.column(1), True):
                 sets = [shingles(w, shingle) for w in words]
+                sums = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)),
+                        pa.array(sums.view(np.int64)),
                         pa.array([s.tobytes() for s in sets], type=pa.binary()),
-                        pa.array([len(s) for s in sets], type=pa.int64()),
                     ],
-                    names=["id", "set", "size"],
+                    names=["id", "one", "set"],
                 )
 
-    sets = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(
-        run, "id long, set binary, size long"
+    return rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(
+        run, "id long, one long, set binary"
     )
-    sets, path = written(sets.where("size > 0"), "sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, repeated: bool) -> DataFrame:
+    """``a, b`` of the pairs that are links, by their whole sets."""
+    spark = rows.sparkSession
+    ids = pairs.select("a").union(pairs.select("b")).toDF("id")
+    sets = _whole_sets(ids, rows, shingle).where(F.length("set") > 0)
+    sets, path = written(sets.dropDuplicates(["id", "one"]) if repeated else sets, "sets")
 
     @F.pandas_udf("boolean")
     def linked(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -239,9 +255,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     of = lambda side: sets.select(
-        F.col("id").alias(side), F.col("set").alias(f"s{side}"), F.col("size").alias(f"n{side}")
+        F.col("id").alias(side), F.col("one").alias(f"o{side}"), F.col("set").alias(f"s{side}")
     )
-    joined = pairs.select("a", "b", "na", "nb").join(of("a"), ["a", "na"]).join(of("b"), ["b", "nb"])
+    joined = pairs.join(of("a"), ["a", "oa"]).join(of("b"), ["b", "ob"])
     links, _ = written(joined.where(linked("sa", "sb")).select("a", "b").distinct(), "verified")
     discard(spark, path)
     return links
@@ -250,80 +266,124 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
 def _star_pairs(crowded: DataFrame) -> DataFrame:
     """Each member of a bucket with the one whose hashed id is least."""
     centres = crowded.groupBy("band").agg(
-        F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id"), "id")).alias("c")
+        F.min_by(F.struct("id", "one", "n"), F.struct(F.xxhash64("id", "one"), "id", "one")).alias("c")
     )
     pairs = crowded.join(centres, "band").where("id <> c.id")
     swap = F.col("id") < F.col("c.id")
+    side = lambda own, other: F.when(swap, F.col(own)).otherwise(F.col(other))
     return _possible(
         pairs.select(
-            F.when(swap, F.col("id")).otherwise(F.col("c.id")).alias("a"),
-            F.when(swap, F.col("c.id")).otherwise(F.col("id")).alias("b"),
-            F.when(swap, F.col("n")).otherwise(F.col("c.n")).alias("na"),
-            F.when(swap, F.col("c.n")).otherwise(F.col("n")).alias("nb"),
+            side("id", "c.id").alias("a"),
+            side("one", "c.one").alias("oa"),
+            side("n", "c.n").alias("na"),
+            side("c.id", "id").alias("b"),
+            side("c.one", "one").alias("ob"),
+            side("c.n", "n").alias("nb"),
         ).distinct()
     )
 
 
-def _rest_pairs(crowded: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Possible pairs of different components in one bucket.
+def _open_members(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, with their tile.
 
-    A bucket with several components is cut into tiles of about ``TILE``
-    members; every two tiles meet in one group of bounded size, which compares
-    sketches and returns only what they do not rule out.
+    A bucket has so many tiles that none has more than ``TILE`` members or about
+    ``TILE_BYTES`` of shortened sets.
     """
     marked = crowded.join(labels, "id", "left").select(
-        "band", "id", "n", F.coalesce("label", "id").alias("label")
+        "band", "id", "one", "n", F.coalesce("label", "id").alias("label")
     )
+    size = F.greatest(F.count("*") / TILE, 4 * F.sum("n") / TILE_BYTES)
     open_ = (
         marked.groupBy("band")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(size).cast("int").alias("tiles"))
         .where("low < high")
-        .select("band", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    )
-    members = marked.join(open_, "band").withColumn(
-        "own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int")
+        .select("band", "tiles")
     )
+    own = F.pmod(F.xxhash64("id", "one", F.lit(7)), F.col("tiles")).cast("int")
+    return marked.join(open_, "band").withColumn("own", own)
+
+
+def _within(members: DataFrame) -> DataFrame:
+    """Every member in its own tile."""
+    return members.withColumn("x", F.col("own")).withColumn("y", F.col("own"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Every member of a bucket of several tiles once with each other tile."""
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    placed = members.withColumn("other", other).select(
-        "band",
-        F.least("own", "other").alias("x"),
-        F.greatest("own", "other").alias("y"),
-        "own",
-        "id",
-        "n",
-        "label",
-    )
-    placed = placed.join(classes.select("id", "registers"), "id")
+    placed = members.where("tiles > 1").withColumn("other", other).where("other <> own")
+    return placed.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+
+def _joining_pairs(placed: DataFrame, classes: DataFrame, sets: DataFrame, shift: int) -> DataFrame:
+    """Pairs ``a, oa, b, ob`` that join the components of a tile.
+
+    A tile holds sketches and sets of 32-bit hashes (bits from ``shift`` on). Two
+    sets are at most as like as their shortened ones, so no link is lost. Pairs of
+    one component, known before or joined in the tile, are passed over: a tile
+    returns fewer pairs than it has members.
+    """
+
+    @F.pandas_udf("binary")
+    def shortened(whole: pd.Series) -> pd.Series:
+        cut = lambda s: (np.frombuffer(s, dtype=np.uint64) >> np.uint64(shift)).astype(np.uint32)
+        return pd.Series([np.sort(cut(s)).tobytes() for s in whole], dtype=object)
+
+    short = sets.select("id", "one", shortened("set").alias("short"))
+    placed = placed.select("band", "x", "y", "own", "id", "one", "n", "label")
+    placed = placed.join(classes.select("id", "one", "registers"), ["id", "one"]).join(short, ["id", "one"])
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, sizes, labels_ = (table.column(c).to_numpy() for c in ("id", "n", "label"))
-        own, x = table.column("own").to_numpy(), table.column("x").to_numpy()
+        ids, ones, sizes, labels = (table.column(c).to_numpy() for c in ("id", "one", "n", "label"))
+        own, x, y = (table.column(c).to_numpy() for c in ("own", "x", "y"))
         registers = np.frombuffer(
             b"".join(r.as_py() for r in table.column("registers")), dtype=np.uint16
         ).reshape(-1, REGISTERS)
-        y = table.column("y").to_numpy()
+        shorts = [np.frombuffer(r.as_py(), dtype=np.uint32) for r in table.column("short")]
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out: list[np.ndarray] = []
+        group = np.unique(labels, return_inverse=True)[1]
+        out: list[tuple[int, int]] = []
         for i in left:
-            js = right[labels_[right] != labels_[i]]
-            js = js[ids[js] > ids[i]] if x[0] == y[0] else js
+            js = right[group[right] != group[i]]
+            js = js[ids[js] != ids[i]]
+            js = js[js > i] if x[0] == y[0] else js
             low, high = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
             js = js[low * 100 >= high * PERCENT]
             if len(js):
                 near = estimate(registers[i], registers[js], float(sizes[i]), sizes[js].astype(float))
                 js = js[near * 100 >= PERCENT]
-                out.append(np.stack([np.full(len(js), i), js]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        first, second = pairs
+            for j in js:
+                if group[i] != group[j] and _may_reach(shorts[i], shorts[j]):
+                    out.append((i, j))
+                    group[group == group[j]] = group[i]
+        first, second = np.array(out, dtype=np.int64).reshape(-1, 2).T
         swap = ids[first] > ids[second]
         a, b = np.where(swap, second, first), np.where(swap, first, second)
-        return pa.table({"a": ids[a], "b": ids[b], "na": sizes[a], "nb": sizes[b]})
+        return pa.table({"a": ids[a], "oa": ones[a], "b": ids[b], "ob": ones[b]})
 
-    return (
-        placed.groupBy("band", "x", "y")
-        .applyInArrow(compare, "a long, b long, na long, nb long")
-        .distinct()
-    )
+    pairs = placed.groupBy("band", "x", "y").applyInArrow(compare, "a long, oa long, b long, ob long")
+    return pairs.distinct()
+
+
+def _may_reach(one: np.ndarray, two: np.ndarray) -> bool:
+    """Can the sets behind two shortened ones be alike enough?"""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    both = int((two[at] == one).sum())
+    return 100 * both >= PERCENT * (len(one) + len(two) - both)
+
+
+def _shared_ids(every: DataFrame, sets: DataFrame) -> tuple[DataFrame, bool]:
+    """Links between the classes of rows that share an id, and are there any such rows?"""
+    again = every.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    again, _ = written(again, "shared-ids")
+    if again.isEmpty():
+        return every.sparkSession.createDataFrame([], "a long, b long"), False
+    again = F.broadcast(again) if fits_broadcast(again) else again
+    shared = every.where("n > 0").join(again, "id", "left_semi").select("id", "one", "two", "n").distinct()
+    links = shared.join(sets, ["one", "two", "n"]).where(F.col("id") != F.col("class"))
+    return written(links.select(F.col("id").alias("a"), F.col("class").alias("b")), "id-links")[0], True
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -336,30 +396,50 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     rows = _prepared(docs)
     every, at_every = written(sketches(rows, shingle), "sketches")
-    sets = every.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("class"))
-    members, _ = written(
-        every.select("id", "n", "one", "two").join(sets, ["one", "two", "n"], "left").select("id", "n", "class"),
-        "members",
-    )
-    copies = members.where("id <> class").select("id", "n").distinct()
+    counted = every.where("n > 0").groupBy("one", "two", "n")
+    sets, _ = written(counted.agg(F.min("id").alias("class"), F.count("*").alias("rows")), "set-classes")
+    several = sets.where("rows > 1").drop("rows")
+    several = F.broadcast(several) if fits_broadcast(several) else several
+    narrow = every.select("id", "n", "one", "two").join(several, ["one", "two", "n"], "left")
+    # a set of one row is its own class; empty sets have none
+    own = F.coalesce("class", F.when(F.col("n") > 0, F.col("id")))
+    members, _ = written(narrow.select("id", "n", "one", own.alias("class")), "members")
+    id_links, repeated = _shared_ids(every, sets.drop("rows"))
+    copies = members.where("id <> class").select("id", "one").distinct()
     copies = F.broadcast(copies) if fits_broadcast(copies) else copies
-    classes = every.where("n > 0").join(copies, ["id", "n"], "left_anti").dropDuplicates(["id", "n"])
-    classes, at_classes = written(classes.select("id", "n", "registers"), "classes")
+    classes = every.where("n > 0").join(copies, ["id", "one"], "left_anti").dropDuplicates(["id", "one"])
+    classes, at_classes = written(classes.select("id", "one", "n", "registers"), "classes")
     discard(spark, at_every)
     crowded, at_crowded = written(crowded_bands(classes), "crowded-bands")
     pairs, at_pairs = written(_estimated(_star_pairs(crowded), classes), "candidates")
-    links = _verified(pairs, rows, shingle)
-    labels, at_labels = written(components(links), "labels")
-    rest = _rest_pairs(crowded, labels, classes).join(pairs, ["a", "b"], "left_anti")
-    rest, at_rest = written(rest, "candidates")
-    if not rest.isEmpty():
-        more = _verified(rest, rows, shingle)
-        labels, _ = written(components(links.union(more)), "labels")
-        discard(spark, at_labels)
-    for path in (at_classes, at_crowded, at_pairs, at_rest):
+    links = _verified(pairs, rows, shingle, repeated).union(id_links)
+    labels, _ = written(components(links), "labels")
+    for place in (_within, _across):
+        shift = FIRST_SHIFT
+        while True:
+            placed, at_placed = written(place(_open_members(crowded, labels)), "tiles")
+            if placed.isEmpty():
+                break
+            whole, at_whole = written(_sets_of(placed, rows, shingle, repeated), "sets")
+            found, at_found = written(_joining_pairs(placed, classes, whole, shift), "candidates")
+            asked = found.count()
+            more = _verified(found, rows, shingle, repeated)
+            links = links.union(more)
+            if asked:
+                labels, _ = written(components(links), "labels")
+            done = more.count() == asked
+            for path in (at_placed, at_whole, at_found):
+                discard(spark, path)
+            if done:
+                break
+            # shortened hashes that met by chance joined what is apart: other bits
+            shift = (shift + 31) % 33
+    for path in (at_classes, at_crowded, at_pairs):
         discard(spark, path)
     # a document's component: of its class, or the class itself
-    joined = members.join(labels.withColumnRenamed("id", "class"), "class", "left")
+    labels = labels.withColumnRenamed("id", "class")
+    labels = F.broadcast(labels) if fits_broadcast(labels) else labels
+    joined = members.join(labels, "class", "left")
     component = F.coalesce("label", "class", "id")
     back = lambda c: F.when(c != F.lit(_LOWEST), c)
     return joined.select(
@@ -370,6 +450,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
+def _sets_of(placed: DataFrame, rows: DataFrame, shingle: int, repeated: bool) -> DataFrame:
+    keys = placed.select("id", "one").distinct()
+    sets = _whole_sets(keys.select("id"), rows, shingle)
+    sets = sets.dropDuplicates(["id", "one"]) if repeated else sets
+    return sets.join(F.broadcast(keys) if fits_broadcast(keys) else keys, ["id", "one"], "left_semi")
+
+
 def one_of_each(docs: DataFrame, shingle: int) -> DataFrame:
     """The rows of ``docs`` that stay: the least id of each component.
 

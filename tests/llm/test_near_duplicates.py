@@ -88,6 +88,82 @@ def test_groups_of_edits(spark, seed, monkeypatch):
     assert found(nd.near_duplicates(df)) == expected(rows)
 
 
+def expected_of_shared_ids(rows):
+    """Rows that share an id are one document with the links of all."""
+    each = expected(list(enumerate(t for _, t in rows)))
+    part = {row: top for row, _, top, _ in each}
+    up = {}
+    top = lambda k: k if up.get(k, k) == k else top(up[k])
+    by_part = {}
+    for row, (k, t) in enumerate(rows):
+        if plain_set(t):
+            by_part.setdefault(part[row], []).append(k)
+    for keys in by_part.values():
+        for k in keys:
+            x, y = sorted((top(keys[0]), top(k)))
+            up[y] = x
+    return sorted((k, len(plain_set(t)), top(k) if plain_set(t) else k) for k, t in rows)
+
+
+def base(name, n=60):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, base("a")), (5, base("a")), (5, base("b")), (7, base("b"))],
+        [(5, base("a")), (5, base("b")), (7, base("a") + " x"), (8, base("b") + " y")],
+        [(5, base("a")), (5, base("b")), (5, base("a")), (9, base("b")), (2, base("c")), (2, "")],
+        [(4, base("a")), (4, base("a") + " z"), (3, base("c")), (6, base("c") + " q"), (6, base("a", 55))],
+    ],
+)
+def test_rows_that_share_an_id(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(df).collect())
+    assert got == expected_of_shared_ids(rows)
+
+
+def edits(n, seed, changes):
+    """One text with so many words changed, each time others."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(n):
+        own = list(words)
+        for at in rng.sample(range(120), changes):
+            own[at] = f"e{rng.randint(0, 10**9)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_pairs_grow_with_members(spark, monkeypatch):
+    """Pairs that leave a tile are fewer than its members, at any size of a group."""
+    written, seen = nd.written, {}
+
+    def noted(df, name):
+        out = written(df, name)
+        seen.setdefault(name, []).append(out[0].count())
+        return out
+
+    monkeypatch.setattr(nd, "written", noted)
+    for n in (100, 200, 400):
+        rows = edits(n, n, 4)
+        seen.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert found(nd.near_duplicates(df)) == expected(rows)
+        assert all(x < n for x in seen["candidates"][1:])
+
+
+@pytest.mark.parametrize("shift", [32, 61])
+def test_shortened_hashes_that_meet_by_chance(spark, monkeypatch, shift):
+    monkeypatch.setattr(nd, "FIRST_SHIFT", shift)  # 61: three bits, nearly all are equal
+    monkeypatch.setattr(nd, "TILE", 16)
+    rows = edits(40, 3, 3) + [(100 + k, t) for k, t in edits(30, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(nd.near_duplicates(df)) == expected(rows)
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     for size, shared in ((400, 320), (3000, 2000), (40, 36)):
