@@ -26,8 +26,10 @@ from casebrook.llm import arrowwords
 
 SAMPLES = 64
 BIN_BYTES = 16 << 20
-MAX_BINS = 4096
-_TOGETHER = 16  # samples worked on at a time, to bound memory
+MAX_BINS = 1 << 16
+BLOCK_CHARS = 1 << 20  # texts and edits worked on at a time
+_TOGETHER = 16  # samples worked on at a time,
+_CELLS = 1 << 20  # and scores, to bound memory
 _LOWEST = -(1 << 63)
 
 
@@ -60,8 +62,9 @@ def signatures(bags: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
     logs = np.log(weights[heavy]).astype(np.float32)[:, None]
     starts = np.cumsum(sizes[full]) - sizes[full]
     one = np.float32(1)
-    for low in range(0, samples, _TOGETHER):
-        high = min(low + _TOGETHER, samples)
+    width = max(1, min(_TOGETHER, _CELLS // len(row)))
+    for low in range(0, samples, width):
+        high = min(low + width, samples)
         r, c, b = _parameters(terms, range(low, high))
         scores = (c - r * ((np.float32(0) - b) + one))[row]
         r, c, b = r[row[heavy]], c[row[heavy]], b[row[heavy]]
@@ -114,23 +117,27 @@ def _neighbour_bins(docs: DataFrame) -> tuple[DataFrame, int]:
         return pd.Series(np.searchsorted(bounds, keys.astype("float64"), side="right"))
 
     binned = docs.withColumn("bin", bin_of(F.col("key")))
-    firsts = {
-        r["bin"]: r["first"]
-        for r in docs.select("key")
-        .withColumn("bin", bin_of(F.col("key")))
-        .groupBy("bin")
-        .agg(F.min("key").alias("first"))
-        .collect()
-    }
-    order = sorted(firsts)
-    follows = F.create_map(
-        *[F.lit(x) for k, b in enumerate(order) for x in (firsts[b], order[k - 1])]
-    ) if order else F.create_map()
-    before = F.try_element_at(follows, F.col("key")) if order else F.lit(None).cast("long")
+    rows = docs.select("key").withColumn("bin", bin_of(F.col("key"))).groupBy("bin").agg(F.min("key").alias("first"))
+    order = sorted((r["first"], r["bin"]) for r in rows.collect())  # one row per bin
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(
+        (np.array([f for f, _ in order], dtype=np.int64), np.array([b for _, b in order], dtype=np.int64))
+    )
+
+    @F.pandas_udf("long")
+    def bin_before(keys: pd.Series) -> pd.Series:
+        """For the first id of a bin the bin before it (of the first bin: the last one)."""
+        firsts, numbers = held.value
+        own = keys.to_numpy(dtype=np.int64)
+        at = np.minimum(np.searchsorted(firsts, own), len(firsts) - 1)
+        return pd.Series(numbers[at - 1], dtype="Int64").where(firsts[at] == own)
+
+    before = bin_before(F.col("key"))
     own = F.struct(F.col("bin").cast("long").alias("bin"), F.lit(False).alias("after"))
-    copy = F.struct(before.cast("long").alias("bin"), F.lit(True).alias("after"))
-    places = F.when(before.isNull(), F.array(own)).otherwise(F.array(own, copy))
-    rows = binned.select("doc_id", "key", "text", F.explode(places).alias("at"))
+    copy = F.struct(F.col("before").alias("bin"), F.lit(True).alias("after"))
+    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))
+    rows = binned.select("doc_id", "key", "text", before.alias("before"), "bin")
+    rows = rows.select("doc_id", "key", "text", F.explode(places).alias("at"))
     return rows.select("at.bin", "at.after", "key", "doc_id", "text"), max(1, len(order))
 
 
@@ -186,7 +193,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         closed: int | None = None  # the bin whose following row has been met
         size = 0
         for batch in batches:
-            for b, after, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in range(batch.num_rows):
+                b, after, key, text = (batch.column(i)[row].as_py() for i in range(4))
                 if closed == b:
                     continue  # a further row with the id that follows the bin
                 queue.append((key, text))
@@ -194,7 +202,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 size += len(text)
                 if after:
                     closed = b
-                if size > 8 << 20:
+                if size > BLOCK_CHARS:
                     yield finish(queue, ends)
                     queue, ends = ([], []) if after else ([queue[-1]], [False])
                     size = len(queue[0][1]) if queue else 0
