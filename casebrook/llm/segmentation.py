@@ -121,11 +121,18 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; without the blank put in front, control ids are silent."""
+        return text_of(self.spell(ids))
+
+    def spell(self, ids: list[int]) -> bytes:
+        """The bytes of ids one after another; those of a path are those of its parts."""
         try:
-            spelled = b"".join(map(self.spelled.__getitem__, ids))
+            return b"".join(map(self.spelled.__getitem__, ids))
         except KeyError as missing:
             raise ValueError(f"id {missing} is no piece") from None
-        return spelled.decode("utf-8", "replace").removeprefix(" ")
+
+
+def text_of(spelled: bytes) -> str:
+    return spelled.decode("utf-8", "replace").removeprefix(" ")
 
 
 def chunks_of(text: str) -> list[str]:
@@ -253,13 +260,15 @@ class Segmenter:
         self.scores: list[float] = []
         self.losses: list[float] = []
         self.ids: list[bytes] = []
-        self.lists: dict[str, list[Path]] = {}
+        self.spelled: list[bytes] = []  # what the ids decode to, once per different chunk
+        self.lists: dict[str, list[tuple[float, bytes, bytes]]] = {}
 
     def _add(self, chunk: str, score: float, loss: float, ids: bytes) -> None:
         self.known[chunk] = len(self.scores)
         self.scores.append(score)
         self.losses.append(loss)
         self.ids.append(ids)
+        self.spelled.append(self.pieces.spell(memoryview(ids).cast("I").tolist()))
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > _CACHED:
@@ -275,35 +284,42 @@ class Segmenter:
             loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
             self._add(chunk, found[0][0], loss, np.array(found[0][1], dtype="<u4").tobytes())
 
-    def segment(self, chunks: list[str]) -> list[tuple[float, bytes]]:
-        """Score and ids (little-endian, 32 bits) of the best segmentations."""
+    def _paths(self, chunk: str) -> list[tuple[float, bytes, bytes]]:
+        if chunk not in self.lists:
+            found = n_best(self.pieces, chunk, self.best)
+            self.lists[chunk] = [
+                (score, np.array(ids, dtype="<u4").tobytes(), self.pieces.spell(list(ids))) for score, ids in found
+            ]
+        return self.lists[chunk]
+
+    def segment(self, chunks: list[str]) -> list[tuple[float, bytes, list[bytes]]]:
+        """Score, ids (little-endian, 32 bits) and bytes of the best segmentations.
+
+        Bytes come chunk by chunk; a list that is the first one's holds the same.
+        """
         at = [self.known[c] for c in chunks]
         parts = [self.ids[k] for k in at]
+        spelled = [self.spelled[k] for k in at]
         total = sum(self.scores[k] for k in at)
-        out = [(total, b"".join(parts))]
+        out = [(total, b"".join(parts), spelled)]
         if self.best == 1 or not chunks:
             return out
         losses = np.array([self.losses[k] for k in at])
         weak = np.argsort(losses, kind="stable")[: self.best - 1].tolist()
-        lists = []
-        for k in weak:
-            if chunks[k] not in self.lists:
-                found = n_best(self.pieces, chunks[k], self.best)
-                if any(" " + chunks[k][1:].replace(BLANK, " ") != " " + self.pieces.decode(list(p[1]))
-                       for p in found if chunks[k][0] == BLANK):
-                    raise ValueError(f"a path does not spell {chunks[k]!r}")
-                self.lists[chunks[k]] = found
-            lists.append(self.lists[chunks[k]])
+        lists = [self._paths(chunks[k]) for k in weak]
         # choices of one path per weak chunk, least loss first
         first = (0,) * len(weak)
         heap, seen = [(0.0, first)], {first}
         while heap and len(out) < self.best:
             loss, choice = heapq.heappop(heap)
             if any(choice):
-                own = list(parts)
+                own, read = list(parts), spelled
                 for k, found, c in zip(weak, lists, choice):
-                    own[k] = np.array(found[c][1], dtype="<u4").tobytes()
-                out.append((total - loss, b"".join(own)))
+                    own[k] = found[c][1]
+                    if found[c][2] != spelled[k]:
+                        read = list(spelled) if read is spelled else read
+                        read[k] = found[c][2]
+                out.append((total - loss, b"".join(own), read))
             for i, found in enumerate(lists):
                 c = choice[i]
                 if c + 1 < len(found):
@@ -325,13 +341,15 @@ SCHEMA = (
 
 
 def segmented(segmenter: Segmenter, keys: list[int | None], texts: list[str]) -> list[tuple]:
-    """Rows of ``SCHEMA``; every segmentation is decoded by itself."""
+    """Rows of ``SCHEMA``; every segmentation is decoded, equal chunks of it once."""
     cut = [chunks_of(t) for t in texts]
     segmenter.learn(cut)
     rows: list[tuple] = []
     for key, text, chunks in zip(keys, texts, cut):
-        for rank, (score, ids) in enumerate(segmenter.segment(chunks), 1):
-            same = segmenter.pieces.decode(np.frombuffer(ids, dtype="<u4").tolist()) == text
+        read, same = None, False
+        for rank, (score, ids, spelled) in enumerate(segmenter.segment(chunks), 1):
+            if spelled is not read:
+                read, same = spelled, text_of(b"".join(spelled)) == text
             rows.append((key, rank, score, len(ids) // 4, zlib.crc32(ids), same, ids))
     return rows
 

@@ -125,10 +125,11 @@ def test_best_of_texts(pieces):
         got = segmenter.segment(chunks)
         whole = "".join(chunks)
         want = every_path(pieces, whole)[:5] if whole else [(0.0, ())]
-        assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want]
-        assert len({i for _, i in got}) == len(got)
-        for _, ids in got:
+        assert [round(s, 6) for s, _, _ in got] == [round(s, 6) for s, _ in want]
+        assert len({i for _, i, _ in got}) == len(got)
+        for _, ids, spelled in got:
             assert pieces.decode(np.frombuffer(ids, dtype="<u4").tolist()) == text
+            assert pieces.spell(np.frombuffer(ids, dtype="<u4").tolist()) == b"".join(spelled)
 
 
 def check_rows(rows, count):
@@ -160,9 +161,13 @@ def test_odd_rows_through_segmentation(odd, nothing):
 
 def test_every_rank_is_decoded(pieces):
     class Wrong(seg.Segmenter):
-        def segment(self, chunks):
-            own = super().segment(chunks)
-            return [own[0], *((score, ids + ids[-4:]) for score, ids in own[1:])]
+        def _paths(self, chunk):
+            def longer(ids):
+                ids = ids + ids[-4:]
+                return ids, self.pieces.spell(np.frombuffer(ids, dtype="<u4").tolist())
+
+            own = super()._paths(chunk)
+            return [own[0], *((score, *longer(ids)) for score, ids, _ in own[1:])]
 
     assert [r[5] for r in seg.segmented(seg.Segmenter(pieces, 3), [1], ["hello there"])] == [True] * 3
     assert [r[5] for r in seg.segmented(Wrong(pieces, 3), [1], ["hello there"])] == [True, False, False]
