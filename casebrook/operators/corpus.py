@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebrook.functions.text import fill_template
+from casebrook.operators.fetch import rows_with
 from casebrook.operators.sizing import fits_broadcast
 from casebrook.sources.corpus import number_rows
 
@@ -53,26 +54,28 @@ def _wanted(keys: DataFrame) -> DataFrame:
     return keys.select("reference_number").distinct()
 
 
-def lookup_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def lookup_documents(docs: DataFrame, keys: DataFrame, in_place: bool | None = None) -> DataFrame:
     """The document of each wanted key: the first record that carries it.
 
     The winner of each key is found on narrow columns, and full texts are then
-    fetched by the unique ordinal, so no hot key gathers texts in one task. A
-    key list of checked size is broadcast: texts are then read where they lie.
-    A longer one meets the records after they are reduced to one row per key.
+    picked out by the unique ordinal where they lie: no text is ever shuffled. A
+    key list of checked size is broadcast; of a longer one (or with ``in_place``)
+    the winners become bitmaps of ordinals.
     """
     wanted = _wanted(keys)
     narrow = docs.select("reference_number", "doc_ord")
     first = F.min("doc_ord").alias("doc_ord")
-    if fits_broadcast(wanted):
+    if not in_place and fits_broadcast(wanted):
         kept = narrow.join(F.broadcast(wanted), "reference_number", "left_semi")
         # one row per wanted key: within the same bound
         winners = F.broadcast(kept.groupBy("reference_number").agg(first))
+        texts = docs.select("doc_ord", "doc_text")
+        found = texts.join(winners, "doc_ord")
     else:
         reduced = narrow.groupBy("reference_number").agg(first)
         winners = reduced.join(wanted, "reference_number", "left_semi")
-    texts = docs.select("doc_ord", "doc_text")
-    return texts.join(winners, "doc_ord").select("reference_number", "doc_ord", "doc_text")
+        found = rows_with(docs, winners, "doc_ord")
+    return found.select("reference_number", "doc_ord", "doc_text")
 
 
 def split_known(keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -93,6 +93,7 @@ ORACLES: dict[str, str] = {
     "list_positions": query(
         DOCS, "SELECT row_number() OVER (ORDER BY first_ord) - 1 AS position, reference_number FROM keys"
     ),
+    "lookup_in_place": query(DOCS, "SELECT reference_number, doc_ord, doc_text FROM by_key"),
     "resumed_answers": f"""SELECT doc_id, 1 + CAST(length(text) % 7 = 0 AS BIGINT) AS calls,
   CASE WHEN length(text) % 7 = 0 THEN 'LLM call failed: busy' END AS first_error,
   '{REQUEST["endpoint"]} read ' || length(text) || ' characters and '

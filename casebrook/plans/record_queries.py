@@ -57,6 +57,12 @@ def list_positions(spark: SparkSession, sf: str) -> DataFrame:
     return keys.withColumn("position", F.col("position").cast("long"))
 
 
+def lookup_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """The first document of every key, picked out by bitmaps of ordinals."""
+    docs = fx.complaint_documents(spark, sf)
+    return corpus.lookup_documents(docs, docs, in_place=True)
+
+
 # -------------------------------------------------------------------- calls
 
 
@@ -224,6 +230,7 @@ QUERIES = {
         null_texts,
         catalog_records,
         list_positions,
+        lookup_in_place,
         resumed_answers,
         replaced_runs,
         runs_any_key,
