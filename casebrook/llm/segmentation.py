@@ -263,12 +263,12 @@ class Segmenter:
         self.spelled: list[bytes] = []  # what the ids decode to, once per different chunk
         self.lists: dict[str, list[tuple[float, bytes, bytes]]] = {}
 
-    def _add(self, chunk: str, score: float, loss: float, ids: bytes) -> None:
-        self.known[chunk] = len(self.scores)
-        self.scores.append(score)
-        self.losses.append(loss)
-        self.ids.append(ids)
-        self.spelled.append(self.pieces.spell(memoryview(ids).cast("I").tolist()))
+    def _add(self, chunks: list[str], scores: list[float], losses: list[float], ids: list[bytes]) -> None:
+        self.known.update(zip(chunks, range(len(self.scores), len(self.scores) + len(chunks))))
+        self.scores += scores
+        self.losses += losses
+        self.ids += ids
+        self.spelled += [self.pieces.spell(memoryview(x).cast("I").tolist()) for x in ids]
 
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > _CACHED:
@@ -277,12 +277,11 @@ class Segmenter:
         short = [c for c in fresh if len(c) <= _LONG]
         for low in range(0, len(short), _TOGETHER):
             part = short[low : low + _TOGETHER]
-            for chunk, *rest in zip(part, *_ordered(_passes(self.pieces, part))):
-                self._add(chunk, *rest)
+            self._add(part, *_ordered(_passes(self.pieces, part)))
         for chunk in fresh[len(short) :]:
             found = n_best(self.pieces, chunk, 2)
             loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-            self._add(chunk, found[0][0], loss, np.array(found[0][1], dtype="<u4").tobytes())
+            self._add([chunk], [found[0][0]], [loss], [np.array(found[0][1], dtype="<u4").tobytes()])
 
     def _paths(self, chunk: str) -> list[tuple[float, bytes, bytes]]:
         if chunk not in self.lists:
@@ -297,14 +296,14 @@ class Segmenter:
 
         Bytes come chunk by chunk; a list that is the first one's holds the same.
         """
-        at = [self.known[c] for c in chunks]
-        parts = [self.ids[k] for k in at]
-        spelled = [self.spelled[k] for k in at]
-        total = sum(self.scores[k] for k in at)
+        at = list(map(self.known.__getitem__, chunks))
+        parts = list(map(self.ids.__getitem__, at))
+        spelled = list(map(self.spelled.__getitem__, at))
+        total = sum(map(self.scores.__getitem__, at))
         out = [(total, b"".join(parts), spelled)]
         if self.best == 1 or not chunks:
             return out
-        losses = np.array([self.losses[k] for k in at])
+        losses = np.fromiter(map(self.losses.__getitem__, at), dtype=np.float64, count=len(at))
         weak = np.argsort(losses, kind="stable")[: self.best - 1].tolist()
         lists = [self._paths(chunks[k]) for k in weak]
         # choices of one path per weak chunk, least loss first
