@@ -238,6 +238,12 @@ def _whole_sets(ids: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     )
 
 
+def _are_alike(one: pa.Buffer, two: pa.Buffer) -> bool:
+    a, b = np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, repeated: bool) -> DataFrame:
     """``a, b`` of the pairs that are links, by their whole sets."""
     spark = rows.sparkSession
@@ -245,20 +251,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, repeated: bool) -
     sets = _whole_sets(ids, rows, shingle).where(F.length("set") > 0)
     sets, path = written(sets.dropDuplicates(["id", "one"]) if repeated else sets, "sets")
 
-    @F.pandas_udf("boolean")
-    def linked(one: pd.Series, two: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(one, two):
-            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = np.intersect1d(a, b, assume_unique=True).size
-            out.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # sets are read where Arrow holds them, not copied
+            keep = [_are_alike(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
     of = lambda side: sets.select(
         F.col("id").alias(side), F.col("one").alias(f"o{side}"), F.col("set").alias(f"s{side}")
     )
     joined = pairs.join(of("a"), ["a", "oa"]).join(of("b"), ["b", "ob"])
-    links, _ = written(joined.where(linked("sa", "sb")).select("a", "b").distinct(), "verified")
+    found = joined.select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
+    links, _ = written(found.distinct(), "verified")
     discard(spark, path)
     return links
 
@@ -324,12 +328,18 @@ def _joining_pairs(placed: DataFrame, classes: DataFrame, sets: DataFrame, shift
     returns fewer pairs than it has members.
     """
 
-    @F.pandas_udf("binary")
-    def shortened(whole: pd.Series) -> pd.Series:
-        cut = lambda s: (np.frombuffer(s, dtype=np.uint64) >> np.uint64(shift)).astype(np.uint32)
-        return pd.Series([np.sort(cut(s)).tobytes() for s in whole], dtype=object)
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                cut = (np.frombuffer(x.as_buffer(), dtype=np.uint64) >> np.uint64(shift) for x in part.column(2))
+                short = [np.sort(c.astype(np.uint32)).tobytes() for c in cut]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(short, type=pa.binary())],
+                    names=["id", "one", "short"],
+                )
 
-    short = sets.select("id", "one", shortened("set").alias("short"))
+    short = sets.select("id", "one", "set").mapInArrow(shortened, "id long, one long, short binary")
     placed = placed.select("band", "x", "y", "own", "id", "one", "n", "label")
     placed = placed.join(classes.select("id", "one", "registers"), ["id", "one"]).join(short, ["id", "one"])
 
@@ -339,7 +349,7 @@ def _joining_pairs(placed: DataFrame, classes: DataFrame, sets: DataFrame, shift
         registers = np.frombuffer(
             b"".join(r.as_py() for r in table.column("registers")), dtype=np.uint16
         ).reshape(-1, REGISTERS)
-        shorts = [np.frombuffer(r.as_py(), dtype=np.uint32) for r in table.column("short")]
+        shorts = [np.frombuffer(r.as_buffer(), dtype=np.uint32) for r in table.column("short")]
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         group = np.unique(labels, return_inverse=True)[1]
         out: list[tuple[int, int]] = []
