@@ -1,29 +1,35 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counts of words and of word pairs are quantised: the thresholds 1, 2, 3, 4, 6,
-8, 12, ... (powers of the root of two, as whole numbers) cut them into levels. An
-n-gram of level q is put into the filter q times, once with each of the numbers
-1..q; its level is read back by probing 1, 2, ... until one is missing. A count
-is thus never read too low, and too high only by a false hit.
+Counts of words and of word pairs are quantised: the thresholds 1, 2, ..., 8, 10,
+12, ... (powers of the fourth root of two, as whole numbers) cut them into levels,
+which a ``CountFilter`` holds. A level stands for the mean count of all n-grams of
+its kind on it, so quantising moves no mass in the sum.
 
 The probability of a word after another is
     g(level of h) c(h w) / c(h) + (1 - g) (c(w) + 1) / (N + V + 1)
 with one weight g per level of the history. The weights are fitted to the
-training tokens with their own occurrence left out of the counts.
-
-The filter holds every word and every pair at ``BITS`` bits an entry and grows
-with them. Up to ``MAX_BYTES`` it is broadcast. Beyond, each shard of the counts
-has a filter of its own: the different n-grams of a group of texts are dealt to
-the shards, probed there, and their levels go back to the group. Only a caller
-who names ``max_bytes`` gets a filter of bounded size, in which the least count
-of a stored pair is the next threshold at which the rest fits. Exact counts,
-which only the base score needs, are never broadcast whole: words with at least
-a ``HOT`` th part of all tokens are (there can be no more than ``HOT``), the rest
-are joined by hash.
+training tokens with their own occurrence left out of the counts. After any
+history the probabilities of the V words and of one unknown word add up to one,
+but for quantising and for pairs that were never seen and are hit by chance. The
+latter grow with V, so the number of probes does: ``log2(V) + SPARE`` of them let
+2 ** -SPARE pairs per history through, whatever the size of the corpus.
+
+The filter holds every word and every pair and grows with them. Each shard of the
+counts makes its part of it. Up to ``MAX_BYTES`` the parts are one file in the
+shared folder, which each machine maps once for all its workers (a broadcast
+variable would be one copy in each worker, and one on the driver). A larger
+filter, or one in a folder that is no mounted file system, stays a table: the
+different n-grams of a group of texts are dealt to the shards, probed there, and
+their levels go back to the group. Both ways probe the same bits, so the scores
+are the same. Exact counts, which only the base score needs, are never broadcast
+whole: words with at least a ``HOT`` th part of all tokens are (there can be no
+more than ``HOT``), the rest are joined by hash.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,13 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebrook.llm import arrowwords, bloom
+from casebrook.llm import arrowwords, countfilter
 from casebrook.llm.blobs import cut_by_shard, joined, shards_for
-from casebrook.sources.storage import materialise
+from casebrook.llm.bloom import BLOCK_BYTES
+from casebrook.llm.countfilter import CountFilter
+from casebrook.sources.storage import materialise, shared_dir
 
-MIN_PAIRS = 1
-BITS = 12
-MAX_BYTES = 128 << 20
+SPARE = 5
+MAX_BYTES = 4 << 30
 HOT = 200_000
 GRID = (0.0, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 WORDS, PAIRS = 0, 1
@@ -47,25 +54,24 @@ _TOKENS_HELD = 2 << 20
 _TOKENS_READ = 1 << 19
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _BEGIN = np.uint64(0x5BE0CD19137E2179)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_LEVELS = 128
+_LEVELS = 256
 COUNTS = "kind int, shard int, keys binary, counts binary"
 GROUPS = (
     "first long, kind int, shard int, keys binary, "
     "ids array<long>, lengths array<long>, tokens binary"
 )
 
+_BY_LEVEL = pa.list_(pa.struct([("level", pa.int32()), ("n", pa.int64()), ("count", pa.int64())]))
+
 # levels of the keys of one kind
 Look = Callable[[int, np.ndarray], np.ndarray]
 
 
 def _thresholds() -> np.ndarray:
-    return np.unique(np.ceil(2.0 ** (np.arange(125) / 2) - 1e-9).astype(np.int64))
+    return np.unique(np.ceil(2.0 ** (np.arange(250) / 4) - 1e-9).astype(np.int64))
 
 
 THRESHOLDS = _thresholds()
-# what a level stands for: the middle of its counts
-VALUES = np.concatenate(([0.0], (THRESHOLDS[:-1] + THRESHOLDS[1:] - 1) / 2, [float(THRESHOLDS[-1])]))
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -129,8 +135,8 @@ def _blob_rows(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) ->
     )
 
 
-def count_ngrams(texts: DataFrame, shards: int, min_pairs: int) -> DataFrame:
-    """Exact counts of words and of pairs seen ``min_pairs`` times, in shards.
+def count_ngrams(texts: DataFrame, shards: int) -> DataFrame:
+    """Exact counts of words and of pairs, in shards, with their sums by level.
 
     Tasks add up what they hold before anything is shuffled; a common n-gram is
     then one number per task.
@@ -164,41 +170,44 @@ def count_ngrams(texts: DataFrame, shards: int, min_pairs: int) -> DataFrame:
         keys, times = keys[order], times[order].astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys, times = keys[starts], np.add.reduceat(times, starts)
-        total, distinct = int(times.sum()), len(keys)
-        if kind == PAIRS:
-            kept = times >= min_pairs
-            keys, times = keys[kept], times[kept]
-        by_level = np.bincount(level_of(times), minlength=_LEVELS)
+        used, place = np.unique(level_of(times), return_inverse=True)
+        # exact: a shard's counts stay far below 2 ** 53
+        sums = np.bincount(place, times)
+        by_level = [
+            {"level": int(q), "n": int(n), "count": int(c)}
+            for q, n, c in zip(used, np.bincount(place), sums)
+        ]
         return pa.table(
             {
                 "kind": pa.array([kind], type=pa.int32()),
                 "shard": pa.array([shard], type=pa.int32()),
                 "keys": pa.array([keys.tobytes()], type=pa.binary()),
                 "counts": pa.array([times.tobytes()], type=pa.binary()),
-                "total": pa.array([total], type=pa.int64()),
-                "n_distinct": pa.array([distinct], type=pa.int64()),
-                "by_level": pa.array([by_level.tolist()], type=pa.list_(pa.int64())),
+                "by_level": pa.array([by_level], type=_BY_LEVEL),
             }
         )
 
     partial = texts.mapInArrow(count, COUNTS)
     return partial.groupBy("kind", "shard").applyInArrow(
-        merge, COUNTS + ", total long, n_distinct long, by_level array<long>"
+        merge, COUNTS + ", by_level array<struct<level:int,n:long,count:long>>"
     )
 
 
 @dataclass
 class Model:
-    """What scoring needs; ``bits`` is the broadcast of the filter.
+    """What scoring needs; ``path`` is the file of the filter.
 
-    A filter too large for that is ``filters``, one of each kind and shard.
+    A filter that is not mapped is ``filters``, one of each kind and shard.
     """
 
-    bits: object | None
+    path: str | None
     filters: DataFrame | None
+    starts: np.ndarray  # first block by kind and shard
+    sizes: np.ndarray  # blocks by kind and shard
+    first_probes: int
     tokens: int
     words: int
-    least_pair: int
+    values: np.ndarray  # counts by kind and level
     weights: np.ndarray  # by level of the history
     counts: DataFrame
     shards: int
@@ -208,97 +217,80 @@ class Model:
         return self.tokens + self.words + 1
 
 
-def _levels(found: bloom.Bloom, keys: np.ndarray) -> np.ndarray:
-    """Levels of keys by repeated probes; each different key is probed once."""
-    keys, place = np.unique(keys, return_inverse=True)
-    out = np.zeros(len(keys), dtype=np.int64)
-    live = np.arange(len(keys))
-    number = 0
-    while len(live) and number < _LEVELS:
-        number += 1
-        live = live[found.contains(_numbered(keys[live], number))]
-        out[live] = number
-    return out[place]
+def _mounted(folder: str) -> str | None:
+    """The plain path of a folder in a mounted file system, else nothing."""
+    if folder.startswith("file:"):
+        return "/" + folder[len("file:") :].lstrip("/")
+    return None if "://" in folder else folder
 
 
-def _numbered(keys: np.ndarray, number: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return arrowwords.mix(keys + np.uint64(number) * _STEP)
+def _built(model: Model) -> Callable[[int, int, bytes, bytes], bytes]:
+    sizes, shards, first_probes = model.sizes, model.shards, model.first_probes
 
+    def bits(kind: int, shard: int, keys: bytes, counts: bytes) -> bytes:
+        levels = level_of(np.frombuffer(counts, dtype=np.int64))
+        own = np.frombuffer(keys, dtype=np.uint64)
+        return countfilter.built(own, levels, int(sizes[kind, shard]), shards, first_probes)
 
-def _word_keys(words: np.ndarray) -> np.ndarray:
-    return words ^ np.uint64(0x243F6A8885A308D3)  # apart from the keys of pairs
+    return bits
 
 
-def _entries(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """What is put into the filter for keys of these levels."""
-    every, number = [np.zeros(0, dtype=np.uint64)], 1
-    keys, levels = keys[levels >= 1], levels[levels >= 1]
-    while len(keys):
-        every.append(_numbered(keys, number))
-        number += 1
-        keys, levels = keys[levels >= number], levels[levels >= number]
-    return np.concatenate(every)
+def _build_file(model: Model, folder: str) -> str:
+    """Every shard's part of the filter, written to its place in one file.
 
+    A task that runs again writes the same bytes to the same place.
+    """
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/filter-{uuid.uuid4().hex}"
+    with open(path, "wb") as file:
+        file.truncate(int(model.sizes.sum()) * BLOCK_BYTES)
+    starts, build = model.starts, _built(model)
 
-def _build_filter(counts: DataFrame, least_pair: int, blocks: int) -> bloom.Bloom:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, keys, times in zip(*(batch.column(i) for i in range(3))):
-                own = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
-                levels = level_of(np.frombuffer(times.as_buffer(), dtype=np.int64))
-                if kind.as_py() == WORDS:
-                    own = _word_keys(own)
-                else:
-                    stored = levels >= level_of(np.array([least_pair]))[0]
-                    own, levels = own[stored], levels[stored]
-                every = _entries(own, levels)
-                if len(every):
-                    yield bloom.dealt(every, blocks)
+            kinds, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for kind, shard, keys, counts in zip(kinds, shards, batch.column(2), batch.column(3)):
+                bits = build(kind, shard, keys.as_buffer(), counts.as_buffer())
+                with open(path, "r+b") as file:
+                    file.seek(int(starts[kind, shard]) * BLOCK_BYTES)
+                    file.write(bits)
+                    file.flush()
+                    os.fsync(file.fileno())
+            yield pa.RecordBatch.from_arrays([pa.array([len(kinds)], type=pa.int64())], names=["n"])
 
-    return bloom.of_blocks(counts.select("kind", "keys", "counts").mapInArrow(run, bloom.KEYS), blocks)
+    rows = model.counts.select("kind", "shard", "keys", "counts")
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return path
 
 
-def _build_filters(counts: DataFrame) -> DataFrame:
-    """``kind, shard, bits``: a filter of each shard of the counts, all n-grams in it."""
+def _build_table(model: Model) -> DataFrame:
+    """``kind, shard, bits``: every shard's part of the filter."""
+    build = _built(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, shard, keys, times in zip(*(batch.column(i) for i in range(4))):
-                own = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
-                levels = level_of(np.frombuffer(times.as_buffer(), dtype=np.int64))
-                every = _entries(_word_keys(own) if kind.as_py() == WORDS else own, levels)
+            kinds, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for kind, shard, keys, counts in zip(kinds, shards, batch.column(2), batch.column(3)):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([kind.as_py()], type=pa.int32()),
-                        pa.array([shard.as_py()], type=pa.int32()),
-                        pa.array([bloom.filled(every, BITS).tobytes()], type=pa.binary()),
+                        pa.array([kind], type=pa.int32()),
+                        pa.array([shard], type=pa.int32()),
+                        pa.array([build(kind, shard, keys.as_buffer(), counts.as_buffer())], type=pa.binary()),
                     ],
                     names=["kind", "shard", "bits"],
                 )
 
-    return counts.select("kind", "shard", "keys", "counts").mapInArrow(
-        run, "kind int, shard int, bits binary"
-    )
-
-
-def _size(entries: dict[int, np.ndarray], least_level: int) -> int:
-    levels = np.arange(_LEVELS)
-    kept = entries[PAIRS] * levels * (levels >= least_level)
-    return int((entries[WORDS] * levels).sum() + kept.sum())
+    rows = model.counts.select("kind", "shard", "keys", "counts")
+    return materialise(rows.mapInArrow(run, "kind int, shard int, bits binary"), "filters")
 
 
 def _text_column(df: DataFrame, name: str) -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
-def train(
-    docs: DataFrame, text_col: str = "text", min_pairs: int = MIN_PAIRS, max_bytes: int | None = None
-) -> Model:
+def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count, build the filter, and fit the weights, all on every row of ``docs``.
 
-    With ``max_bytes`` the filter is no larger, and the pairs of the least counts
-    are left out until the rest fits; without, all n-grams are stored.
     Null texts are empty and hold one end. An empty table gives a model that
     knows no word: every token then has the probability of an unknown one.
     """
@@ -306,60 +298,79 @@ def train(
     texts = docs.select(_text_column(docs, text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = shards_for(int(size))
-    counts = materialise(count_ngrams(texts, shards, min_pairs), "ngrams")
-    stats = {
-        r["kind"]: r
-        for r in counts.groupBy("kind")
-        .agg(
-            F.sum("total").alias("total"),
-            F.sum("n_distinct").alias("n_distinct"),
-            F.array(*(F.sum(F.get("by_level", F.lit(i))) for i in range(_LEVELS))).alias("levels"),
-        )
-        .collect()
-    }
-    none = np.zeros(_LEVELS, dtype=np.int64)
-    entries = {k: np.array(stats[k]["levels"]) if k in stats else none for k in (WORDS, PAIRS)}
-    least = int(level_of(np.array([min_pairs]))[0])
-    bits = filters = None
-    if max_bytes is None and _size(entries, least) * BITS > MAX_BYTES * 8:
-        filters = materialise(_build_filters(counts), "filters")
-    else:
-        max_bytes = MAX_BYTES if max_bytes is None else max_bytes
-        while _size(entries, least) * BITS > max_bytes * 8 and least < len(THRESHOLDS):
-            least += 1
-        blocks = bloom.n_blocks(_size(entries, least), BITS, max_bytes)
-        found = _build_filter(counts, int(THRESHOLDS[least - 1]), blocks)
-        bits = spark.sparkContext.broadcast(found.bits.tobytes())
+    counts = materialise(count_ngrams(texts, shards), "ngrams")
+    levels = counts.select("kind", "shard", F.inline("by_level"))
+    n, total = np.zeros((2, _LEVELS)), np.zeros((2, _LEVELS))
+    tokens = words = 0
+    for row in levels.groupBy("kind", "level").agg(F.sum("n"), F.sum("count")).collect():
+        kind, level, keys, held = row
+        n[kind, level], total[kind, level] = keys, held
+        if kind == WORDS:
+            tokens, words = tokens + held, words + keys
+    first_probes = max(1, words).bit_length() + SPARE
+    sizes = np.zeros((2, shards), dtype=np.int64)
+    # one row of each kind and shard
+    parts = levels.groupBy("kind", "shard").agg(F.sum("n"), F.sum(F.col("n") * F.col("level")))
+    for kind, shard, keys, entries in parts.collect():
+        sizes[kind, shard] = countfilter.blocks_for(keys, entries, first_probes)
+    ends = np.cumsum(sizes.ravel()).reshape(sizes.shape)
     model = Model(
-        bits=bits,
-        filters=filters,
-        tokens=stats[WORDS]["total"] if stats else 0,
-        words=stats[WORDS]["n_distinct"] if stats else 0,
-        least_pair=int(THRESHOLDS[least - 1]),
+        path=None,
+        filters=None,
+        starts=ends - sizes,
+        sizes=sizes,
+        first_probes=first_probes,
+        tokens=tokens,
+        words=words,
+        values=np.divide(total, n, out=np.zeros_like(total), where=n > 0),
         weights=np.zeros(_LEVELS),
         counts=counts,
         shards=shards,
     )
+    # a level read by chance though no n-gram is on it stands for its threshold
+    lowest = np.concatenate(([0], THRESHOLDS))[np.minimum(np.arange(_LEVELS), len(THRESHOLDS))]
+    model.values = np.where(n > 0, model.values, lowest)
+    folder = _mounted(shared_dir(spark))
+    if folder is not None and int(sizes.sum()) * BLOCK_BYTES <= MAX_BYTES:
+        model.path = _build_file(model, f"{folder}/casebrook")
+    else:
+        model.filters = _build_table(model)
     model.weights = _fit_weights(texts, model)
     return model
 
 
-def _probed(found: bloom.Bloom) -> Look:
-    return lambda kind, keys: _levels(found, _word_keys(keys) if kind == WORDS else keys)
+def _mapped(model: Model) -> Callable[[], Look]:
+    """Makes the function that reads levels from the file of the filter."""
+    path, starts, sizes, first_probes = model.path, model.starts, model.sizes, model.first_probes
+
+    def make() -> Look:
+        # no blocks, no file to map
+        bits = np.memmap(path, dtype=np.uint8, mode="r") if sizes.any() else np.zeros(0, np.uint8)
+        kinds = [CountFilter(bits, starts[k], sizes[k], first_probes) for k in (WORDS, PAIRS)]
+
+        def look(kind: int, keys: np.ndarray) -> np.ndarray:
+            keys, place = np.unique(keys, return_inverse=True)
+            return kinds[kind].levels(keys)[place]
 
+        return look
 
-def _read(look: Look, history: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    return make
+
+
+def _read(
+    look: Look, values: np.ndarray, history: np.ndarray, tokens: np.ndarray
+) -> tuple[np.ndarray, ...]:
     """``(level of h, c(h), c(w), c(h w))`` of the tokens of whole texts."""
     of_words = look(WORDS, tokens)
     # a history is the token before it; a text's first token follows its begin
     first = history == _BEGIN
-    of_history = np.concatenate(([0], of_words[:-1]))
+    of_history = np.concatenate((np.zeros(1, dtype=of_words.dtype), of_words[:-1]))
     # every text has one begin and one end
     of_history[first] = of_words[np.flatnonzero(tokens == _END)[0]]
     of_pairs = look(PAIRS, pairs_of(history, tokens))
-    c_history = VALUES[of_history]
-    c_pairs = np.minimum(VALUES[of_pairs], c_history)
-    return of_history, c_history, VALUES[of_words], c_pairs
+    c_history = values[WORDS][of_history]
+    c_pairs = np.minimum(values[PAIRS][of_pairs], c_history)
+    return of_history, c_history, values[WORDS][of_words], c_pairs
 
 
 def _groups(rows: DataFrame, shards: int) -> DataFrame:
@@ -395,18 +406,22 @@ def _groups(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(run, GROUPS)
 
 
-def _levels_of_groups(groups: DataFrame, filters: DataFrame) -> DataFrame:
+def _levels_of_groups(groups: DataFrame, model: Model) -> DataFrame:
     """``first, kind, shard, levels`` of the keys that groups ask of shards."""
+    shards, first_probes, filters = model.shards, model.first_probes, model.filters
 
     def probe(asked: pa.Table, filters: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in asked.column("keys")]
-        cuts = np.cumsum([0, *map(len, parts)])
-        levels = np.zeros(cuts[-1], dtype=np.uint8)  # no n-gram of the shard was counted
-        if filters.num_rows and len(parts):
+        shard = asked.column("shard")[0].as_py() if asked.num_rows else 0
+        sizes = np.zeros(shards, dtype=np.int64)
+        bits = np.zeros(0, dtype=np.uint8)
+        if filters.num_rows:  # else no n-gram of the shard was counted
             bits = np.frombuffer(filters.column("bits")[0].as_buffer(), dtype=np.uint8)
-            kind = asked.column("kind")[0].as_py()
-            levels = _probed(bloom.Bloom(bits))(kind, np.concatenate(parts)).astype(np.uint8)
-        blobs = [levels[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            sizes[shard] = len(bits) // BLOCK_BYTES
+        found = CountFilter(bits, np.zeros(shards), sizes, first_probes)
+        blobs = [
+            found.levels(np.frombuffer(k.as_buffer(), dtype=np.uint64)).tobytes()
+            for k in asked.column("keys")
+        ]
         return asked.select(["first", "kind", "shard"]).append_column(
             "levels", pa.array(blobs, type=pa.binary())
         )
@@ -426,7 +441,7 @@ def _listed(found: pa.Table) -> Look:
     for kind in (WORDS, PAIRS):
         own = np.flatnonzero(kinds == kind)
         own = own[np.argsort(shards[own])]  # shards are ranges of ascending keys
-        by_kind[kind] = joined(found.column("levels").take(pa.array(own)), np.uint8).astype(np.int64)
+        by_kind[kind] = joined(found.column("levels").take(pa.array(own)), np.uint8)
 
     def look(kind: int, keys: np.ndarray) -> np.ndarray:
         different, place = np.unique(keys, return_inverse=True)
@@ -447,10 +462,10 @@ def _judged(rows: DataFrame, model: Model, judge: Judge, schema: str) -> DataFra
     the lengths of the rows and a function that reads levels.
     """
     if model.filters is None:
-        bits = model.bits
+        make = _mapped(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            look = _probed(bloom.Bloom(np.frombuffer(bits.value, dtype=np.uint8)))
+            look = make()
             first = _first_row()
             for ids, held in _held(batches):
                 yield from judge(first, ids, np.concatenate(held), np.array([len(t) for t in held]), look)
@@ -465,7 +480,7 @@ def _judged(rows: DataFrame, model: Model, judge: Judge, schema: str) -> DataFra
         return pa.Table.from_batches(judge(first, ids, tokens, lengths, _listed(found)))
 
     groups = materialise(_groups(rows, model.shards), "groups")
-    levels = _levels_of_groups(groups, model.filters)
+    levels = _levels_of_groups(groups, model)
     whole = groups.where("kind is null").select("first", "ids", "lengths", "tokens")
     return whole.groupBy("first").cogroup(levels.groupBy("first")).applyInArrow(one, schema)
 
@@ -479,10 +494,10 @@ def _histories_of_rows(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
     """For each level of the history the weight of ``GRID`` that fits best.
 
-    Every training token is taken out of the counts that judge it; a pair that
-    would then not be stored counts as unseen.
+    Every training token is taken out of the counts that judge it; a pair seen
+    once is then unseen.
     """
-    whole, least = model.whole, model.least_pair
+    whole, values = model.whole, model.values
     grid = np.array(GRID)
 
     def fit(
@@ -490,9 +505,9 @@ def _fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
     ) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((_LEVELS, len(grid)))
         history = _histories_of_rows(tokens, lengths)
-        level, c_history, c_word, c_pair = _read(look, history, tokens)
+        level, c_history, c_word, c_pair = _read(look, values, history, tokens)
         left = c_pair - 1
-        seen = left >= least
+        seen = left >= 1
         one = np.maximum(c_word, 1) / whole
         # an unseen pair's fit is that of its word and of 1 - g
         unseen = level[~seen]
@@ -558,7 +573,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null texts are empty; repeated rows are scored each; null ids stay null.
     """
     spark = docs.sparkSession
-    shards, whole = model.shards, model.whole
+    shards, whole, values = model.shards, model.whole, model.values
     weights = spark.sparkContext.broadcast(model.weights)
     hot = spark.sparkContext.broadcast(_hot_words(model))
     names = [f.split()[0] for f in SCORED.split(", ")]
@@ -574,7 +589,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         hot_keys, hot_times = hot.value
         n = len(ids)
         doc = np.repeat(np.arange(n), lengths)
-        level, c_history, c_word, c_pair = _read(look, _histories_of_rows(tokens, lengths), tokens)
+        history = _histories_of_rows(tokens, lengths)
+        level, c_history, c_word, c_pair = _read(look, values, history, tokens)
         g = weights.value[level]
         two = np.divide(c_pair, c_history, out=np.zeros(len(tokens)), where=c_history > 0)
         scores = np.log10(g * two + (1 - g) * (c_word + 1) / whole)
