@@ -51,7 +51,7 @@ HOT = 200_000
 GRID = (0.0, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 WORDS, PAIRS = 0, 1
 _TOKENS_HELD = 2 << 20
-_TOKENS_READ = 1 << 19
+_TOKENS_READ = 1 << 20
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _BEGIN = np.uint64(0x5BE0CD19137E2179)
 _LEVELS = 256
@@ -308,11 +308,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         if kind == WORDS:
             tokens, words = tokens + held, words + keys
     first_probes = max(1, words).bit_length() + SPARE
+    set_by = countfilter.bits_of(np.arange(_LEVELS), first_probes)
     sizes = np.zeros((2, shards), dtype=np.int64)
     # one row of each kind and shard
-    parts = levels.groupBy("kind", "shard").agg(F.sum("n"), F.sum(F.col("n") * F.col("level")))
-    for kind, shard, keys, entries in parts.collect():
-        sizes[kind, shard] = countfilter.blocks_for(keys, entries, first_probes)
+    parts = counts.select("kind", "shard", "by_level").collect()
+    for kind, shard, by_level in parts:
+        sizes[kind, shard] = countfilter.blocks_for(sum(q["n"] * int(set_by[q["level"]]) for q in by_level))
     ends = np.cumsum(sizes.ravel()).reshape(sizes.shape)
     model = Model(
         path=None,
@@ -345,7 +346,7 @@ def _mapped(model: Model) -> Callable[[], Look]:
 
     def make() -> Look:
         # no blocks, no file to map
-        bits = np.memmap(path, dtype=np.uint8, mode="r") if sizes.any() else np.zeros(0, np.uint8)
+        bits = np.asarray(np.memmap(path, dtype=np.uint8, mode="r")) if sizes.any() else np.zeros(0, np.uint8)
         kinds = [CountFilter(bits, starts[k], sizes[k], first_probes) for k in (WORDS, PAIRS)]
 
         def look(kind: int, keys: np.ndarray) -> np.ndarray:

@@ -154,13 +154,13 @@ def test_thresholds():
 @pytest.mark.parametrize("shards", [1, 16])
 def test_a_part_reads_like_the_whole(shards):
     rng = np.random.default_rng(3)
-    keys = np.unique(rng.integers(0, 1 << 64, 30_000, dtype=np.uint64))
+    keys = np.unique(rng.integers(0, 1 << 64, 300_000, dtype=np.uint64))
     levels = rng.integers(1, 40, len(keys))
     shard = countfilter.shards_of(keys, shards)
     parts, sizes = [], []
     for s in range(shards):
         own = shard == s
-        blocks = countfilter.blocks_for(int(own.sum()), int(levels[own].sum()), 20)
+        blocks = countfilter.blocks_for(int(countfilter.bits_of(levels[own], 20).sum()))
         sizes.append(blocks)
         parts.append(countfilter.built(keys[own], levels[own], blocks, shards, 20))
         assert len(parts[-1]) == blocks * countfilter.BLOCK_BYTES
