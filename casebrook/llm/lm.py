@@ -561,7 +561,7 @@ def _hot_words(model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 SCORED = (
-    "row long, doc_id long, n_tokens long, n_known long, base double, score double, "
+    "first long, row long, doc_id long, n_tokens long, n_known long, base double, score double, "
     "shard int, keys binary, docs binary, times binary"
 )
 
@@ -578,7 +578,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     weights = spark.sparkContext.broadcast(model.weights)
     hot = spark.sparkContext.broadcast(_hot_words(model))
     names = [f.split()[0] for f in SCORED.split(", ")]
-    types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int32()] + [pa.binary()] * 3
+    types = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.int32()] + [pa.binary()] * 3
 
     def rows(columns: list[list]) -> pa.RecordBatch:
         arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
@@ -606,7 +606,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         base = np.bincount(doc[is_hot], np.log10(times[is_hot] + 1.0), n)
         base = base - lengths * np.log10(float(whole))
         yield rows(
-            [list(range(first, first + n)), ids, lengths, known, base, sums]
+            [[first] * n, list(range(first, first + n)), ids, lengths, known, base, sums]
             + [[None] * n] * 4
         )
         rest = ~is_hot
@@ -622,7 +622,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             part = lambda x: [x[cuts[s] : cuts[s + 1]].tobytes() for s in full]
             nulls = [None] * len(full)
             yield rows(
-                [[first] * len(full), nulls, nulls, nulls, nulls, nulls]
+                [nulls, [first] * len(full), nulls, nulls, nulls, nulls, nulls]
                 + [full, part(words), part(own), part(often)]
             )
 
@@ -637,12 +637,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
     def look_up(found: pa.Table, counted: pa.Table) -> pa.Table:
-        """What rare words add to each row, from the exact counts of one shard."""
+        """What rare words add to the rows of each group, from the exact counts of one shard."""
         keys = joined(counted.column("keys"), np.uint64)
         times = joined(counted.column("counts"), np.int64)
-        firsts = found.column("row").to_pylist()
-        out_rows, out_base, out_known = [], [], []
-        for first, words, own, often in zip(firsts, *(found.column(c) for c in ("keys", "docs", "times"))):
+        own_docs, more_base, more_known = [], [], []
+        for words, own, often in zip(*(found.column(c) for c in ("keys", "docs", "times"))):
             words = np.frombuffer(words.as_buffer(), dtype=np.uint64)
             own = np.frombuffer(own.as_buffer(), dtype=np.uint32)
             often = np.frombuffer(often.as_buffer(), dtype=np.uint32).astype(np.float64)
@@ -652,15 +651,35 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             else:
                 c = np.zeros(len(words), dtype=np.int64)
             docs_here, place = np.unique(own, return_inverse=True)
-            out_rows.append(docs_here.astype(np.int64) + first)
-            out_base.append(np.bincount(place, often * np.log10(c + 1.0)))
-            out_known.append(np.bincount(place, often * (c > 0)).astype(np.int64))
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            own_docs.append(docs_here.tobytes())
+            more_base.append(np.bincount(place, often * np.log10(c + 1.0)).tobytes())
+            more_known.append(np.bincount(place, often * (c > 0)).astype(np.int64).tobytes())
+        parts = {"docs": own_docs, "base": more_base, "known": more_known}
         return pa.table(
             {
-                "row": pa.array(join(out_rows, np.int64), type=pa.int64()),
-                "more_base": pa.array(join(out_base, np.float64), type=pa.float64()),
-                "more_known": pa.array(join(out_known, np.int64), type=pa.int64()),
+                "row": found.column("row").cast(pa.int64()),
+                "shard": found.column("shard").cast(pa.int32()),
+                **{name: pa.array(blobs, type=pa.binary()) for name, blobs in parts.items()},
+            }
+        )
+
+    def add(plain: pa.Table, added: pa.Table) -> pa.Table:
+        """The rows of a group with what its shards add to them, in their order."""
+        n = plain.num_rows
+        known, base = np.zeros(n, dtype=np.int64), np.zeros(n)
+        place = plain.column("row").to_numpy() - plain.column("first").to_numpy()
+        added = added.sort_by("shard")  # sums do not hang on the order of arrival
+        for own, more, seen in zip(*(added.column(c) for c in ("docs", "base", "known"))):
+            own = np.frombuffer(own.as_buffer(), dtype=np.uint32)
+            base[own] += np.frombuffer(more.as_buffer(), dtype=np.float64)
+            known[own] += np.frombuffer(seen.as_buffer(), dtype=np.int64)
+        return pa.table(
+            {
+                "doc_id": plain.column("doc_id"),
+                "n_tokens": plain.column("n_tokens"),
+                "n_known": pa.array(plain.column("n_known").to_numpy() + known[place], type=pa.int64()),
+                "base_score": pa.array(plain.column("base").to_numpy() + base[place], type=pa.float64()),
+                "score": plain.column("score"),
             }
         )
 
@@ -669,18 +688,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     added = (
         rare.groupBy("shard")
         .cogroup(exact.groupBy("shard"))
-        .applyInArrow(look_up, "row long, more_base double, more_known long")
-        .groupBy("row")
-        .agg(F.sum("more_base").alias("more_base"), F.sum("more_known").alias("more_known"))
+        .applyInArrow(look_up, "row long, shard int, docs binary, base binary, known binary")
+    )
+    # a group is the rows of about _TOKENS_READ tokens
+    plain = scored.where("shard is null").select(
+        "first", "row", "doc_id", "n_tokens", "n_known", "base", "score"
     )
-    plain = scored.where("shard is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
-    return plain.join(added, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+    return (
+        plain.groupBy("first")
+        .cogroup(added.groupBy("row"))
+        .applyInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        .select(
+            "doc_id",
+            "n_tokens",
+            "n_known",
+            F.lit(model.tokens).cast("long").alias("train_tokens"),
+            "base_score",
+            "score",
+        )
     )
 
 
