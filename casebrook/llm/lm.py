@@ -51,7 +51,7 @@ HOT = 200_000
 GRID = (0.0, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 WORDS, PAIRS = 0, 1
 _TOKENS_HELD = 2 << 20
-_TOKENS_READ = 1 << 20
+_TOKENS_READ = 3 << 18
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _BEGIN = np.uint64(0x5BE0CD19137E2179)
 _LEVELS = 256
@@ -514,10 +514,19 @@ def _fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
         unseen = level[~seen]
         sums[:, :] += np.bincount(unseen, np.log(one[~seen]), _LEVELS)[:, None]
         sums[:, :] += np.bincount(unseen, minlength=_LEVELS)[:, None] * np.log1p(-grid)
-        level, one = level[seen], one[seen].astype(np.float32)
-        two = (left[seen] / np.maximum(c_history[seen] - 1, 1)).astype(np.float32)
-        for k, g in enumerate(grid.astype(np.float32)):
-            sums[:, k] += np.bincount(level, np.log(g * two + (1 - g) * one), _LEVELS)
+        two = left / np.maximum(c_history - 1, 1)
+        del c_history, c_word, c_pair, left
+        order = np.flatnonzero(seen)
+        order = order[np.argsort(level[order], kind="stable")]
+        level, one, two = level[order], one[order].astype(np.float32), two[order].astype(np.float32)
+        starts = np.flatnonzero(np.diff(level, prepend=np.uint8(0)))  # a seen pair's history has a level
+        both, rest = np.empty_like(one), np.empty_like(one)
+        for k, g in enumerate(grid.astype(np.float32) if len(level) else ()):
+            np.multiply(two, g, out=both)
+            np.multiply(one, 1 - g, out=rest)
+            both += rest
+            np.log(both, out=both)
+            sums[level[starts], k] += np.add.reduceat(both, starts, dtype=np.float64)
         used = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, type=pa.int32()), pa.array(sums[used].tolist(), type=pa.list_(pa.float64()))],
@@ -596,6 +605,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         two = np.divide(c_pair, c_history, out=np.zeros(len(tokens)), where=c_history > 0)
         scores = np.log10(g * two + (1 - g) * (c_word + 1) / whole)
         sums = np.bincount(doc, scores, n)
+        del history, level, c_history, c_word, c_pair, g, two, scores
         if len(hot_keys):
             at = np.minimum(np.searchsorted(hot_keys, tokens), len(hot_keys) - 1)
             is_hot = hot_keys[at] == tokens
