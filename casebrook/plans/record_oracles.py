@@ -5,6 +5,7 @@ from __future__ import annotations
 from casebrook.operators.judging import JUDGE_TEMPLATE
 from casebrook.operators.prompts import K_NEIGHBOURS
 from casebrook.plans import fixtures as fx
+from casebrook.plans.oracles import ORACLES as BASE_ORACLES
 from casebrook.plans.oracles import (
     DOCS,
     PROMPTS,
@@ -102,6 +103,11 @@ ORACLES: dict[str, str] = {
     "replaced_runs": """SELECT lang AS run_id, 'n_documents' AS key,
   CAST(count(*) + CASE lang WHEN 'en' THEN 1000 ELSE 0 END AS DOUBLE) AS value
 FROM documents WHERE lang NOT IN ('fr', 'es') GROUP BY lang""",
+    "runs_by_source": """SELECT lang AS run_id, 'n_documents' AS key,
+  CAST(count(*) + CASE lang WHEN 'en' THEN 1000 ELSE 0 END AS DOUBLE) AS value
+FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang""",
+    "streamed_keys": BASE_ORACLES["distinct_keys"],
+    "merged_counts": BASE_ORACLES["corpus_stats"],
     "runs_any_key": query(
         RUNS,
         """SELECT run_id, llm_name, temperature, 's-' || run_id AS seed,

@@ -10,14 +10,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebrook.functions.text import or_no_content, reference_key
 from casebrook.operators import corpus, reports
+from casebrook.operators.chunking import chunk_documents
 from casebrook.operators.experiment import run_experiment
 from casebrook.plans import fixtures as fx
 from casebrook.plans.stand_ins import answer
 from casebrook.schemas import METRICS
 from casebrook.sources.corpus import documents, read_records
+from casebrook.sources.counts import CountStore
 from casebrook.sources.inference import complete
 from casebrook.sources.ledger import AnswerLedger, request_of
+from casebrook.sources.run_source import FORMAT, register
 from casebrook.sources.runs import (
     AVERAGE_KEYS,
     PARAM_KEYS,
@@ -27,6 +31,7 @@ from casebrook.sources.runs import (
     without_items,
 )
 from casebrook.sources.storage import materialise, shared_dir
+from casebrook.streaming.keys import read_keys, start_key_ingest
 
 REQUEST = {"endpoint": "writer-one", "temperature": 0.15, "max_tokens": 1800}
 
@@ -63,6 +68,36 @@ def lookup_in_place(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.lookup_documents(docs, docs, in_place=True)
 
 
+def streamed_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Every key with its first record, kept by a stream over several
+    micro-batches that do not follow the order of the records."""
+    records = fx.complaints(spark, sf)
+    source, sink, progress = (_folder(spark, n) for n in ("arrivals", "keys", "progress"))
+    records.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_key_ingest(stream, sink, progress).awaitTermination()
+    return read_keys(spark, sink)
+
+
+def merged_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts kept per source, one source counted again later, merged from the store."""
+    rows = fx.document_table(spark, sf).withColumn("all_columns", F.expr(fx.COMPLAINT_TEXT))
+    store = CountStore(spark, _folder(spark, "counts"))
+    for some in (rows, rows.where("source = 'src3'")):
+        docs = some.select(
+            F.col("source").alias("part"), "doc_id", reference_key(F.col("all_columns")).alias("reference_number")
+        )
+        # chunks carry a key: here that of their part
+        texts = some.select(
+            F.col("doc_id").alias("doc_ord"),
+            F.col("source").alias("reference_number"),
+            or_no_content(F.col("all_columns")).alias("doc_text"),
+        )
+        chunks = chunk_documents(texts, preserve_sections=False)
+        store.add(docs, chunks.select(F.col("reference_number").alias("part")))
+    return store.totals().withColumn("chunks_per_document", F.round("chunks_per_document", 6))
+
+
 # -------------------------------------------------------------------- calls
 
 
@@ -119,6 +154,17 @@ def replaced_runs(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("run_metrics")
 
 
+def runs_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs, one of them replaced, read through the data source."""
+    root = _folder(spark, "runs")
+    store = RunStore(spark, root)
+    store.write("run_metrics", _counts(spark, sf, 0))
+    store.write("run_metrics", _counts(spark, sf, 1000).filter("run_id = 'en'"))
+    register(spark)
+    rows = spark.read.format(FORMAT).option("table", "run_metrics").load(root)
+    return rows.filter("run_id IN ('en', 'fr') AND key = 'n_documents'")
+
+
 def runs_any_key(spark: SparkSession, sf: str) -> DataFrame:
     """Runs with every parameter and average recorded, whatever its name."""
     made = fx.run_summaries(spark, sf).groupBy("run_id")
@@ -231,8 +277,11 @@ QUERIES = {
         catalog_records,
         list_positions,
         lookup_in_place,
+        streamed_keys,
+        merged_counts,
         resumed_answers,
         replaced_runs,
+        runs_by_source,
         runs_any_key,
         missing_experiment,
         experiment_params,
