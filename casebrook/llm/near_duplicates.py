@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from casebrook.llm import arrowwords, bloom
 from casebrook.llm.components import components
-from casebrook.llm.scratch import discard, written
+from casebrook.llm.scratch import discard, short_batches, written
 from casebrook.operators.sizing import fits_broadcast
 
 PERCENT = 80
@@ -49,6 +49,7 @@ MANTISSA = 10
 SIGMAS = 6.0
 TILE = 512
 TILE_BYTES = 16 << 20
+BATCH = 1024  # rows of texts, registers or sets that go to Python at a time
 FIRST_SHIFT = 32  # shortened hashes are the upper halves at first
 BITS_PER_ID = 16
 MAX_FILTER_BYTES = 64 << 20
@@ -396,13 +397,8 @@ def _shared_ids(every: DataFrame, sets: DataFrame) -> tuple[DataFrame, bool]:
     return written(links.select(F.col("id").alias("a"), F.col("class").alias("b")), "id-links")[0], True
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``.
-
-    Null or empty texts have empty sets and are linked with nothing. Rows that
-    share an id are one document with the links of all; a null id is least of
-    all and stays null. An empty table gives no rows; other columns are not read.
-    """
+def _members_and_labels(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``id, n, one, class`` of every row, ``id, label`` of linked classes."""
     spark = docs.sparkSession
     rows = _prepared(docs)
     every, at_every = written(sketches(rows, shingle), "sketches")
@@ -446,6 +442,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             shift = (shift + 31) % 33
     for path in (at_classes, at_crowded, at_pairs):
         discard(spark, path)
+    return members, labels
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``.
+
+    Null or empty texts have empty sets and are linked with nothing. Rows that
+    share an id are one document with the links of all; a null id is least of
+    all and stays null. An empty table gives no rows; other columns are not read.
+    """
+    with short_batches(docs.sparkSession, BATCH):
+        members, labels = _members_and_labels(docs, shingle)
     # a document's component: of its class, or the class itself
     labels = labels.withColumnRenamed("id", "class")
     labels = F.broadcast(labels) if fits_broadcast(labels) else labels

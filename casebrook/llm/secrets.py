@@ -42,6 +42,7 @@ NUMBER = re.compile(r"[0-9]{1,8}")
 PART = re.compile(r"[A-Za-z0-9]+")
 WORD_CHARS_PER_TOKEN = 3.0
 MAX_CHARS_PER_TOKEN = 2.0
+BATCH = 512  # texts rewritten at a time
 
 
 def pattern_spans(text: str) -> list[Span]:
@@ -197,7 +198,7 @@ def redact_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokens.encoder(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(k, BATCH) for b in batches for k in range(0, b.num_rows, BATCH)):
             old = batch.column(at).to_pylist()
             new, changed = list(old), set()
             for k, text in enumerate(old):
