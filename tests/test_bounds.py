@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebrook.functions.verdicts import read_verdicts
+from casebrook.operators import cells
+from casebrook.operators import neighbours as nb
 from casebrook.operators.chunking import chunk_id
 from casebrook.operators.neighbours import search
 from casebrook.sources.corpus import number_rows
@@ -62,3 +64,26 @@ def test_routes_agree_on_norms_near_one(spark, off):
         for way in ("scan", "routed")
     ]
     assert found[0] == found[1]
+
+
+def test_many_cells_make_few_tiles_and_few_copies_of_a_query(spark):
+    """Copies grow with neither cells nor small tiles asked for, once rows are many."""
+    assert nb._tile_rows(32, 100_000, nb.CHUNK_TILES, 64) >= 100_000 / nb.CHUNK_TILES
+    assert nb._tile_rows(32, 300, nb.CHUNK_TILES, 64) == 32
+    random = np.random.default_rng(4)
+    lengths = 2.0 ** random.integers(-6, 7, 900)
+    vectors = random.normal(size=(900, 6)) * lengths[:, None]
+    vectors[5] = 0
+    chunks = spark.createDataFrame(
+        [(i, f"k{i % 50}", [float(x) for x in v]) for i, v in enumerate(vectors)],
+        "chunk_id long, reference_number string, embedding array<float>",
+    )
+    queries = chunks.selectExpr("string(chunk_id) AS query_id", "reference_number AS own_key", "embedding AS query_vector")
+    pivots = cells.pivots_for(chunks, 6, 30)
+    measured = cells.Cells.measured(cells.assign(chunks, pivots, 6))
+    tiles = cells.Tiles.of(measured, pivots, 100)
+    assert len(measured.numbers) > 100 and len(tiles.cells) <= 2 * 9 + 1
+    assert sorted(np.concatenate(tiles.cells).tolist()) == list(range(len(measured.numbers)))
+    rows = cells.route(queries, pivots, measured, tiles, 6, 5, False, 6).collect()
+    assert max(len(r.tiles) for r in rows) <= len(tiles.cells)
+    assert all(len(set(r.tiles)) == len(r.tiles) for r in rows)
