@@ -38,12 +38,19 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _add_up(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     first, count = state.get if state.exists else (None, 0)
+    known = state.exists
     for part in parts:
-        low = int(part["first_ord"].min())
+        # plain numbers: a key is a few rows, and pandas costs more than the sums
+        low = int(part["first_ord"].to_numpy().min())
         first = low if first is None else min(first, low)
-        count += int(part["n_documents"].sum())
+        count += int(part["n_documents"].to_numpy().sum())
+        alone = part if not known and len(part) == 1 else None
+        known = True
     state.update((first, count))
-    yield pd.DataFrame({"reference_number": [key[0]], "first_ord": [first], "n_documents": [count]})
+    if alone is not None:
+        yield alone  # a new key's one row is its totals
+    else:
+        yield pd.DataFrame({"reference_number": [key[0]], "first_ord": [first], "n_documents": [count]})
 
 
 def key_stream(records: DataFrame) -> DataFrame:
