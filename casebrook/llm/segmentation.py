@@ -15,11 +15,18 @@ for an A* search from the end of a chunk: it takes up paths in the order of thei
 final scores and never leaves a best path without need. What a chunk loses with
 its second-best path is known from both passes; to find the N best
 segmentations of a text, only the N - 1 chunks that lose least are searched.
+
+What is known of a chunk stays in arrays, by its number, and is kept from task to task
+of a worker. Each chunk's path is decoded once; a text comes back whole when all of
+its chunks do.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,8 +43,10 @@ BLANK = "▁"
 CHUNK = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 _LONG = 48  # characters beyond which a chunk is worked on alone
 _CACHED = 400_000
-_TOGETHER = 1 << 15
+_TOGETHER = 1 << 12
 _NONE = -1e300
+_PAD = 1 << 32  # after the end of a chunk; no character
+_SLOT = np.uint64(44)  # the bits of a hash below those that name its slot
 
 Path = tuple[float, tuple[int, ...]]  # score, ids
 
@@ -76,40 +85,53 @@ class Pieces:
                 self.spelled[i] = piece.replace(BLANK, " ").encode()
         self.unknown = min(self.scores.values()) - UNKNOWN
         self.longest = max(map(len, self.ids))
-        keys = self.hashes([np.array([ord(c) for c in p], dtype=np.uint64) for p in self.ids])
+        keys = self.hashes(list(self.ids))
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.key_scores = np.array(list(self.scores.values()))[order]
-        self.key_ids = np.array(list(self.ids.values()))[order]
+        # the last of each array stands for no piece
+        self.none = len(keys)
+        self.keys = np.append(keys[order], np.uint64(2**64 - 1))
+        self.key_scores = np.append(np.array(list(self.scores.values()))[order], _NONE)
+        self.key_ids = np.append(np.array(list(self.ids.values()), dtype=np.int32)[order], np.int32(-1))
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        self.maybe = np.zeros(1 << 22, dtype=bool)  # high bits of the keys
-        self.maybe[self.keys >> np.uint64(42)] = True
+        slots = np.arange(1 << 64 - int(_SLOT), dtype=np.uint64)
+        self.first = np.searchsorted(self.keys[:-1], slots << _SLOT).astype(np.int32)
+        self.maybe = np.zeros(len(slots), dtype=bool)
+        self.maybe[self.keys[:-1] >> _SLOT] = True
+        parts = [self.spelled.get(i, b"") for i in range(model.get_piece_size())]
+        sizes = np.array(list(map(len, parts)))
+        self.spelled_starts = np.cumsum(sizes) - sizes
+        self.spelled_sizes = np.where([i in self.spelled for i in range(len(parts))], sizes, -1)
+        self.spelled_bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
     @staticmethod
-    def hashes(pieces: list[np.ndarray]) -> np.ndarray:
+    def hashes(pieces: list[str]) -> np.ndarray:
+        lengths, text = _columns(pieces)
         out = np.zeros(len(pieces), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i, piece in enumerate(pieces):
-                for c in piece:
-                    out[i] = Pieces.grown(out[i], c)
+        for size, characters in enumerate(text):
+            own = lengths > size
+            out[own] = Pieces.grown(out[own], characters[own])
         return out
 
     @staticmethod
     def grown(hashed: np.ndarray, character: np.ndarray) -> np.ndarray:
-        return (hashed ^ (character + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-
-    def found(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and id of the piece of each hash; ``_NONE`` and -1 without one."""
-        score = np.full(hashed.shape, _NONE)
-        ids = np.full(hashed.shape, -1, dtype=np.int32)
-        live = np.nonzero(self.maybe[hashed >> np.uint64(42)])
-        wanted = hashed[live]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        same = self.keys[at] == wanted
-        live = tuple(x[same] for x in live)
-        score[live], ids[live] = self.key_scores[at[same]], self.key_ids[at[same]]
-        return score, ids
+        with np.errstate(over="ignore"):
+            return (hashed ^ (character + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def places(self, hashed: np.ndarray) -> np.ndarray:
+        """Where the piece of each hash stands in the arrays; ``none`` without one."""
+        out = np.full(hashed.size, self.none, dtype=np.int32)
+        slot = (hashed >> _SLOT).view(np.int64).ravel()
+        live = np.flatnonzero(self.maybe[slot])
+        wanted = hashed.ravel()[live]
+        at = self.first[slot[live]]
+        while len(live):  # keys of one slot follow each other in their order
+            key = self.keys[at]
+            same = key == wanted
+            out[live[same]] = at[same]
+            later = np.flatnonzero(key < wanted)
+            live, wanted, at = live[later], wanted[later], at[later] + 1
+        return out.reshape(hashed.shape)
 
     def edge(self, text: str) -> tuple[float, tuple[int, ...]] | None:
         """Score and ids of one edge of the lattice, if there is one."""
@@ -130,11 +152,43 @@ class Pieces:
         except KeyError as missing:
             raise ValueError(f"id {missing} is no piece") from None
 
+    def spell_each(self, paths: list[bytes]) -> list[bytes]:
+        """The bytes of each of many paths of pieces, given as ids of 32 bits."""
+        ids = np.frombuffer(b"".join(paths), dtype="<u4")
+        sizes = self.spelled_sizes[ids]
+        if (sizes < 0).any():
+            raise ValueError(f"id {ids[sizes.argmin()]} is no piece")
+        raw = self.spelled_bytes[_gathered(self.spelled_starts[ids], sizes)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, paths)]) // 4].tolist()
+        return [raw[a:b] for a, b in itertools.pairwise(ends)]
+
 
 def text_of(spelled: bytes) -> str:
     return spelled.decode("utf-8", "replace").removeprefix(" ")
 
 
+def spells(spelled: bytes, chunk: str) -> bool:
+    return spelled.decode("utf-8", "replace") == chunk.replace(BLANK, " ")
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches of so many items, one stretch after another."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def _columns(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and the characters by place and string, with ``_PAD`` after the end."""
+    lengths = np.array(list(map(len, strings)))
+    joined = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    text = np.full((lengths.max(), len(strings)), _PAD, dtype=np.uint64)
+    row = _gathered(np.zeros_like(lengths), lengths)
+    text[row, np.repeat(np.arange(len(strings)), lengths)] = joined
+    return lengths, text
+
+
 def chunks_of(text: str) -> list[str]:
     return CHUNK.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
@@ -181,107 +235,144 @@ def n_best(pieces: Pieces, chunk: str, count: int) -> list[Path]:
 
 def _passes(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Best score, best ids and loss of the second best, of chunks of bounded length."""
-    n, width = len(chunks), max(map(len, chunks))
-    lengths = np.array([len(c) for c in chunks])
-    joined = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    text = np.zeros((width, n), dtype=np.uint64)
-    row = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    text[row, np.repeat(np.arange(n), lengths)] = joined
-    edges: list[np.ndarray] = []  # edges[l - 1][start]: score of the piece of l characters
-    names: list[np.ndarray] = []  # and its id
+    lengths, text = _columns(chunks)
+    width, n = text.shape
+    longest = min(pieces.longest, width)
+    places = np.empty((longest, width, n), dtype=np.int32)  # [size - 1, start]: the piece of so many characters
+    edges = np.empty((longest, width, n))  # and its score
     hashed = np.zeros((width, n), dtype=np.uint64)
-    for size in range(1, min(pieces.longest, width) + 1):
+    for size in range(1, longest + 1):
         rows = width - size + 1
-        with np.errstate(over="ignore"):
-            hashed = Pieces.grown(hashed[:rows], text[size - 1 :])
-        score, name = pieces.found(hashed)
-        if size == 1:
-            score[score == _NONE] = pieces.unknown
-        score[np.arange(rows)[:, None] + size > lengths] = _NONE
-        edges.append(score)
-        names.append(name)
+        hashed = Pieces.grown(hashed[:rows], text[size - 1 :])
+        places[size - 1, :rows] = place = pieces.places(hashed)
+        np.take(pieces.key_scores, place, out=edges[size - 1, :rows], mode="clip")
+    edges[0][(places[0] == pieces.none) & (text != _PAD)] = pieces.unknown
     alpha = np.full((width + 1, n), _NONE)
     alpha[0] = 0
-    came = np.zeros((width + 1, n), dtype=np.int64)
+    came = np.zeros((width + 1, n), dtype=np.int16)
     for end in range(1, width + 1):
-        for size in range(1, min(len(edges), end) + 1):
-            score = alpha[end - size] + edges[size - 1][end - size]
-            better = score > alpha[end]
-            alpha[end] = np.where(better, score, alpha[end])
-            came[end] = np.where(better, size, came[end])
+        for size in range(1, min(longest, end) + 1):
+            score = alpha[end - size] + edges[size - 1, end - size]
+            np.copyto(came[end], size, where=score > alpha[end])
+            np.maximum(alpha[end], score, out=alpha[end])
     beta = np.full((width + 1, n), _NONE)
     beta[lengths, np.arange(n)] = 0
     for start in range(width - 1, -1, -1):
-        for size in range(1, min(len(edges), width - start) + 1):
-            beta[start] = np.maximum(beta[start], edges[size - 1][start] + beta[start + size])
+        for size in range(1, min(longest, width - start) + 1):
+            np.maximum(beta[start], edges[size - 1, start] + beta[start + size], out=beta[start])
     total = alpha[lengths, np.arange(n)]
-    # edges on the best path are marked; the best path over any other edge is the second best
-    used = [np.zeros(e.shape, dtype=bool) for e in edges]
+    # edges on the best path are taken out; the best path over any other edge is the second best
     at, live = lengths.copy(), np.arange(n)
     walked: list[tuple[np.ndarray, np.ndarray]] = []
-    spelled = np.zeros(n, dtype=bool)  # chunks with a character written as bytes
+    steps = np.zeros(n, dtype=np.int64)
     while len(live):
-        size = came[at[live], live]
+        size = came[at[live], live].astype(np.int64)
         start = at[live] - size
-        name = np.zeros(len(live), dtype=np.int32)
-        for s in np.unique(size):
-            own = size == s
-            used[s - 1][start[own], live[own]] = True
-            name[own] = names[s - 1][start[own], live[own]]
-        walked.append((live, name))
-        spelled[live[name < 0]] = True
+        edges[size - 1, start, live] = _NONE
+        walked.append((live, places[size - 1, start, live]))
+        steps[live] += 1
         at[live] = start
         live = live[start > 0]
     second = np.full(n, _NONE)
-    for size, (edge, mark) in enumerate(zip(edges, used), 1):
-        through = alpha[: len(edge)] + edge + beta[size : size + len(edge)]
-        second = np.maximum(second, np.where(mark, _NONE, through).max(axis=0))
+    for size in range(1, longest + 1):
+        rows = width - size + 1
+        through = alpha[:rows] + edges[size - 1, :rows]
+        through += beta[size:]
+        np.maximum(second, through.max(axis=0), out=second)
     # steps from the end; within a chunk the last step is its first piece
-    owner = np.concatenate([w[0] for w in walked])
-    step = np.repeat(np.arange(len(walked)), [len(w[0]) for w in walked])
-    order = np.lexsort((-step, owner))
-    raw = np.concatenate([w[1] for w in walked])[order].astype("<u4").tobytes()
-    bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))) * 4
-    ids = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    ends = np.cumsum(steps)
+    path = np.empty(ends[-1], dtype=np.int32)
+    spelled = np.zeros(n, dtype=bool)  # chunks with a character written as bytes
+    for step, (owner, place) in enumerate(walked, 1):
+        path[ends[owner] - step] = place
+        spelled[owner[place == pieces.none]] = True
+    raw = pieces.key_ids[path].astype("<u4").tobytes()
+    ids = [raw[a:b] for a, b in itertools.pairwise([0, *(ends * 4).tolist()])]
     for k in np.flatnonzero(spelled).tolist():
         ids[k] = np.array(n_best(pieces, chunks[k], 1)[0][1], dtype="<u4").tobytes()
     return total, ids, total - second
 
 
+class Numbers(dict):
+    """Numbers strings in the order in which they first come."""
+
+    def __missing__(self, string: str) -> int:
+        self[string] = number = len(self)
+        return number
+
+
 class Segmenter:
     """Keeps what is known of chunks, a bounded number of them."""
 
     def __init__(self, pieces: Pieces, best: int) -> None:
         self.pieces, self.best = pieces, best
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.scores: list[float] = []
-        self.losses: list[float] = []
-        self.ids: list[bytes] = []
-        self.spelled: list[bytes] = []  # what the ids decode to, once per different chunk
+        self.known = Numbers()
+        # by number; ids are stretches of one array
+        self.scores = np.zeros(0)
+        self.losses = np.zeros(0)
+        self.wrong = np.zeros(0, dtype=bool)  # ids that do not decode to the chunk
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+        self.uses = np.zeros(0, dtype=np.int64)
         self.lists: dict[str, list[tuple[float, bytes, bytes]]] = {}
 
-    def _add(self, chunks: list[str], scores: list[float], losses: list[float], ids: list[bytes]) -> None:
-        self.known.update(zip(chunks, range(len(self.scores), len(self.scores) + len(chunks))))
-        self.scores += scores
-        self.losses += losses
-        self.ids += ids
-        self.spelled += [self.pieces.spell(memoryview(x).cast("I").tolist()) for x in ids]
-
-    def learn(self, texts: list[list[str]]) -> None:
+    def forget(self) -> None:
+        """Leaves the chunks that came again since the last time, at most half of ``_CACHED``."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > _CACHED // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: _CACHED // 2]])
+        chunks = list(self.known)
+        self.known = Numbers(zip([chunks[k] for k in kept.tolist()], range(len(kept))))
+        self.lists = {c: found for c, found in self.lists.items() if c in self.known}
+        self.scores, self.losses, self.wrong = self.scores[kept], self.losses[kept], self.wrong[kept]
+        self.ids = self.ids[_gathered(self.starts[kept], self.sizes[kept])]
+        self.sizes = self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.uses = np.zeros(len(kept), dtype=np.int64)
+
+    def learn(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Takes up the chunks of texts; the numbers of each text's chunks."""
         if len(self.known) > _CACHED:
             self.forget()
-        fresh = sorted({c for chunks in texts for c in chunks}.difference(self.known), key=len)
-        short = [c for c in fresh if len(c) <= _LONG]
-        for low in range(0, len(short), _TOGETHER):
-            part = short[low : low + _TOGETHER]
-            self._add(part, *_ordered(_passes(self.pieces, part)))
-        for chunk in fresh[len(short) :]:
-            found = n_best(self.pieces, chunk, 2)
-            loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-            self._add([chunk], [found[0][0]], [loss], [np.array(found[0][1], dtype="<u4").tobytes()])
+        at = [np.fromiter(map(self.known.__getitem__, c), dtype=np.int64, count=len(c)) for c in texts]
+        old = len(self.scores)
+        fresh = list(itertools.islice(self.known, old, None))
+        if fresh:
+            scores, losses, wrong, ids = self._found(fresh)
+            sizes = np.array(list(map(len, ids))) // 4
+            self.scores = np.concatenate((self.scores, scores))
+            self.losses = np.concatenate((self.losses, losses))
+            self.wrong = np.concatenate((self.wrong, wrong))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), dtype="<u4")))
+            self.uses = np.concatenate((self.uses, np.zeros(len(fresh), dtype=np.int64)))
+        if at:
+            self.uses += np.bincount(np.concatenate(at), minlength=len(self.uses))
+        return at
+
+    def _found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Scores, losses, whether they decode to something else, and ids of the best paths."""
+        scores, losses, wrong = np.zeros(len(chunks)), np.zeros(len(chunks)), np.zeros(len(chunks), dtype=bool)
+        ids = [b""] * len(chunks)
+        lengths = np.array(list(map(len, chunks)))
+        order = np.argsort(lengths, kind="stable")
+        short = int((lengths <= _LONG).sum())
+        for low in range(0, short, _TOGETHER):
+            own = order[low : min(low + _TOGETHER, short)]
+            part = [chunks[k] for k in own.tolist()]
+            scores[own], paths, losses[own] = _passes(self.pieces, part)
+            wrong[own] = [not spells(x, c) for x, c in zip(self.pieces.spell_each(paths), part)]
+            for k, path in zip(own.tolist(), paths):
+                ids[k] = path
+        for k in order[short:].tolist():
+            found = n_best(self.pieces, chunks[k], 2)
+            scores[k], path = found[0]
+            losses[k] = scores[k] - found[1][0] if len(found) > 1 else np.inf
+            ids[k] = np.array(path, dtype="<u4").tobytes()
+            wrong[k] = not spells(self.pieces.spell(list(path)), chunks[k])
+        return scores, losses, wrong, ids
 
     def _paths(self, chunk: str) -> list[tuple[float, bytes, bytes]]:
         if chunk not in self.lists:
@@ -291,34 +382,38 @@ class Segmenter:
             ]
         return self.lists[chunk]
 
-    def segment(self, chunks: list[str]) -> list[tuple[float, bytes, list[bytes]]]:
-        """Score, ids (little-endian, 32 bits) and bytes of the best segmentations.
+    def ranked(self, chunks: list[str], at: np.ndarray) -> Iterator[tuple[float, bytes, dict[int, bytes]]]:
+        """Score and ids (little-endian, 32 bits) of the best segmentations of a text.
 
-        Bytes come chunk by chunk; a list that is the first one's holds the same.
+        ``at`` are the numbers of its chunks. Third are the bytes of chunks, by their
+        place, that do not take their best path.
         """
-        at = list(map(self.known.__getitem__, chunks))
-        parts = list(map(self.ids.__getitem__, at))
-        spelled = list(map(self.spelled.__getitem__, at))
-        total = sum(map(self.scores.__getitem__, at))
-        out = [(total, b"".join(parts), spelled)]
+        sizes = self.sizes[at]
+        base = self.ids[_gathered(self.starts[at], sizes)].tobytes()
+        total = sum(self.scores[at].tolist())
+        yield total, base, {}
         if self.best == 1 or not chunks:
-            return out
-        losses = np.fromiter(map(self.losses.__getitem__, at), dtype=np.float64, count=len(at))
-        weak = np.argsort(losses, kind="stable")[: self.best - 1].tolist()
+            return
+        losses = self.losses[at]
+        count = min(self.best - 1, len(chunks))
+        weak = np.flatnonzero(losses <= np.partition(losses, count - 1)[count - 1])
+        weak = weak[np.argsort(losses[weak], kind="stable")[:count]].tolist()
         lists = [self._paths(chunks[k]) for k in weak]
+        ends = np.cumsum(sizes) * 4
+        bounds = {k: (int(ends[k]) - 4 * int(sizes[k]), int(ends[k])) for k in weak}
         # choices of one path per weak chunk, least loss first
         first = (0,) * len(weak)
-        heap, seen = [(0.0, first)], {first}
-        while heap and len(out) < self.best:
+        heap, seen, made = [(0.0, first)], {first}, 1
+        while heap and made < self.best:
             loss, choice = heapq.heappop(heap)
             if any(choice):
-                own, read = list(parts), spelled
-                for k, found, c in zip(weak, lists, choice):
-                    own[k] = found[c][1]
-                    if found[c][2] != spelled[k]:
-                        read = list(spelled) if read is spelled else read
-                        read[k] = found[c][2]
-                out.append((total - loss, b"".join(own), read))
+                other = {k: found[c] for k, found, c in zip(weak, lists, choice)}
+                own, low = [], 0
+                for k in sorted(other):
+                    own += [base[low : bounds[k][0]], other[k][1]]
+                    low = bounds[k][1]
+                made += 1
+                yield total - loss, b"".join([*own, base[low:]]), {k: path[2] for k, path in other.items()}
             for i, found in enumerate(lists):
                 c = choice[i]
                 if c + 1 < len(found):
@@ -326,12 +421,16 @@ class Segmenter:
                     if more not in seen:
                         seen.add(more)
                         heapq.heappush(heap, (loss + found[c][0] - found[c + 1][0], more))
-        return out
-
 
-def _ordered(found: tuple) -> tuple[list, list, list]:
-    total, ids, loss = found
-    return total.tolist(), loss.tolist(), ids
+    def segment(self, chunks: list[str]) -> list[tuple[float, bytes, list[bytes]]]:
+        """Score, ids and bytes, chunk by chunk, of the best segmentations of a text."""
+        (at,) = self.learn([chunks])
+        paths = [self.ids[a : a + n].tobytes() for a, n in zip(self.starts[at].tolist(), self.sizes[at].tolist())]
+        spelled = self.pieces.spell_each(paths)
+        return [
+            (score, ids, [other.get(k, own) for k, own in enumerate(spelled)])
+            for score, ids, other in self.ranked(chunks, at)
+        ]
 
 
 SCHEMA = (
@@ -340,19 +439,23 @@ SCHEMA = (
 
 
 def segmented(segmenter: Segmenter, keys: list[int | None], texts: list[str]) -> list[tuple]:
-    """Rows of ``SCHEMA``; every segmentation is decoded, equal chunks of it once."""
+    """Rows of ``SCHEMA``; every segmentation is decoded, equal paths of a chunk once."""
     cut = [chunks_of(t) for t in texts]
-    segmenter.learn(cut)
     rows: list[tuple] = []
-    for key, text, chunks in zip(keys, texts, cut):
-        read, same = None, False
-        for rank, (score, ids, spelled) in enumerate(segmenter.segment(chunks), 1):
-            if spelled is not read:
-                read, same = spelled, text_of(b"".join(spelled)) == text
-            rows.append((key, rank, score, len(ids) // 4, zlib.crc32(ids), same, ids))
+    for key, text, chunks, at in zip(keys, texts, cut, segmenter.learn(cut)):
+        wrong = set(np.flatnonzero(segmenter.wrong[at]).tolist())
+        for rank, (score, ids, other) in enumerate(segmenter.ranked(chunks, at), 1):
+            same = wrong <= other.keys() and all(spells(x, chunks[k]) for k, x in other.items())
+            rows.append((key, rank, score, len(ids) // 4, zlib.crc32(ids), same and BLANK not in text, ids))
     return rows
 
 
+@functools.lru_cache(maxsize=1)
+def _segmenter(path: str, best: int, changed: int) -> Segmenter:
+    """That of this worker, which stays for its next tasks."""
+    return Segmenter(Pieces(path), best)
+
+
 def segment_documents(docs: DataFrame, path: str | None = None, best: int = BEST) -> DataFrame:
     """The ``best`` best segmentations (or all) of each row of ``docs(doc_id, text)``.
 
@@ -364,7 +467,7 @@ def segment_documents(docs: DataFrame, path: str | None = None, best: int = BEST
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(Pieces(path), best)
+        segmenter = _segmenter(path, best, os.stat(path).st_mtime_ns)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
             for low in range(0, len(batch), 500):

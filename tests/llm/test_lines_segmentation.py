@@ -173,6 +173,59 @@ def test_every_rank_is_decoded(pieces):
     assert [r[5] for r in seg.segmented(Wrong(pieces, 3), [1], ["hello there"])] == [True, False, False]
 
 
+def test_chunks_that_came_again_stay(pieces, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abdehnorsté") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    often = ["again", "and", "😀", "x" * 60]
+    texts = [" ".join([*often, *words[k : k + 10]]) for k in range(0, 300, 10)]
+    whole = seg.segmented(seg.Segmenter(pieces, 4), list(range(30)), texts)
+    taken = []
+    passes, search = seg._passes, seg.n_best
+    monkeypatch.setattr(seg, "_passes", lambda p, chunks: taken.extend(chunks) or passes(p, chunks))
+    monkeypatch.setattr(seg, "n_best", lambda p, c, n: taken.extend([c] * (n == 2)) or search(p, c, n))
+    monkeypatch.setattr(seg, "_CACHED", 40)
+    segmenter = seg.Segmenter(pieces, 4)
+    rows = []
+    for key in range(0, 30, 2):
+        rows += seg.segmented(segmenter, [key, key + 1], texts[key : key + 2])
+        assert len(segmenter.known) <= 40 + 24 and segmenter.lists.keys() <= segmenter.known.keys()
+    assert rows == whole
+    assert [taken.count(c) for c in ("▁again", "▁and", "▁😀", "▁" + "x" * 60)] == [1] * 4
+
+
+def test_round_trip_of_chunks(pieces):
+    segmenter = seg.Segmenter(pieces, 2)
+    texts = ["hello there", "there", "hello", "a▁b", "▁", "", "😀 \x00  z"]
+    rows = seg.segmented(segmenter, texts, texts)
+    assert all(r[5] == ("▁" not in r[0]) for r in rows)
+    assert [r[1] for r in rows if r[0] == "hello there"] == [1, 2]
+    segmenter.wrong[segmenter.known["▁there"]] = True
+    rows = seg.segmented(segmenter, texts, texts)
+    assert {r[0]: r[5] for r in rows if r[1] == 1} == {
+        t: t in ("hello", "", "😀 \x00  z") for t in texts
+    }
+
+
+def test_bytes_of_many_paths(pieces):
+    paths = [p for w in WORDS for _, p in seg.n_best(pieces, w, 3)] + [()]
+    raw = [np.array(p, dtype="<u4").tobytes() for p in paths]
+    assert pieces.spell_each(raw) == [pieces.spell(list(p)) for p in paths]
+    assert pieces.spell_each([]) == []
+    missing = next(i for i in range(len(pieces.ids)) if i not in pieces.spelled)
+    for spell in (lambda: pieces.spell([missing]), lambda: pieces.spell_each([np.uint32(missing).tobytes()])):
+        with pytest.raises(ValueError, match=f"id {missing} is no piece"):
+            spell()
+
+
+def test_places_of_pieces(pieces):
+    names = list(pieces.ids)
+    own = pieces.places(pieces.hashes(names))
+    assert pieces.key_ids[own].tolist() == [pieces.ids[p] for p in names]
+    assert pieces.key_scores[own].tolist() == [pieces.scores[p] for p in names]
+    others = pieces.keys[:-1] ^ np.uint64(1)  # in the slots of pieces
+    assert (pieces.places(others.reshape(1, -1)) == pieces.none).all()
+
+
 def test_decoding_of_a_column(spark, odd):
     import sentencepiece
 
